@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .language_id import op10_language_id
 from .packing import op9_best_fit_packing
 
 
 def queries() -> dict:
-    return {"op9_best_fit_packing": op9_best_fit_packing}
+    return {"op10_language_id": op10_language_id, "op9_best_fit_packing": op9_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
