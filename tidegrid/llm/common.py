@@ -38,12 +38,12 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that no part holds much more than SLICE_BYTES of the named column (one long text may)."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that no part holds much more than ``most`` bytes of the named column (one long text may)."""
     if batch.num_rows == 0:
         return
     sizes = np.array([0 if v is None else v for v in pc.binary_length(batch.column(column)).to_pylist()], np.int64)
-    part = np.cumsum(sizes) // SLICE_BYTES
+    part = np.cumsum(sizes) // most
     cuts = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
         yield batch.slice(a, b - a)
@@ -61,9 +61,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def by_bucket(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, positions) for the buckets that have keys; the top bits choose the bucket."""
+    """(bucket, positions) for the buckets that have keys; a hash of the key chooses the bucket."""
     if not len(keys):
         return
+    keys = mix64(keys)
     bucket = ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     found, first = np.unique(bucket[order], return_index=True)
