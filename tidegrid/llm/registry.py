@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fingerprints import OP3_SQL, op3_merkle_fingerprints
 from .jaccard_join import op7_ngram_jaccard_join
 from .language_id import op10_language_id
 from .packing import op9_best_fit_packing
@@ -9,8 +10,8 @@ from .suffix_dedup import op2_suffix_array_dedup
 
 
 def queries() -> dict:
-    return {"op2_suffix_array_dedup": op2_suffix_array_dedup, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op10_language_id": op10_language_id, "op9_best_fit_packing": op9_best_fit_packing}
+    return {"op2_suffix_array_dedup": op2_suffix_array_dedup, "op3_merkle_fingerprints": op3_merkle_fingerprints, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op10_language_id": op10_language_id, "op9_best_fit_packing": op9_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_merkle_fingerprints": OP3_SQL}
