@@ -10,7 +10,10 @@ phrase, and equal windows have equal triggers at equal places, wherever they occ
    There the suffixes that begin at triggers are sorted (a suffix array with common prefix lengths), and phrase
    suffixes left of the trigger are classed by a hash for each length.  A window repeats if its part right of the
    trigger stands in one interval of the order with another phrase whose left part is in the same class.
-3. A trigger with more than HOT phrases is not gathered: its windows are counted by digest in a grouped aggregation.
+3. Of a trigger with more than HOT phrases no bytes are gathered: its windows meet by digest, dealt over all buckets.
+
+Whatever repeats within one batch is known to repeat: it is marked at once, and one copy goes on to the bucket, so that
+a bucket receives a frequent string once from each batch.
 
 Ranges found go back to their documents, whose bytes are cut.  Results are exact up to collisions of 64-bit hashes
 between strings that share a trigger.  Documents are told apart by a hash of id and text, so repeated rows count as
@@ -31,7 +34,7 @@ from .common import by_bucket, materialize, mix64, partitions, slices
 
 LENGTH = 200
 TRIGGER = 64
-HOT = 4096
+HOT = 1024
 BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 _TABLE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
@@ -103,7 +106,14 @@ def _rows(fields: list[tuple[str, pa.DataType, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for _, t, v in fields], names=[n for n, _, _ in fields])
 
 
-_PHRASE = np.dtype([("trigger", "<u8"), ("phrase", "<u8"), ("row_key", "<i8"), ("first", "<i4"), ("n", "<u2"), ("left", "<u2")])
+_PHRASE = np.dtype([("trigger", "<u8"), ("phrase", "<u8"), ("row_key", "<i8"), ("first", "<i4"), ("n", "<u2"), ("left", "<u2"), ("again", "?")])
+
+
+def _first_of_each(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by keys (the last counts first), where new ones begin in it, and how often each comes."""
+    order = np.lexsort(keys)
+    new = np.concatenate([[True], np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)])
+    return order, new, np.bincount(np.cumsum(new) - 1)
 
 
 def _emit_phrases(length: int, trigger: int, buckets: int) -> Callable:
@@ -118,9 +128,14 @@ def _emit_phrases(length: int, trigger: int, buckets: int) -> Callable:
                 own["row_key"] = part.column("row_key").to_numpy()[found["text"]]
                 blocks.append(own)
             every = np.concatenate(blocks) if blocks else np.empty(0, _PHRASE)
-            out = [(b, every[at].tobytes()) for b, at in by_bucket(every["trigger"], buckets)]
-            if out:
-                yield _rows([("bucket", pa.int32(), [b for b, _ in out]), ("block", pa.binary(), [x for _, x in out])])
+            if len(every):
+                order, new, times = _first_of_each(every["phrase"], every["trigger"])
+                every = every[order]
+                every["again"] = (times > 1)[np.cumsum(new) - 1]
+                one, rest = every[new], every[~new]
+                out = [(b, False, one[at].tobytes()) for b, at in by_bucket(one["trigger"], buckets)]
+                out += [(b, True, rest[at].tobytes()) for b, at in by_bucket(rest["row_key"].view(np.uint64), buckets)]
+                yield _rows([("bucket", pa.int32(), [x[0] for x in out]), ("known", pa.bool_(), [x[1] for x in out]), ("block", pa.binary(), [x[2] for x in out])])
 
     return emit
 
@@ -128,28 +143,31 @@ def _emit_phrases(length: int, trigger: int, buckets: int) -> Callable:
 def _dictionary(hot: int) -> Callable:
     """Marks of a bucket: kind 0 repeats as a whole, 1 one copy of a phrase to compare, 2 the same of a hot trigger."""
 
+    def marks(x: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+        if len(x):
+            yield _rows([("row_key", pa.int64(), x["row_key"]), ("first", pa.int32(), x["first"]), ("n", pa.int32(), x["n"].astype(np.int32)), ("kind", pa.int32(), np.full(len(x), kind, np.int32)), ("trigger", pa.int64(), x["trigger"].view(np.int64)), ("left", pa.int32(), x["left"].astype(np.int32))])
+
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [np.frombuffer(x, _PHRASE) for batch in batches for x in batch.column("block").to_pylist()]
+        blocks = []
+        for batch in batches:
+            for known, x in zip(batch.column("known").to_pylist(), batch.column("block").to_pylist()):
+                own = np.frombuffer(x, _PHRASE)
+                if known:
+                    yield from marks(own, 0)
+                else:
+                    blocks.append(own)
         if not blocks:
             return
         every = np.concatenate(blocks)
         del blocks
-        every = every[np.argsort(every["trigger"], kind="stable")]
-        group = np.concatenate([[0], np.cumsum(every["trigger"][1:] != every["trigger"][:-1])])
-        many = np.bincount(group)[group] > 1
-        every, group = every[many], group[many]
-        if not len(every):
-            return
-        order = np.lexsort((every["row_key"], every["phrase"], group))
-        every, group = every[order], group[order]
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (every["phrase"][1:] != every["phrase"][:-1])])
+        order, new, times = _first_of_each(every["phrase"], every["trigger"])
+        every = every[order]
         phrase = np.cumsum(new) - 1
-        repeats = np.bincount(phrase)[phrase] > 1
+        group = np.concatenate([[0], np.cumsum(every["trigger"][1:] != every["trigger"][:-1])])
         kinds = np.bincount(group, new)[group]
-        for chosen, kind in ((repeats, 0), (new & (kinds > 1) & (kinds <= hot), 1), (new & (kinds > hot), 2)):
-            x = every[chosen]
-            if len(x):
-                yield _rows([("row_key", pa.int64(), x["row_key"]), ("first", pa.int32(), x["first"]), ("n", pa.int32(), x["n"].astype(np.int32)), ("kind", pa.int32(), np.full(len(x), kind, np.int32)), ("trigger", pa.int64(), x["trigger"].view(np.int64)), ("left", pa.int32(), x["left"].astype(np.int32))])
+        yield from marks(every[every["again"] | (times > 1)[phrase]], 0)
+        yield from marks(every[new & (kinds > 1) & (kinds <= hot)], 1)
+        yield from marks(every[new & (kinds > hot)], 2)
 
     return decide
 
@@ -161,32 +179,52 @@ def _marked(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, list[dict]]]:
 
 
 _HEAD = np.dtype([("row_key", "<i8"), ("first", "<i4"), ("n", "<u2"), ("left", "<u2"), ("size", "<u2")])
+_WINDOW = np.dtype([("digest", "<u8"), ("row_key", "<i8"), ("first", "<i4"), ("again", "?")])
 
 
 def _emit_bytes(length: int, buckets: int) -> Callable:
-    """Marked phrases with their bytes, in blocks for the bucket of their trigger."""
+    """Marked phrases with their bytes, in blocks for the bucket of their trigger; windows of hot triggers by digest."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads, texts, triggers, held = [], [], [], 0
+            heads, texts, triggers, held, windows = [], [], [], 0, []
             for key, text, marks in _marked(batch):
+                hot = [m for m in marks if m["kind"] == 2]
                 for m in marks:
-                    own = text[m["first"] : m["first"] + m["n"] - 1 + length]
-                    heads.append((key, m["first"], m["n"], m["left"], len(own)))
-                    texts.append(own)
-                    triggers.append(m["trigger"])
-                    held += len(own)
+                    if m["kind"] == 1:
+                        own = text[m["first"] : m["first"] + m["n"] - 1 + length]
+                        heads.append((key, m["first"], m["n"], m["left"], len(own)))
+                        texts.append(own)
+                        triggers.append(m["trigger"])
+                        held += len(own)
+                if hot:
+                    digest = mix64(Rolling(np.frombuffer(text, np.uint8)).each(length))
+                    at = np.unique(np.concatenate([np.arange(m["first"], m["first"] + m["n"]) for m in hot]))
+                    own = np.zeros(len(at), _WINDOW)
+                    own["digest"], own["row_key"], own["first"] = digest[at], key, at
+                    windows.append(own)
                 if held > 32 << 20:
                     yield blocked(heads, texts, triggers)
                     heads, texts, triggers, held = [], [], [], 0
             if heads:
                 yield blocked(heads, texts, triggers)
+            if windows:
+                every = np.concatenate(windows)
+                order, new, times = _first_of_each(every["digest"])
+                every = every[order]
+                every["again"] = (times > 1)[np.cumsum(new) - 1]
+                one, rest = every[new], every[~new]
+                out = [(b, 1, one[at].tobytes()) for b, at in by_bucket(one["digest"], buckets)]
+                yield rows(out + [(b, 2, rest[at].tobytes()) for b, at in by_bucket(rest["row_key"].view(np.uint64), buckets)])
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        columns = [[x[k] if k < len(x) else b"" for x in out] for k in range(4)]
+        return _rows(list(zip(("bucket", "kind", "head", "bytes"), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), columns)))
 
     def blocked(heads: list, texts: list, triggers: list) -> pa.RecordBatch:
-        head, out = np.array(heads, _HEAD), []
-        for b, at in by_bucket(np.array(triggers, np.int64).view(np.uint64), buckets):
-            out.append((b, head[at].tobytes(), b"".join(texts[i] for i in at)))
-        return _rows([("bucket", pa.int32(), [x[0] for x in out]), ("head", pa.binary(), [x[1] for x in out]), ("bytes", pa.binary(), [x[2] for x in out])])
+        head = np.array(heads, _HEAD)
+        keys = np.array(triggers, np.int64).view(np.uint64)
+        return rows([(b, 0, head[at].tobytes(), b"".join(texts[i] for i in at)) for b, at in by_bucket(keys, buckets)])
 
     return emit
 
@@ -236,39 +274,41 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(edge == -1)[1] - first
 
 
+def _ranges(row_key: np.ndarray, first: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(row_key):
+        yield _rows([("row_key", pa.int64(), row_key), ("first", pa.int32(), first.astype(np.int32)), ("n", pa.int32(), n.astype(np.int32))])
+
+
 def _parse_order(length: int) -> Callable:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, blocks = [], []
+        heads, blocks, windows = [], [], []
         for batch in batches:
-            heads += [np.frombuffer(x, _HEAD) for x in batch.column("head").to_pylist()]
-            blocks += batch.column("bytes").to_pylist()
-        if not heads:
-            return
-        head, texts = np.concatenate(heads), np.frombuffer(b"".join(blocks), np.uint8)
-        del heads, blocks
-        size = head["size"].astype(np.int64)
-        begin = np.cumsum(size) - size
-        n, left = head["n"].astype(np.int64), head["left"].astype(np.int64)
-        found = repeated_windows(texts, begin, left, n, length)
-        row, a, count = runs(found)
-        if len(row):
-            first = head["first"][row] + left[row] - (a + count - 1)
-            yield _rows([("row_key", pa.int64(), head["row_key"][row]), ("first", pa.int32(), first.astype(np.int32)), ("n", pa.int32(), count.astype(np.int32))])
+            for kind, head, own in zip(*(batch.column(k).to_pylist() for k in ("kind", "head", "bytes"))):
+                if kind == 0:
+                    heads.append(np.frombuffer(head, _HEAD))
+                    blocks.append(own)
+                elif kind == 1:
+                    windows.append(np.frombuffer(head, _WINDOW))
+                else:
+                    known = np.frombuffer(head, _WINDOW)
+                    yield from _ranges(known["row_key"], known["first"], np.ones(len(known)))
+        if windows:
+            every = np.concatenate(windows)
+            order, new, times = _first_of_each(every["digest"])
+            every = every[order]
+            every = every[every["again"] | (times > 1)[np.cumsum(new) - 1]]
+            yield from _ranges(every["row_key"], every["first"], np.ones(len(every)))
+        if heads:
+            head, texts = np.concatenate(heads), np.frombuffer(b"".join(blocks), np.uint8)
+            del heads, blocks
+            size = head["size"].astype(np.int64)
+            n, left = head["n"].astype(np.int64), head["left"].astype(np.int64)
+            row, a, count = runs(repeated_windows(texts, np.cumsum(size) - size, left, n, length))
+            yield from _ranges(head["row_key"][row], head["first"][row] + left[row] - (a + count - 1), count)
 
     return compare
 
 
-def _hot_digests(length: int) -> Callable:
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, text, marks in _marked(batch):
-                digest = mix64(Rolling(np.frombuffer(text, np.uint8)).each(length)).view(np.int64)
-                at = np.concatenate([np.arange(m["first"], m["first"] + m["n"]) for m in marks])
-                yield _rows([("row_key", pa.int64(), np.full(len(at), key)), ("first", pa.int32(), at.astype(np.int32)), ("digest", pa.int64(), digest[at])])
-
-    return emit
-
-
 def covered(ranges: list[tuple[int, int]], length: int, size: int) -> list[tuple[int, int]]:
     """Maximal byte runs [a, b) covered by windows first..first+n-1."""
     out: list[list[int]] = []
@@ -286,22 +326,12 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGE
     spark = docs.sparkSession
     n = partitions(spark)
     buckets = 8 * n
-    blocks = docs.where(F.octet_length("text") >= length).mapInArrow(_emit_phrases(length, trigger, buckets), "bucket int, block binary")
+    blocks = docs.where(F.octet_length("text") >= length).mapInArrow(_emit_phrases(length, trigger, buckets), "bucket int, known boolean, block binary")
     marks = materialize(blocks.repartition(n, "bucket").mapInArrow(_dictionary(hot), MARKS))
-
-    def texts(kind: int) -> DataFrame:
-        """Documents with marks of a kind."""
-        own = marks.where(F.col("kind") == kind).groupBy("row_key").agg(F.collect_list(F.struct("first", "n", "left", "trigger")).alias("marks"))
-        return docs.join(own, "row_key")
-
-    found = marks.where("kind = 0").select("row_key", "first", "n")
-    compared = texts(1).mapInArrow(_emit_bytes(length, buckets), "bucket int, head binary, bytes binary").repartition(n, "bucket").mapInArrow(_parse_order(length), RANGES)
-    found = found.unionByName(compared)
-    if not marks.where("kind = 2").isEmpty():
-        windows = materialize(texts(2).mapInArrow(_hot_digests(length), "row_key long, first int, digest long"))
-        again = windows.groupBy("digest").agg(F.count("*").alias("times")).where("times > 1")
-        found = found.unionByName(windows.join(again, "digest").select("row_key", "first", F.lit(1).alias("n")))
-    return found
+    open_ = marks.where("kind > 0").groupBy("row_key").agg(F.collect_list(F.struct("first", "n", "left", "trigger", "kind")).alias("marks"))
+    phrases_ = docs.join(open_, "row_key").mapInArrow(_emit_bytes(length, buckets), "bucket int, kind int, head binary, bytes binary")
+    compared = phrases_.repartition(n, "bucket").mapInArrow(_parse_order(length), RANGES)
+    return marks.where("kind = 0").select("row_key", "first", "n").unionByName(compared)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, hot: int = HOT) -> DataFrame:
