@@ -325,7 +325,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGE
     """Rows (row_key, first, n): the windows of a document (row_key, text) that occur elsewhere too."""
     spark = docs.sparkSession
     n = partitions(spark)
-    buckets = 8 * n
+    buckets = 2 * n
     blocks = docs.where(F.octet_length("text") >= length).mapInArrow(_emit_phrases(length, trigger, buckets), "bucket int, known boolean, block binary")
     marks = materialize(blocks.repartition(n, "bucket").mapInArrow(_dictionary(hot), MARKS))
     open_ = marks.where("kind > 0").groupBy("row_key").agg(F.collect_list(F.struct("first", "n", "left", "trigger", "kind")).alias("marks"))
