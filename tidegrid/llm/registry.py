@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from .chats import OP6_SQL, op6_chat_formatting
 from .fingerprints import OP3_SQL, op3_merkle_fingerprints
 from .jaccard_join import op7_ngram_jaccard_join
 from .language_id import op10_language_id
+from .licences import OP1_SQL, op1_license_scans
+from .neighbours import op8_nn_descent
 from .packing import op9_best_fit_packing
 from .suffix_dedup import op2_suffix_array_dedup
 
 
 def queries() -> dict:
-    return {"op2_suffix_array_dedup": op2_suffix_array_dedup, "op3_merkle_fingerprints": op3_merkle_fingerprints, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op10_language_id": op10_language_id, "op9_best_fit_packing": op9_best_fit_packing}
+    found = (
+        op1_license_scans, op2_suffix_array_dedup, op3_merkle_fingerprints,
+        op6_chat_formatting, op7_ngram_jaccard_join, op8_nn_descent, op9_best_fit_packing, op10_language_id,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_merkle_fingerprints": OP3_SQL}
+    return {"op1_license_scans": OP1_SQL, "op3_merkle_fingerprints": OP3_SQL, "op6_chat_formatting": OP6_SQL}
