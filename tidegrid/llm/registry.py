@@ -9,12 +9,13 @@ from .language_id import op10_language_id
 from .licences import OP1_SQL, op1_license_scans
 from .neighbours import op8_nn_descent
 from .packing import op9_best_fit_packing
+from .sentencepiece_sampling import op4_sentencepiece_sampling
 from .suffix_dedup import op2_suffix_array_dedup
 
 
 def queries() -> dict:
     found = (
-        op1_license_scans, op2_suffix_array_dedup, op3_merkle_fingerprints,
+        op1_license_scans, op2_suffix_array_dedup, op3_merkle_fingerprints, op4_sentencepiece_sampling,
         op6_chat_formatting, op7_ngram_jaccard_join, op8_nn_descent, op9_best_fit_packing, op10_language_id,
     )
     return {f.__name__: f for f in found}
