@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by cosine: NN-descent builds a neighbour graph, queries search it greedily.
 
-Building.  Vectors start with neighbours from the cells of random hyperplanes (cells above CELL rows are parted at random).
+Building.  Vectors start with the best of TURNS cells of random hyperplanes, of about CELL vectors each (larger cells are
+parted at random), so a round costs the same for each vector however many there are.
 Each round brings together, at every node, its neighbours and the nodes it is a neighbour of, with their vectors (half
 precision); all pairs among them are measured and each node keeps its best DEGREE.  Rounds end when the mean likeness
 of neighbours hardly rises.
@@ -24,13 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import by_bucket, materialize, partitions
 
-DEGREE = 20
+DEGREE = 24
 #: Candidates that a member of a neighbourhood learns of from it in a round; it keeps the DEGREE best of all.
-OFFERS = 6
+OFFERS = 8
 ROUNDS = 8
 GAIN = 0.004
-CELL = 48
-BEAM, HOPS, WIDE = 32, 4, 64
+CELL, TURNS = 512, 16
+BEAM, HOPS, WIDE = 24, 3, 64
 _MEMBER = "struct<id:long,half:binary,least:float>"
 
 
@@ -129,16 +130,16 @@ def _round(groups: DataFrame, n: int, degree: int) -> DataFrame:
 
 
 def _cells(halves: DataFrame, rows: int, n: int) -> DataFrame:
-    """First neighbourhoods: cells of random hyperplanes, twice; large cells parted at random."""
+    """First neighbourhoods: cells of random hyperplanes, TURNS times; large cells parted at random."""
     bits = max(0, int(np.log2(max(1, rows / CELL))))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = _floats(batch.column("half").to_pylist())
-                for turn in range(2):
+                for turn in range(TURNS):
                     planes = np.random.default_rng(turn).standard_normal((x.shape[1], bits)).astype(np.float32)
-                    cell = ((x @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))) * 2 + turn if bits else np.full(len(x), turn)
+                    cell = ((x @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))) * TURNS + turn if bits else np.full(len(x), turn)
                     yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), *batch.columns], names=["cell", "id", "half"])
 
     coded = materialize(halves.select("id", "half").mapInArrow(code, "cell long, id long, half binary"))
