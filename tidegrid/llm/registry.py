@@ -7,6 +7,7 @@ from .fingerprints import OP3_SQL, op3_merkle_fingerprints
 from .jaccard_join import op7_ngram_jaccard_join
 from .language_id import op10_language_id
 from .licences import OP1_SQL, op1_license_scans
+from .masked_lm import op5_masked_lm_scoring
 from .neighbours import op8_nn_descent
 from .packing import op9_best_fit_packing
 from .sentencepiece_sampling import op4_sentencepiece_sampling
@@ -15,7 +16,7 @@ from .suffix_dedup import op2_suffix_array_dedup
 
 def queries() -> dict:
     found = (
-        op1_license_scans, op2_suffix_array_dedup, op3_merkle_fingerprints, op4_sentencepiece_sampling,
+        op1_license_scans, op2_suffix_array_dedup, op3_merkle_fingerprints, op4_sentencepiece_sampling, op5_masked_lm_scoring,
         op6_chat_formatting, op7_ngram_jaccard_join, op8_nn_descent, op9_best_fit_packing, op10_language_id,
     )
     return {f.__name__: f for f in found}
