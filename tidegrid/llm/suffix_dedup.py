@@ -335,27 +335,30 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGE
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, hot: int = HOT) -> DataFrame:
-    """All columns of docs with n_bytes, spans (removed runs) and kept (binary: the remaining bytes)."""
-    docs = docs.drop("n_bytes", "spans", "kept")
+    """All columns of docs with n_bytes, spans (removed runs), kept (binary: the remaining bytes) and kept_text (their
+    whole characters; a character that is cut goes)."""
+    docs = docs.drop("n_bytes", "spans", "kept", "kept_text")
     keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
     found = repeated_ranges(keyed.select("row_key", "text"), length, trigger, hot)
     ranges = found.groupBy("row_key").agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
-    schema = docs.select("*", F.lit(0).cast("long").alias("n_bytes"), F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("end"))).alias("spans"), F.lit(b"").alias("kept")).schema
+    schema = docs.select("*", F.lit(0).cast("long").alias("n_bytes"), F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("end"))).alias("spans"), F.lit(b"").alias("kept"), F.lit("").alias("kept_text")).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             for part in slices(batch, "text"):
-                sizes, spans, kept = [], [], []
+                sizes, spans, kept, whole = [], [], [], []
                 for text, own in zip(part.column("text").to_pylist(), part.column("ranges").to_pylist()):
                     data = (text or "").encode()
                     gone = covered([(r["first"], r["n"]) for r in own or ()], length, len(data))
                     sizes.append(len(data))
                     spans.append([{"first": a, "end": b} for a, b in gone])
-                    kept.append(b"".join(data[a:b] for a, b in zip([0, *(b for _, b in gone)], [*(a for a, _ in gone), len(data)])))
+                    rest = [data[a:b] for a, b in zip([0, *(b for _, b in gone)], [*(a for a, _ in gone), len(data)])]
+                    kept.append(b"".join(rest))
+                    whole.append("".join(x.decode(errors="ignore") for x in rest))
                 names = [f.name for f in schema.fields]
                 own_columns = [c for c, k in zip(part.columns, part.schema.names) if k != "ranges"]
-                yield pa.RecordBatch.from_arrays([*own_columns, pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*own_columns, pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(whole, pa.string())], names=names)
 
     return keyed.join(ranges, "row_key", "left").drop("row_key").mapInArrow(cut, schema)
 
