@@ -1,0 +1 @@
+"""Streaming: the library works on bounded tables; rates over unbounded input are left to Structured Streaming itself."""
