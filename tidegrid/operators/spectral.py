@@ -90,4 +90,4 @@ def wave_readouts(rows: DataFrame, by: Sequence[str], x: str, fs: float, width:
         return column.map(lambda v: signal.readouts(np.asarray([] if v is None else v, float), width, fs, step_s, nfft, low, high))
 
     pairs = F.arrays_zip(F.array(*map(F.lit, names)).alias("readout"), run(F.col(x)).alias("bpm"))
-    return rows.select(*by, F.explode(pairs).alias("r")).select(*by, "r.readout", "r.bpm")
+    return rows.select(*by, F.explode(pairs).alias("r")).select(*by, "r.readout", F.coalesce("r.bpm", F.lit(float("nan"))).alias("bpm"))
