@@ -29,9 +29,9 @@ DEGREE = 24
 #: Candidates that a member of a neighbourhood learns of from it in a round; it keeps the DEGREE best of all.
 OFFERS = 8
 ROUNDS = 8
-GAIN = 0.004
+GAIN = 0.001
 CELL, TURNS = 512, 16
-BEAM, HOPS, WIDE = 24, 3, 64
+BEAM, HOPS, WIDE = 40, 4, 64
 _MEMBER = "struct<id:long,half:binary,least:float>"
 
 
