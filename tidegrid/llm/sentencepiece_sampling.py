@@ -68,6 +68,9 @@ class Vocabulary:
                 self.spelled.append(piece.replace(MARK, " ").encode())
                 if MARK not in piece[1:]:
                     number[piece.replace(MARK, " ")] = i
+        self.spelled_size = np.array([len(x) for x in self.spelled], np.int64)
+        self.spelled_first = np.cumsum(self.spelled_size) - self.spelled_size
+        self.letters = np.frombuffer(b"".join(self.spelled), np.uint8)
         self.weight = (2.0 + np.arange(model.vocab_size())) ** -sharpness
         self.longest = max(map(len, number))
         names = list(number)
@@ -92,9 +95,15 @@ class Vocabulary:
             found[hit] = self.ids[slot[hit] + probe]
         return found
 
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The texts of segmentations that stand in one array, from bounds[k] to bounds[k + 1]."""
+        size = self.spelled_size[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.spelled_first[ids] - ends[:-1], size) + np.arange(ends[-1])
+        return pa.Array.from_buffers(pa.string(), len(bounds) - 1, [None, pa.py_buffer(ends[bounds].astype(np.int32)), pa.py_buffer(self.letters[at])])
+
     def decode(self, ids: list[int]) -> str:
-        spelled = self.spelled
-        return b"".join([spelled[i] for i in ids]).decode()
+        return b"".join([self.spelled[i] for i in ids]).decode()
 
 
 class Lattices:
@@ -219,7 +228,7 @@ def encode(rows: DataFrame, key: str = "doc_id", text: str = "text", sharpness:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _vocabulary(vocabulary, sharpness)
         for batch in batches:
-            for part in slices(batch, text, 2 << 20):
+            for part in slices(batch, text, 1 << 20):
                 keys = np.array([k or 0 for k in part.column(key).to_pylist()], np.int64)
                 ids, number = segment([t or "" for t in part.column(text).to_pylist()], keys, words)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(number)]), pa.int32()), pa.array(ids, pa.int32()))
@@ -236,8 +245,14 @@ def decode(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _vocabulary(vocabulary, SHARPNESS)
         for batch in batches:
-            texts = [words.decode(x or []) for x in batch.column("pieces").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[f.name for f in schema.fields])
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                pieces = part.column("pieces")
+                bounds = pieces.offsets.to_numpy().astype(np.int64)
+                ids = pieces.values.to_numpy()[bounds[0] : bounds[-1]]
+                texts = words.decode_all(ids, bounds - bounds[0])
+                texts.validate(full=True)
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[f.name for f in schema.fields])
 
     return rows.mapInArrow(run, schema)
 
