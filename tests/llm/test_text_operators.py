@@ -247,3 +247,14 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert set(kept) == {*range(30), 32, 33} and all(kept[i] == texts[i] for i in range(30))
     assert all(passage[10:-10] not in kept[i] for i in (32, 33))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(kept)
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    texts = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(40)) for _ in range(8)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1] + " x"), (7, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[4] + " x"), (None, texts[5]), (3, texts[5]), (3, texts[5]), (1, texts[6])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text.removesuffix(" x")) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[4]), (3, texts[5]), (1, texts[6])], key=str)
