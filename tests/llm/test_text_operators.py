@@ -258,3 +258,19 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = [(r.doc_id, r.text.removesuffix(" x")) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
     assert sorted(kept, key=str) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[4]), (3, texts[5]), (1, texts[6])], key=str)
+
+
+def test_packing_knows_added_tokens(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x\n", "no <|endoftext| > here", "<|END|>  of  text", None]
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: zlib.crc32(np.array([*model.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t in enumerate(texts)}
+    assert model.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for packed in (packing.op9_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, str(tmp_path))):
+        assert {r.doc_id: r.ids_crc32 for r in packed.collect()} == want

@@ -27,6 +27,8 @@ from .common import materialize, slices
 
 CAPACITY = 2048
 END_ID = 0
+#: The tokenizer whose added tokens the queries know.
+ADDED = "byte_bpe_50k.json"
 #: Words whose ids a worker remembers; beyond it the memory is emptied, which costs time only.
 CACHE_WORDS = 400_000
 #: Ranks within a length are counted in so many parts, so that one frequent length is no single task.
@@ -39,14 +41,19 @@ class CachedTokenizer:
 
     The vocabulary's pattern starts a new unit at every space that is followed by something else than white space,
     so ids of "word" and " word" can be kept and put together.  Other texts are encoded as a whole.  The ids are those
-    that ``tokenizers`` gives with byte_bpe_50k.json and add_special_tokens=False, strings of special tokens being
-    ordinary text; the ranks file holds the same vocabulary and is read faster.  Tests hold one against the other.
+    that ``tokenizers`` gives with byte_bpe_50k.json and add_special_tokens=False; the ranks file holds the same
+    vocabulary and is read faster.  Tests hold one against the other.  With ``added_path``, the json, texts that hold
+    one of its added tokens go through ``tokenizers``; without, such strings are ordinary text.
     """
 
     _open = re.compile(r" (?:\s|\Z)")
 
-    def __init__(self, ranks_path: str):
+    def __init__(self, ranks_path: str, added_path: str | None = None):
         import tiktoken
+        from tokenizers import Tokenizer
+
+        self._whole = Tokenizer.from_file(added_path) if added_path else None
+        self._added = [t.content for t in self._whole.get_added_tokens_decoder().values()] if self._whole else []
 
         with open(ranks_path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
@@ -56,6 +63,8 @@ class CachedTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
+        if any(t in text for t in self._added):
+            return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self._open.search(text):
             return np.array(self._encode(text), "<u4").tobytes()
         if len(self._known) > CACHE_WORDS:
@@ -70,17 +79,17 @@ class CachedTokenizer:
 
 
 @lru_cache(1)
-def _tokenizer(name: str) -> CachedTokenizer:
+def _tokenizer(name: str, added: str | None) -> CachedTokenizer:
     import public_tokenizers
 
-    return CachedTokenizer(public_tokenizers.path(name))
+    return CachedTokenizer(public_tokenizers.path(name), public_tokenizers.path(added) if added else None)
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.tiktoken", keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.tiktoken", keep_ids: bool = False, added: str | None = None) -> DataFrame:
     """One row per piece of a document (doc_id, text): piece, start, length, CRC-32 of the ids, and the ids if asked."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = _tokenizer(vocabulary).encode, np.array([END_ID], "<u4").tobytes()
+        encode, end = _tokenizer(vocabulary, added).encode, np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch, "text"):
                 rows: list[tuple] = []
@@ -153,10 +162,10 @@ def _ranked(pieces: DataFrame) -> DataFrame:
     return parted.withColumn("within", within).join(counts.drop("n"), ["length", "part"]).withColumn("rank", F.col("within") + F.col("ahead")).drop("part", "within", "ahead")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.tiktoken", keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.tiktoken", keep_ids: bool = False, added: str | None = None) -> DataFrame:
     """Pieces of all documents with sequence_id and offset; offsets of a sequence are gapless from 0."""
     spark = docs.sparkSession
-    pieces = materialize(token_pieces(docs, capacity, vocabulary, keep_ids))
+    pieces = materialize(token_pieces(docs, capacity, vocabulary, keep_ids, added))
     counted = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most `capacity` rows
     rows = plan({r["length"]: r["n"] for r in counted}, capacity)
     slots = spark.createDataFrame(rows, "length long, first_rank long, places long, first_sequence long, offset long")
@@ -167,4 +176,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), added=ADDED)
