@@ -274,3 +274,17 @@ def test_packing_knows_added_tokens(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for packed in (packing.op9_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, str(tmp_path))):
         assert {r.doc_id: r.ids_crc32 for r in packed.collect()} == want
+
+
+def test_masked_lm_learns_from_all_tokens_and_tells_words_of_a_class_apart(spark):
+    texts = ["a b often"] * 9 + ["a b seldom", "c d"]
+    docs = docs_of(spark, texts)
+    network = masked_lm.train(docs, frequent=2, rare=1)
+    got = {r.doc_id: r for r in masked_lm.score(docs, network).collect()}
+    assert network.words == {"a": 0, "b": 1} and [got[i].n_tokens for i in (0, 9, 10)] == [3, 3, 2]
+    assert got[0].log_prob - got[9].log_prob == pytest.approx(math.log(9))
+    ids, sizes = network.token_ids(["a b often"])
+    each = network.log_probs(ids, network.contexts(ids, sizes))
+    assert got[0].log_prob == pytest.approx(each.sum() + math.log(9 / 12))
+    seen = [b.column("weight")[0].as_py() for text in texts[:1] for b in masked_lm._train_copies(network)(iter([masked_lm.pa.RecordBatch.from_pydict({"text": [text]})]))]
+    assert seen == [3.0]
