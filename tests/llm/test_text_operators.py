@@ -57,8 +57,8 @@ def _components(rows, words, percent):
 @pytest.mark.parametrize("words,percent,small", [(3, 90, 3), (2, 80, 24)])
 def test_jaccard_join_against_brute_force(spark, monkeypatch, words, percent, small):
     monkeypatch.setattr(jaccard_join, "SMALL", small)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
-    monkeypatch.setattr(jaccard_join, "SAMPLE", 64)
+    for name, value in {"BLOCK": 7, "LEAF": 9, "PIVOTS": 4, "DEAL": 20, "SAMPLE": 64, "HELD_KEYS": 500, "HELD_PAIRS": 300}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
     rnd = random.Random(3)
     base = [[rnd.choice("abcdefghijklmnop") * rnd.randint(1, 2) for _ in range(rnd.randint(1, 90))] for _ in range(10)]
     texts = list(ODD)
@@ -72,6 +72,53 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, words, percent, sm
     assert got == _components(rows, words, percent)
 
 
+@pytest.mark.parametrize("percent,leaf", [(90, 12), (80, 12), (60, 30), (80, 10_000)])
+def test_voronoi_regions_keep_every_link(spark, monkeypatch, percent, leaf):
+    """Clusters of near copies, of far ones and of a shared passage, joined by pivots, have the components of all pairs."""
+    for name, value in {"BLOCK": 16, "LEAF": leaf, "PIVOTS": 5, "DEAL": 40}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    rnd = random.Random(percent)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    passage, texts = [word() for _ in range(12)], []
+    for _ in range(6):
+        base = [word() for _ in range(40)]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(rnd.randint(0, 6)):
+                w[rnd.randrange(40)] = word()
+            texts.append(" ".join(w))
+    texts += [" ".join([*passage, *(word() for _ in range(25))]) for _ in range(40)]
+    sets = jaccard_join.shingle_sets(texts, 2)
+    rows = [(k % 2, k, len(sets[k]), t) for k, t in enumerate(texts)]
+    members = spark.createDataFrame(rows, "region long, node long, n_shingles long, text string")
+    found = components.components(jaccard_join.region_links(members, 2, percent, 4))
+    got = {r.node: r.component for r in found.collect()}
+    for half in (0, 1):
+        want = _components([(k, t) for k, t in enumerate(texts) if k % 2 == half], 2, percent)
+        assert {k: got.get(k, k) for k in want} == {k: c for k, (_, c) in want.items()}
+
+
+def test_windows_of_the_triangle_inequality():
+    """A linked pair is always in a region where one of the two is at home."""
+    rng, r = np.random.default_rng(3), 0.2
+    universe = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(rng.choice(universe[:60] if k % 2 else universe, rng.integers(5, 30))) for k in range(160)]
+    sets += [np.unique(np.append(x[1:], universe[k])) for k, x in enumerate(sets)]
+    chain = [universe[k : k + 60] for k in range(0, 120, 3)]  # neighbours differ by three of sixty
+    sets += [np.sort(x) for x in chain]
+    pivots = sets[::50] + [np.sort(x) for x in chain[::9]]
+    elements = np.unique(np.concatenate(pivots))
+    incidence = np.stack([np.isin(elements, p) for p in pivots], axis=1).astype(np.int32)
+    placed = [jaccard_join.assign(x, elements, incidence, np.array([len(p) for p in pivots]), r) for x in sets]
+    links = 0
+    for (x, (home_x, in_x, _)), (y, (home_y, in_y, _)) in itertools.combinations(zip(sets, placed), 2):
+        both = len(np.intersect1d(x, y))
+        if both >= 0.8 * (len(x) + len(y) - both):
+            links += 1
+            assert home_x in in_y or home_y in in_x
+    assert links > 50 and any(len(p[1]) > 1 for p in placed)
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.similarity_components(docs_of(spark, ["x"]).limit(0)).count() == 0
 
