@@ -5,8 +5,10 @@ holds).  Best-fit decreasing runs over those counts: a step places all pieces of
 of open sequence at once.  Its rows say "pieces of length l with ranks from lo on go to sequences from s on, at
 offset o"; pieces take their slots by joining on rank within length.
 
-Defined results: a null text is an empty one (its only token is the closing id 0), repeated rows of a doc_id are
-packed as often as they come, an empty table gives an empty result, further columns are ignored.
+Defined results: a null text is an empty one (its only token is the closing id 0), rows of a null or repeated doc_id are
+packed as often as they come, a text of any length is cut into as many pieces as it takes, pieces of equal length are
+placed in the order of doc_id, piece and checksum within their part, an empty table gives an empty result, further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, partitions, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -31,8 +33,8 @@ END_ID = 0
 ADDED = "byte_bpe_50k.json"
 #: Words whose ids a worker remembers; beyond it the memory is emptied, which costs time only.
 CACHE_WORDS = 400_000
-#: Ranks within a length are counted in so many parts, so that one frequent length is no single task.
-RANK_PARTS = 256
+#: Rows of the plan that are broadcast; a longer plan is joined without a hint.  A plan has a few rows for each length.
+MOST_SLOTS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -154,11 +156,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 
 def _ranked(pieces: DataFrame) -> DataFrame:
-    """Adds the rank (from 0) of each piece among those of its length, without gathering a length in one task."""
-    parted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_PARTS)).cast("int"))
+    """Adds the rank (from 0) of each piece among those of its length, without gathering a length in one task: ranks are
+    counted in parts, four for each shuffle partition."""
+    parts = 4 * partitions(pieces.sparkSession)
+    parted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = parted.groupBy("length", "part").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
     return parted.withColumn("within", within).join(counts.drop("n"), ["length", "part"]).withColumn("rank", F.col("within") + F.col("ahead")).drop("part", "within", "ahead")
 
 
@@ -169,6 +173,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_
     counted = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most `capacity` rows
     rows = plan({r["length"]: r["n"] for r in counted}, capacity)
     slots = spark.createDataFrame(rows, "length long, first_rank long, places long, first_sequence long, offset long")
+    slots = F.broadcast(slots) if len(rows) <= MOST_SLOTS else slots
     ranked = _ranked(pieces)
     fits = (ranked["length"] == slots["length"]) & (ranked["rank"] >= slots["first_rank"]) & (ranked["rank"] < slots["first_rank"] + slots["places"])
     placed = ranked.join(slots, fits).withColumn("sequence_id", F.col("first_sequence") + F.col("rank") - F.col("first_rank"))
