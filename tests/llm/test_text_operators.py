@@ -134,9 +134,8 @@ def test_packing_is_exact_and_gapless(spark):
     from tokenizers import Tokenizer
 
     texts = [*ODD, "  two  spaces \n x", "it's 12 o'clock!\n\n ", "<|endoftext|>", "b " * 700] + ["same words here"] * 40
-    out = packing.pack(docs_of(spark, texts, "piece"), capacity=64, keep_ids=True).collect()
+    out = packing.pack(docs_of(spark, texts, "piece"), capacity=64, keep_ids=True, added=packing.ADDED).collect()
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     for i, t in enumerate(texts):
         ids = [*model.encode(t or "", add_special_tokens=False).ids, 0]
         own = sorted((r for r in out if r.doc_id == i), key=lambda r: r.piece)
@@ -151,6 +150,18 @@ def test_packing_is_exact_and_gapless(spark):
     assert packing.pack(docs_of(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_packing_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b c"), (None, "a b c"), (None, "x"), (7, "same"), (7, "other text"), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit("clash")).withColumn("offset", F.lit(-1))
+    out = packing.pack(df, capacity=4).collect()
+    assert Counter(r.doc_id for r in out if r.piece == 0) == {None: 3, 7: 3, 8: 1}
+    used = Counter()
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == used[r.sequence_id]
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 4
+
+
 def test_plan_matches_best_fit_by_piece():
     rnd = random.Random(1)
     sizes = [rnd.choice([3, 5, 7, 20, 33, 50, 64]) for _ in range(400)]
@@ -180,10 +191,49 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.identify(unlabelled).collect()} == {"und"}
 
 
-def test_cross_parsing_counts_phrases():
-    parser = language_id.CrossParser({"a": "abcabd", "b": "xyz"})
-    sym, first, _ = language_id.symbols(["abdabcx"], parser.table)
-    assert parser.phrases(sym, first)[:, 0].tolist() == [3, 8]  # abd abc x, where a text ends like a sample; a b d a b c x end
+def test_cross_parsing_against_a_plain_parser():
+    """Greedy longest matches, line by line; letters beyond the frequent ones are told apart."""
+    rnd = random.Random(9)
+    samples = {"a": "".join(rnd.choice("abcd \u4e00\u4e01é") for _ in range(300)), "b": "".join(rnd.choice("abxy, \u4e02ß") for _ in range(300)), "c": "q"}
+    parser = language_id.CrossParser(samples)
+
+    def spelled(text):
+        sym, first, of, _ = language_id.symbols([text], parser.table)
+        return [bytes(sym[a:z]) for a, z in zip(first[:-1], first[1:])]
+
+    known = {k: bytes(language_id.symbols([v], parser.table)[0]) for k, v in samples.items()}
+    texts = ["", "a", "abab\nxyxy ab", "\u4e00\u4e02\u4e01", "".join(rnd.choice("abcdxyqz ,é\n\u4e00\u4e02\u4e03") for _ in range(400)), "\n\n", " ab"]
+    sym, first, of, letters = language_id.symbols(texts, parser.table)
+    got = parser.phrases(sym, first, of, len(texts))
+    for i, text in enumerate(texts):
+        for k, name in enumerate(parser.languages):
+            want = 0
+            for line in spelled(text):
+                at = 0
+                while at < len(line):
+                    n = head = int(line[at : at + 1] not in known[name])
+                    while at + n < len(line) and line[at + head : at + n + 1] in known[name]:
+                        n += 1
+                    at, want = at + n, want + 1
+            assert got[k, i] == want, (text, name)
+    assert letters.tolist() == [sum(c.isalpha() for c in t) for t in texts]
+
+
+def test_languages_of_large_and_disjoint_alphabets(spark):
+    rnd = random.Random(12)
+    kinds = {"aa": range(0x4E00, 0x4EC8), "bb": range(0x4EC8, 0x4F90), "cc": range(0xAC00, 0xACC8)}
+    rows = [(i, "".join(chr(rnd.choice(kinds[k])) for _ in range(60)), k) for i, k in enumerate(rnd.choices(list(kinds), k=240))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, language_id.CrossParser(language_id.sample(docs))).collect()}
+    assert all(got[i] == k for i, _, k in rows if zlib.crc32(str(i).encode()) % 4 == 2)
+
+
+def test_language_id_of_long_texts_and_nothing(spark):
+    long = ("kato mika tomi " * 2000, "schung ürsch ungür " * 2000)
+    docs = spark.createDataFrame([(1, long[0], "aa"), (4, long[1], "bb"), (5, long[0] + "x" * 5000, None), (5, long[1], None), (5, long[1], None)], "doc_id long, text string, lang string")
+    assert max(map(len, language_id.sample(docs).values())) <= language_id.SAMPLE_LETTERS + language_id.WINDOWS
+    assert sorted(r.lang_pred for r in language_id.identify(docs).collect()) == ["aa", "aa", "bb", "bb", "bb"]
+    assert language_id.identify(docs.limit(0)).count() == 0
 
 
 def test_fingerprints(spark):

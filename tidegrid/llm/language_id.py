@@ -1,15 +1,23 @@
 """Language ID by cross-parsing entropy.
 
-Each language has a suffix automaton of a bounded sample of its labelled text.  A text is parsed greedily into the
-longest strings that occur in the sample; the language that needs the fewest phrases for the text's letters wins.
-Parsing starts anew every SEGMENT symbols at most, so that many pieces of many texts step through their automata side
-by side; the counts of all pieces of a text are added, and no text is cut short.
+Each language has a suffix automaton of a bounded sample of its labelled text.  Each line of a text is parsed greedily
+into the longest strings that occur in the sample; the language that needs the fewest phrases for the text's letters
+wins.  The lines of many texts step through their automata side by side; the counts of all lines of a text are added.
 
-Only ``text`` and non-null ``lang`` of rows outside the held-out quarter are learned from.  The sample holds at most
-SAMPLE_DOCS documents and SAMPLE_SYMBOLS symbols a language; every text is then scored whole.
+Letters are symbols of an alphabet without an "other letter": the FREQUENT letters of the samples are one symbol each,
+every other letter is spelled by DIGITS digits of its code point after an escape, so no two letters are alike, however
+many the scripts and languages have.  What a language's sample lacks begins a phrase, which the longest match after it
+continues.
+
+Only ``text`` and non-null ``lang`` of rows outside the held-out quarter are learned from.  The sample of a language is
+bounded by SAMPLE_DOCS documents and SAMPLE_LETTERS characters: whole texts in the order of a hash of doc_id, those of up
+to SAMPLE_TEXT characters first; where a language has longer ones only, WINDOWS windows spread over each of them.
+Every text is then scored whole.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any labelled row every text
-is ``und``; equal counts go to the language first in order; repeated rows are scored as often as they come.
+is ``und``; equal counts go to the language first in order; repeated rows are scored as often as they come; texts of any
+length are parsed whole; an empty table gives an empty result; further columns stay, but for lang_pred and score, which
+are replaced.
 """
 
 from __future__ import annotations
@@ -24,10 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-SAMPLE_DOCS = 64
-SAMPLE_SYMBOLS = 12_000
-ALPHABET = 62
-SEGMENT = 512
+SAMPLE_DOCS, SAMPLE_LETTERS, SAMPLE_TEXT, WINDOWS = 64, 20_000, 2_500, 16
+#: Letters with a symbol of their own, and the digits of base 2 ** BITS that spell others.
+FREQUENT, DIGITS, BITS = 40, 4, 6
+ESCAPE = FREQUENT + 1
 UNDETERMINED = "und"
 MISS = np.int32(-(2**31))
 
@@ -68,29 +76,42 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 def symbol_table(samples: dict[str, str]) -> np.ndarray:
-    """Symbol of each code point: 0 no letter, 1 a rare letter, then the most frequent letters without case."""
+    """Symbol of each code point: 0 no letter, 1 to FREQUENT the most frequent letters without case, otherwise ESCAPE plus
+    the code point of the lower-case letter."""
     count = Counter(c for text in samples.values() for c in text.lower() if c.isalpha())
-    number = {c: k + 2 for k, (c, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])}
-    table = np.zeros(0x110000, np.uint8)
+    number = {c: k + 1 for k, (c, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT])}
+    table = np.zeros(0x110000, np.int32)
     for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
-            table[i] = number.get(c.lower(), 1)
+            low = c.lower()
+            table[i] = number.get(low, ESCAPE + ord(low[0]))
     return table
 
 
-def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts' symbols in one array with runs of no-letters as one; first of each text and the end; letters of each."""
+def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All lines' symbols in one array, with runs of no-letters as one; first of each line and the end; the text of each
+    line; letters of each text."""
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     sym = table[points]
     letter = sym != 0
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    kept = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[bounds]
-    letters = np.diff(np.concatenate([[0], np.cumsum(letter, dtype=np.int64)])[bounds])
-    return sym[keep], kept, letters
+    ends = np.flatnonzero(points == 10) + 1  # a text ends with a line end of its own
+    text = np.searchsorted(np.cumsum(sizes), ends - 1, side="right")
+    letters = np.bincount(np.repeat(np.arange(len(texts)), sizes), letter, len(texts)).astype(np.int64)
+    width = np.where(keep, np.where(sym >= ESCAPE, 1 + DIGITS, 1), 0)
+    first = np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], ends])]
+    sym, width = sym[keep], width[keep]
+    if len(sym) and width.max() > 1:
+        at = np.cumsum(width) - width
+        out = np.repeat(np.where(width > 1, ESCAPE, sym), width)
+        odd = width > 1
+        for k in range(DIGITS):
+            out[at[odd] + 1 + k] = ESCAPE + 1 + ((sym[odd] - ESCAPE) >> (BITS * k) & ((1 << BITS) - 1))
+        sym = out
+    return sym.astype(np.uint8), first, text, letters
 
 
 class CrossParser:
@@ -101,10 +122,11 @@ class CrossParser:
         self.languages = sorted(samples)
         self.table = symbol_table(samples)
         self.width = int(self.table.max()) + 1
+        self.width = ESCAPE + 1 + (1 << BITS)
         tables, self.roots, base = [], [], 0
         for name in self.languages:
-            own, _, _ = symbols([samples[name]], self.table)
-            follow = suffix_automaton(own[:SAMPLE_SYMBOLS].tolist())
+            own, _, _, _ = symbols([samples[name]], self.table)
+            follow = suffix_automaton(own.tolist())
             restart = np.full(self.width, base, np.int64)
             for c, s in follow[0].items():
                 restart[c] = base + s * self.width
@@ -117,15 +139,11 @@ class CrossParser:
             base += dense.size
         self.next = np.concatenate(tables) if tables else np.empty(0, np.int32)
 
-    def phrases(self, sym: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def phrases(self, sym: np.ndarray, first: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
         """Phrases of each text (column) by each language (row)."""
-        n = np.diff(first)
-        parts = np.maximum(1, -(-n // SEGMENT))
-        text = np.repeat(np.arange(len(n)), parts)
-        j = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
-        start = first[text] + n[text] * j // parts[text]
-        size = first[text] + n[text] * (j + 1) // parts[text] - start
+        start, size = first[:-1], np.diff(first)
         order = np.argsort(-size, kind="stable")
+        order = order[size[order] > 0]
         start, size, text = start[order], size[order], text[order]
         active = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
         state = np.repeat(np.array(self.roots, np.int32)[:, None], len(size), axis=1)
@@ -133,22 +151,27 @@ class CrossParser:
         for t, m in enumerate(active.tolist()):
             c = sym[start[:m] + t].astype(np.int32)
             went = self.next[state[:, :m] + c]
-            count[:, :m] -= went >> 31
+            if t:
+                count[:, :m] -= went >> 31
             state[:, :m] = went & 0x7FFFFFFF
-        return np.stack([np.bincount(text, row, len(n)) for row in count]) if len(count) else np.empty((0, len(n)))
+        return np.stack([np.bincount(text, row, texts) for row in count]) if len(count) else np.empty((0, texts))
 
 
-def sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS) -> dict[str, str]:
-    """Text of a few labelled documents a language, chosen by a hash of doc_id; bounded by docs_each and SAMPLE_SYMBOLS."""
+def sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, letters: int = SAMPLE_LETTERS) -> dict[str, str]:
+    """Text of a few labelled documents a language; docs_each rows of a language at most reach the driver, none of them
+    with more than ``letters`` characters."""
     labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull() & ~held_out())
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= docs_each)
-    ids = [r["doc_id"] for r in chosen.select("doc_id").collect()]
-    share = 2 * SAMPLE_SYMBOLS // docs_each
-    rows = labelled.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", F.substring("text", 1, share).alias("part")).collect() if ids else []
+    n = F.char_length("text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(n > SAMPLE_TEXT, F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.substring("text", (1 + F.floor((n - letters // WINDOWS) * k / (WINDOWS - 1))).cast("int"), F.lit(letters // WINDOWS)))
+    body = F.when(n > letters, F.array_join(spread, "\n")).otherwise(F.col("text")).alias("body")
+    rows = labelled.select("lang", "doc_id", body, place.alias("place")).where(F.col("place") <= docs_each).collect()
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["part"])):
-        texts.setdefault(r["lang"], []).append(r["part"])
+    held: Counter[str] = Counter()
+    for r in sorted(rows, key=lambda r: (r["lang"], r["place"])):
+        if held[r["lang"]] < letters:
+            texts.setdefault(r["lang"], []).append(r["body"])
+            held[r["lang"]] += len(r["body"])
     return {k: "\n".join(v) for k, v in texts.items() if any(c.isalpha() for t in v for c in t)}
 
 
@@ -166,10 +189,10 @@ def identify(docs: DataFrame, parser: CrossParser | None = None) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                sym, first, letters = symbols(texts, model.table)
+                sym, first, line_of, letters = symbols(texts, model.table)
                 best, sure = np.full(len(texts), len(model.languages)), np.zeros(len(texts))
                 if model.languages:
-                    need = model.phrases(sym, first)
+                    need = model.phrases(sym, first, line_of, len(texts))
                     two = np.sort(need, axis=0)[:2]
                     best = np.where(letters > 0, need.argmin(axis=0), best)
                     sure = np.where(letters > 0, 1 - two[0] / two[-1] if len(two) > 1 else 1.0, 0.0)
