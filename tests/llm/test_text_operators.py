@@ -261,12 +261,40 @@ def test_sampled_segmentations(spark):
     def ways(s):
         return [((), 1.0)] if not s else [((number[s[:k]], *rest), words.weight[number[s[:k]]] * w) for k in range(1, len(s) + 1) if s[:k] in number for rest, w in ways(s[k:])]
 
-    want = dict(ways("there"))
-    ids, sizes = sentencepiece_sampling.segment(["there"] * 20_000, np.arange(20_000), words)
-    got = Counter(tuple(x.tolist()) for x in np.split(ids, np.cumsum(sizes)[:-1]))
-    total = sum(want.values())
-    for way, w in want.items():
-        assert abs(got[way] / 20_000 - w / total) < 5 * math.sqrt(w / total / 20_000) + 1e-3
+    for text in ("there", "    if"):  # runs of spaces have pieces too
+        want = dict(ways(text))
+        ids, sizes = sentencepiece_sampling.segment([text] * 20_000, np.arange(20_000), words)
+        got = Counter(tuple(x.tolist()) for x in np.split(ids, np.cumsum(sizes)[:-1]))
+        total = sum(want.values())
+        for way, w in want.items():
+            assert abs(got[way] / 20_000 - w / total) < 5 * math.sqrt(w / total / 20_000) + 1e-3
+
+
+def test_long_units_have_one_lattice(spark, monkeypatch):
+    """Shares of the last pieces do not depend on how often sums are scaled, and pieces span every place."""
+    import public_tokenizers
+
+    words = sentencepiece_sampling.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    shares = []
+    assert words.longest < 24
+    for step in (24, 32):  # more than the longest piece
+        monkeypatch.setattr(sentencepiece_sampling, "RESCALE", step)
+        shares.append(sentencepiece_sampling.Lattices(["the" * 20, "internationalization" * 4, "a"], words).until)
+    assert np.allclose(*shares)
+    text = "there" * 4000 + "x" * 3000
+    ids, sizes = sentencepiece_sampling.segment([text] * 3, np.arange(3), words)
+    crossed = set()
+    for own in np.split(ids, np.cumsum(sizes)[:-1]):
+        assert words.decode(own.tolist()) == text
+        crossed |= set(range(len(text))) - set(np.cumsum([len(words.spelled[i]) for i in own.tolist()]).tolist())
+    assert len(crossed) > 0.9 * len(text) and crossed & {64 * k for k in range(1, 300)}
+
+
+def test_sampled_segmentations_of_odd_rows(spark):
+    rows = [(None, "the same text"), (None, "the same text"), (0, "the same text"), (5, "the same text"), (5, "the same text")]
+    got = [(r.doc_id, tuple(r.pieces)) for r in sentencepiece_sampling.encode(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len({p for i, p in got if i in (None, 0)}) == 1 and len({p for i, p in got if i == 5}) == 1 and len(got) == 5
+    assert sentencepiece_sampling.decode(sentencepiece_sampling.encode(docs_of(spark, ["x"]).limit(0))).count() == 0
 
 
 def test_masked_lm(spark):

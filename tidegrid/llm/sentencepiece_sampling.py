@@ -1,7 +1,7 @@
 """Sampled segmentations over a SentencePiece vocabulary, and lossless decoding.
 
-Spaces become the vocabulary's space mark, which pieces hold at their start only, so the lattice of a text falls apart
-into the lattices of its units (a space and what follows up to the next one).  A unit's lattice has an edge for every
+Spaces become the vocabulary's space mark.  No piece holds a mark after another character, so the lattice of a text falls
+apart into the lattices of its units (a run of spaces and what follows up to the next one).  A unit's lattice has an edge for every
 piece that it holds, and one of byte pieces for every character that is no piece (a literal space mark is none).
 Forward filtering sums the weights of all ways to each place; backward sampling draws the last piece in proportion,
 then the one before it, and so on.  The pieces of a BPE vocabulary come in the order of their merges and have no
@@ -11,12 +11,13 @@ Draws are a hash of the row's key, the unit's place and the step, so a row has t
 whenever it is computed.  The distinct units of a batch are filtered side by side, and all units draw side by side.
 
 Defined results: a null text is an empty one (no pieces); a null key counts as 0; texts are split as they are, with no
-normalisation, so decoding gives back the very text; units are cut after UNIT characters; repeated rows get the same
-segmentation; further columns stay.
+normalisation, so decoding gives back the very text; units of any length have one lattice; repeated rows get the same
+segmentation; an empty table gives an empty result; further columns stay, but for pieces and decoded, which are replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,12 +30,12 @@ from .common import mix64, slices
 
 MARK = "▁"
 SHARPNESS = 0.5
-UNIT = 64
 VOCABULARY = "piece_bpe_32k.model"
 _U = np.uint64
 _BASE, _SLOTS = 0xC2B2AE3D27D4EB4F, 18
-#: Weights are taken times this for each character, alike for all ways, which keeps sums within floating-point range.
-_PER_CHARACTER = 1e4
+#: Weights are taken times this for each character, alike for all ways; every RESCALE characters the sums of a unit are
+#: divided by the last one.  Both keep sums within floating-point range and change no share.
+_PER_CHARACTER, RESCALE = 1e4, 32
 
 
 def _prefix_sums(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +67,9 @@ class Vocabulary:
                 self.spelled.append(b"")
             else:
                 self.spelled.append(piece.replace(MARK, " ").encode())
-                if MARK not in piece[1:]:
-                    number[piece.replace(MARK, " ")] = i
+                if MARK in piece.lstrip(MARK):
+                    raise ValueError(f"a piece with a space mark after other characters: {piece!r}")
+                number[piece.replace(MARK, " ")] = i
         self.spelled_size = np.array([len(x) for x in self.spelled], np.int64)
         self.spelled_first = np.cumsum(self.spelled_size) - self.spelled_size
         self.letters = np.frombuffer(b"".join(self.spelled), np.uint8)
@@ -145,6 +147,12 @@ class Lattices:
             total = np.add.reduceat(way, own)
             forward[end[a:z][own]] = total
             share[a:z] = way / np.repeat(total, np.diff([*own, z - a]))
+            here = offset[end[a]] if z > a else 0
+            if here and here % max(RESCALE, words.longest + 1) == 0:
+                last = end[a:z][own]
+                scale = forward[last].copy()
+                for k in range(min(here, words.longest) + 1):
+                    forward[last - k] /= scale
         self.until = np.cumsum(share)
         self.group_first = groups
         self.group_last = np.concatenate([groups[1:], [len(end)]]) - 1
@@ -174,12 +182,7 @@ class Lattices:
         return out, count
 
 
-def _units(text: str) -> list[str]:
-    first, *rest = text.split(" ")
-    units = [first, *[" " + w for w in rest]]
-    if max(map(len, units)) > UNIT:
-        units = [u[a : a + UNIT] for u in units for a in range(0, len(u), UNIT)]
-    return units
+_UNIT = re.compile(" *[^ ]+| +")
 
 
 def segment(texts: list[str], keys: np.ndarray, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +190,7 @@ def segment(texts: list[str], keys: np.ndarray, words: Vocabulary) -> tuple[np.n
     index: dict[str, int] = {}
     of, number = [], []
     for text in texts:
-        own = [index.setdefault(u, len(index)) for u in _units(text)] if text else []
+        own = [index.setdefault(u, len(index)) for u in _UNIT.findall(text)]
         of += own
         number.append(len(own))
     number = np.array(number, np.int64)
