@@ -248,6 +248,31 @@ def test_fingerprints(spark):
     assert fingerprints.with_next(docs_of(spark, ["x"]).limit(0), "text").count() == 0
 
 
+def test_differing_branches_locate_edits(spark):
+    rnd = random.Random(21)
+    lines = ["".join(rnd.choice("abcdef ") for _ in range(30)) for _ in range(60)]
+    changed = [*lines[:37], "another line", *lines[38:]]
+    inserted = [*lines[:20], "a new line", *lines[20:]]
+    texts = ["\n".join(x) for x in (changed, inserted, lines, lines[:-5])]
+    docs = docs_of(spark, texts).withColumn("other", F.lit("\n".join(lines)))
+    trees = fingerprints.with_tree(fingerprints.with_tree(docs, "text"), "other", "other_")
+    branches = fingerprints.differing(*(F.col(c) for c in ("sections", "section_digests", "other_sections", "other_section_digests")))
+    got = {r.doc_id: r for r in trees.withColumn("branches", branches).collect()}
+    place = lambda r, b: sum(len(s) for s in r.sections[: b.section]) + b.paragraph
+    assert [[place(got[i], b) for b in got[i].branches] for i in range(4)] == [[37], [20], [], []]
+    assert got[2].fingerprint == got[2].other_fingerprint != got[3].fingerprint
+    same = [len(set(got[i].section_digests) & set(got[i].other_section_digests)) for i in range(3)]
+    assert same[2] - same[1] <= 2 and same[2] - same[0] <= 2 and same[2] > 4
+
+
+def test_fingerprints_of_null_and_repeated_ids(spark):
+    rows = [(None, "a"), (None, None), (3, "x " * 5000), (3, "b"), (1, "q"), (3, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("stay", F.lit("clash"))
+    got = [(r.doc_id, r.text, r.next_text) for r in fingerprints.with_next(fingerprints.fingerprints(docs), "text").collect()]
+    order = [(None, ""), (None, "a"), (1, "q"), (3, "b"), (3, "b"), (3, "x " * 5000)]
+    assert sorted(got, key=str) == sorted([(*x, order[(k + 1) % 6][1]) for k, x in enumerate(order)], key=str)
+
+
 def test_sampled_segmentations(spark):
     import public_tokenizers
 
@@ -338,11 +363,25 @@ def test_nearest_recall(spark):
 
 
 def test_licences(spark):
-    mit = dict(licences.KNOWN)["MIT"]
-    texts = [*ODD[:-1], "Copyright (c) 2020 Somebody\n" + mit.upper().replace(" ", "\n  "), mit + " more", "text\nLicenced under the Apache Licence, version 2.0!\nmore"]
-    got = {r.doc_id: r for r in licences.scan_licenses(docs_of(spark, texts, "digest"), licences.known_digests(spark)).collect()}
+    known = dict(licences.known_texts())
+    mit, apache = known["MIT"], known["Apache-2.0"]
+    one_line = mit.replace("\n", " ")
+    texts = [
+        *ODD[:-1], "Copyright (c) 2020 Somebody\nAll rights reserved.\n" + mit.upper().replace(" ", "\n  "), mit + " more", "text\nLicenced under the Apache Licence, version 2.0!\nmore",
+        f"before\n{one_line}\nafter", apache.replace("\n", "\r\n"), "word " * 50_000 + one_line, "x " * 100_000, known["GPL-3"],
+    ]
+    docs = docs_of(spark, texts, "digest license")
+    got = {r.doc_id: r for r in licences.scan_licenses(docs, licences.known_digests(spark)).collect()}
     assert got[6].license == "MIT" and got[7].license is None and got[0].digest is None and got[1].digest is None
     assert got[8].line_licenses == ["Apache-2.0-notice"] and got[8].license is None and got[3].digest == got[4].digest
+    assert len(one_line) > 400 and got[9].line_licenses == ["MIT"] and got[10].license == "Apache-2.0" and got[13].license == "GPL-3"
+    assert got[11].license is None and got[11].line_licenses == [] and got[12].digest is not None
+    twice = licences.known_digests(spark, [("one", mit), ("two", mit.upper()), ("nothing", "...")])
+    assert [r.license for r in licences.scan_licenses(docs.where("doc_id = 6"), twice).collect()] == ["one|two"]
+    assert licences.scan_licenses(docs.limit(0), twice).count() == 0
+    rows = spark.createDataFrame([(None, mit), (None, mit), (1, None), (1, "Released under the MIT License.")], "doc_id long, text string")
+    got = sorted(((str(r.doc_id), r.license, r.line_licenses) for r in licences.scan_licenses(rows, licences.known_digests(spark)).collect()), key=str)
+    assert sorted([x[:2] for x in got], key=str) == [("1", "MIT-notice"), ("1", None), ("None", "MIT"), ("None", "MIT")] and all(x[2] == ["MIT-notice"] for x in got if x[0] == "1")
 
 
 def test_chats(spark):
