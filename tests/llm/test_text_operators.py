@@ -346,7 +346,7 @@ def test_nearest_recall(spark):
     x = rng.standard_normal((1500, 16))
     x[:300] = x[0] + 0.01 * rng.standard_normal((300, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [1.0]), (2004, [None] * 16)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(1)).drop("id")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"id": F.lit(1), "vector": F.lit("clash"), "half": F.lit(None), "query_id": F.lit(0)})
     got = neighbours.nearest(df, F.col("id") % 50 == 0, 5).collect()
     y = x / np.linalg.norm(x, axis=1)[:, None]
     hit = 0
@@ -362,6 +362,22 @@ def test_nearest_recall(spark):
     assert sorted((r.query_id, r["rank"]) for r in few) == [(0, 1), (0, 2), (400, 1), (400, 2)]
 
 
+def test_nearest_of_outliers_and_copies(spark):
+    """Every query has its k rows: two vectors far from all others, and many copies of one vector, repeated ids, ties."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((3000, 16)) * 0.05 + 1
+    x[0], x[1500] = -1 + 0.01 * x[0], -1 + 0.01 * x[1500]
+    x[200:900] = x[200]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(50, (2 * x[0]).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("id") % 50 == 0, 5).collect()
+    own = {q: [(r.id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in range(0, 3000, 50)}
+    assert all(len(v) == 5 and q not in dict(v) for q, v in own.items())
+    assert {i for i, _ in own[0]} > {50, 1500}  # the least vector of the repeated id counts
+    assert [i for i, _ in own[200]] == [201, 202, 203, 204, 205] and [i for i, _ in own[850]] == [200, 201, 202, 203, 204]
+    assert neighbours.nearest(df.limit(0), F.col("id") % 50 == 0, 5).count() == 0
+
+
 def test_licences(spark):
     known = dict(licences.known_texts())
     mit, apache = known["MIT"], known["Apache-2.0"]

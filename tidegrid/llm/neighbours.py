@@ -1,17 +1,22 @@
 """Approximate nearest neighbours by cosine: NN-descent builds a neighbour graph, queries search it greedily.
 
-Building.  Vectors start with the best of TURNS cells of random hyperplanes, of about CELL vectors each (larger cells are
-parted at random), so a round costs the same for each vector however many there are.
+Equal vectors are one node, which keeps the least ids that have it.
+
+Building.  Nodes start with the best of TURNS cells of random hyperplanes, of about CELL vectors each (larger cells are
+parted at random), so a round costs the same for each vector however many there are, and of one random group of about
+RANDOM nodes, so that a node far from all others has neighbours as well.
 Each round brings together, at every node, its neighbours and the nodes it is a neighbour of, with their vectors (half
 precision); all pairs among them are measured and each node keeps its best DEGREE.  Rounds end when the mean likeness
 of neighbours hardly rises.
 
-Searching.  A query starts at its own node.  Each round expands its BEAM best nodes that are not yet expanded by a join
-with the graph.  The WIDE best found are then measured on the original vectors in double precision.
+Searching.  A query starts at its own node and at ENTRIES nodes chosen by hash, so it always meets enough of them.  Each
+hop expands, by a join with the graph, those of the BEAM best nodes met that are not yet expanded; hops go on until no
+query has one.  The WIDE best met are then measured on the original vectors in double precision.
 
 Defined results: rows with a null id, or with a vector that is null, empty, zero, of another length than most, or that
 holds null or non-finite components, take no part; of repeated ids the least vector counts; with fewer rows than asked for
-all are returned; ties go to the smaller id.
+all are returned; ties go to the smaller id; vectors of any length are taken whole; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,25 +28,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_bucket, materialize, partitions
+from .common import by_bucket, materialize, mix64, partitions
 
 DEGREE = 24
 #: Candidates that a member of a neighbourhood learns of from it in a round; it keeps the DEGREE best of all.
 OFFERS = 8
-ROUNDS = 8
 GAIN = 0.001
-CELL, TURNS = 512, 16
-BEAM, HOPS, WIDE = 40, 4, 64
+CELL, TURNS, RANDOM = 512, 16, 32
+BEAM, WIDE, ENTRIES = 40, 128, 8
 _MEMBER = "struct<id:long,half:binary,least:float>"
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """Rows (id, vector as array<double>, half: unit vector in half precision) that take part."""
+    """Rows (id, vector as array<double>) that take part."""
     v = F.col(column)
     fine = v.isNotNull() & F.col(key).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(fine).select(F.col(key).alias("id"), v.cast("array<double>").alias("vector")).groupBy("id").agg(F.min("vector").alias("vector"))
     common = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    rows = rows.where(F.size("vector") == (common["size"] if common else 0))
+    return rows.where(F.size("vector") == (common["size"] if common else 0))
+
+
+def distinct_vectors(rows: DataFrame, copies: int) -> DataFrame:
+    """Rows (id, vector, ids, half): of each vector its least id, its ``copies`` least ids, and it as a unit vector in half
+    precision."""
+    place = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
+    nodes = rows.withColumn("place", place).where(F.col("place") <= copies).groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
     def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,9 +60,9 @@ def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
                 x = np.stack(batch.column("vector").to_numpy(zero_copy_only=False))
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([h.tobytes() for h in x.astype(np.float16)], pa.binary())], names=["id", "vector", "half"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([h.tobytes() for h in x.astype(np.float16)], pa.binary())], names=["id", "vector", "ids", "half"])
 
-    return rows.mapInArrow(halve, "id long, vector array<double>, half binary")
+    return nodes.select(F.col("ids")[0].alias("id"), "vector", "ids").mapInArrow(halve, "id long, vector array<double>, ids array<long>, half binary")
 
 
 def _floats(halves: list[bytes]) -> np.ndarray:
@@ -130,7 +141,8 @@ def _round(groups: DataFrame, n: int, degree: int) -> DataFrame:
 
 
 def _cells(halves: DataFrame, rows: int, n: int) -> DataFrame:
-    """First neighbourhoods: cells of random hyperplanes, TURNS times; large cells parted at random."""
+    """First neighbourhoods: cells of random hyperplanes, TURNS times, large ones parted at random, and random groups."""
+    groups = max(1, rows // RANDOM)
     bits = max(0, int(np.log2(max(1, rows / CELL))))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +151,11 @@ def _cells(halves: DataFrame, rows: int, n: int) -> DataFrame:
                 x = _floats(batch.column("half").to_pylist())
                 for turn in range(TURNS):
                     planes = np.random.default_rng(turn).standard_normal((x.shape[1], bits)).astype(np.float32)
-                    cell = ((x @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))) * TURNS + turn if bits else np.full(len(x), turn)
+                    cell = ((x @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))) * (TURNS + 1) + turn if bits else np.full(len(x), turn)
                     yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), *batch.columns], names=["cell", "id", "half"])
+                mixed = mix64(batch.column("id").to_numpy().view(np.uint64)) >> np.uint64(1)
+                cell = (mixed % np.uint64(groups)).astype(np.int64) * (TURNS + 1) + TURNS
+                yield pa.RecordBatch.from_arrays([pa.array(cell), *batch.columns], names=["cell", "id", "half"])
 
     coded = materialize(halves.select("id", "half").mapInArrow(code, "cell long, id long, half binary"))
     sizes = coded.groupBy("cell").agg(F.ceil(F.count("*") / (2 * CELL)).alias("parts"))
@@ -159,66 +174,98 @@ def neighbourhoods(graph: DataFrame, halves: DataFrame, degree: int) -> DataFram
     return pairs.join(known, "member").groupBy("centre").agg(F.collect_list("item").alias("members"))
 
 
-def build_graph(halves: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
+def build_graph(halves: DataFrame, degree: int = DEGREE) -> DataFrame:
     """Rows (id, others, likes, least): the neighbour graph."""
     n = partitions(halves.sparkSession)
     graph = materialize(_round(_cells(halves, halves.count(), n), n, degree))
     before = 0.0
-    for _ in range(rounds):
+    while True:
         graph = materialize(_round(neighbourhoods(graph, halves, degree), n, degree))
         now = graph.agg(F.avg(F.aggregate("likes", F.lit(0.0), lambda a, x: a + x) / F.size("likes"))).first()[0] or 0.0
         if now - before < GAIN * abs(now):
-            break
+            return graph
         before = now
-    return graph
 
 
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likeness of a query to all members of the nodes that it expands."""
-    for batch in batches:
-        queries, halves, members = batch.column("query_id").to_pylist(), batch.column("query_half").to_pylist(), batch.column("members").to_pylist()
-        out = [(q, [m["id"] for m in own], (_floats([m["half"] for m in own]) @ _floats([h])[0]).tolist()) for q, h, own in zip(queries, halves, members)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float32()))], names=["query_id", "ids", "likes"])
+_FOUND = "query_id long, ids array<long>, likes array<float>"
+_STATE = "query_id long, query_half binary, ids array<long>, likes array<float>, done array<boolean>, next array<long>, least float"
 
 
-_STATE = "query_id long, query_half binary, ids array<long>, likes array<float>, done array<long>, next array<long>"
+def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The values of lists in one array and how many each list has."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.slice(offsets[0], offsets[-1] - offsets[0]), np.diff(offsets)
+
+
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Likeness of a query to the members of a node that it expands; those below its BEAM best so far are left out."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        members, sizes = _flat(batch.column("members"))
+        row = np.repeat(np.arange(batch.num_rows), sizes)
+        x, q = _floats(members.field("half").to_pylist()), _floats(batch.column("query_half").to_pylist())
+        likes = np.einsum("ij,ij->i", x, q[row])
+        keep = likes >= batch.column("least").to_numpy()[row] - 1e-3
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=batch.num_rows))]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (members.field("id").to_numpy()[keep], likes[keep])]
+        yield pa.RecordBatch.from_arrays([batch.column("query_id"), *lists], names=["query_id", "ids", "likes"])
 
 
-def _advance(beam: int) -> Callable:
-    """Adds what was found to the state of each query and names the nodes to expand next."""
+def _advance(beam: int, wide: int) -> Callable:
+    """Keeps the ``wide`` best that each query met and names those of the ``beam`` best that it has not expanded."""
 
     def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                ids = np.concatenate([np.array(x, np.int64) for x in (r["ids"], *(f["ids"] for f in r["found"] or ()))])
-                likes = np.concatenate([np.array(x, np.float32) for x in (r["likes"], *(f["likes"] for f in r["found"] or ()))])
-                keep = ids != r["query_id"]
-                ids, first = np.unique(ids[keep], return_index=True)
-                likes = likes[keep][first]
-                done = np.array(r["done"] + r["next"], np.int64)
-                order = np.argsort(-likes, kind="stable")
-                fresh = ids[order][~np.isin(ids[order], done)][:beam]
-                rows.append((r["query_id"], r["query_half"], ids.tolist(), likes.tolist(), done.tolist(), fresh.tolist()))
-            if rows:
-                kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names=["query_id", "query_half", "ids", "likes", "done", "next"])
+            if not batch.num_rows:
+                continue
+            old, sizes = _flat(batch.column("ids"))
+            finds, times = _flat(batch.column("found"))
+            new, each = _flat(finds.field("ids"))
+            query = np.concatenate([np.repeat(np.arange(batch.num_rows), sizes), np.repeat(np.repeat(np.arange(batch.num_rows), times), each)])
+            ids = np.concatenate([old.to_numpy(), new.to_numpy()])
+            likes = np.concatenate([_flat(batch.column("likes"))[0].to_numpy(), _flat(finds.field("likes"))[0].to_numpy()])
+            done = np.concatenate([_flat(batch.column("done"))[0].to_numpy(zero_copy_only=False), np.zeros(len(new), bool)])
+            order = np.lexsort((~done, ids, query))
+            query, ids, likes, done = query[order], ids[order], likes[order], done[order]
+            first = np.concatenate([[True], (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])]) if len(ids) else np.zeros(0, bool)
+            query, ids, likes, done = query[first], ids[first], likes[first], done[first]
+            order = np.lexsort((ids, -likes, query))
+            query, ids, likes, done = query[order], ids[order], likes[order], done[order]
+            starts = np.searchsorted(query, np.arange(batch.num_rows))
+            rank = np.arange(len(ids)) - starts[query]
+            least = np.full(batch.num_rows, -2, np.float32)
+            at = rank == beam - 1
+            least[query[at]] = likes[at]
+            ahead = ~done & (rank < beam)
+            kept = rank < wide
+            to = lambda v, chosen: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(query[chosen], minlength=batch.num_rows))]), pa.int32()), pa.array(v[chosen]))
+            columns = [batch.column("query_id"), batch.column("query_half"), to(ids, kept), to(likes, kept), to(done | ahead, kept), to(ids, ahead), pa.array(least)]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _STATE.split(", ")])
 
     return advance
 
 
-def search(halves: DataFrame, graph: DataFrame, queries: Column, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
-    """Rows (query_id, ids, likes): all nodes that the search from each query's own node met."""
+def search(halves: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, wide: int = WIDE) -> DataFrame:
+    """Rows (query_id, ids, likes): the best nodes that the search from each query's own node (column id) met, itself among
+    them."""
     around = materialize(neighbourhoods(graph, halves, DEGREE).withColumnRenamed("centre", "id"))
+    entries = [r["id"] for r in halves.select("id").orderBy(F.xxhash64("id"), "id").limit(ENTRIES).collect()]
     none = F.array().cast("array<long>")
-    state = halves.where(queries).select(F.col("id").alias("query_id"), F.col("half").alias("query_half"), none.alias("ids"), F.array().cast("array<float>").alias("likes"), none.alias("done"), F.array("id").alias("next"))
-    for _ in range(hops):
-        ahead = state.select("query_id", "query_half", F.explode("next").alias("id")).join(around, "id")
-        found = ahead.select("query_id", "query_half", "members").mapInArrow(_score, "query_id long, ids array<long>, likes array<float>")
+    start = F.array_distinct(F.concat(F.array("id"), F.array(*map(F.lit, entries)).cast("array<long>")))
+    state = halves.join(queries, "id", "left_semi").select(
+        F.col("id").alias("query_id"), F.col("half").alias("query_half"), none.alias("ids"), F.array().cast("array<float>").alias("likes"),
+        F.array().cast("array<boolean>").alias("done"), start.alias("next"), F.lit(-2.0).cast("float").alias("least"),
+    )
+    empty = F.array().cast("array<struct<ids:array<long>,likes:array<float>>>")
+    while True:
+        ahead = state.select("query_id", "query_half", "least", F.explode("next").alias("id")).join(around, "id")
+        found = ahead.select("query_id", "query_half", "least", "members").mapInArrow(_score, _FOUND)
         gathered = found.groupBy("query_id").agg(F.collect_list(F.struct("ids", "likes")).alias("found"))
-        state = materialize(state.join(gathered, "query_id", "left").mapInArrow(_advance(beam), _STATE))
-    return state.select("query_id", "ids", "likes")
+        joined = state.join(gathered, "query_id", "left").withColumn("found", F.coalesce("found", empty))
+        state = materialize(joined.mapInArrow(_advance(beam, wide), _STATE))
+        if state.where(F.size("next") > 0).isEmpty():
+            return state.select("query_id", "ids", "likes")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -231,14 +278,18 @@ def cosine(a: Column, b: Column) -> Column:
 
 def nearest(vectors: DataFrame, queries: Column, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """Rows (query_id, rank, id, score): the k nearest found of each row that meets ``queries`` (a condition on id)."""
-    halves = materialize(usable(vectors, key, column))
-    met = search(halves, build_graph(halves), queries)
-    wide = F.slice(F.sort_array(F.zip_with("likes", "ids", lambda x, i: F.struct((-x).alias("minus"), i.alias("id")))), 1, WIDE)
-    pairs = met.select("query_id", F.explode(wide).alias("pair")).select("query_id", F.col("pair.id").alias("id"))
-    exact = pairs.join(halves.select("id", F.col("vector").alias("b")), "id").join(halves.select(F.col("id").alias("query_id"), F.col("vector").alias("a")), "query_id")
-    scored = exact.select("query_id", "id", cosine(F.col("a"), F.col("b")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    rows = materialize(usable(vectors, key, column))
+    nodes = materialize(distinct_vectors(rows, k + 1))
+    asked = materialize(rows.where(queries).select(F.col("id").alias("query_id"), "vector").join(nodes.select("id", "vector"), "vector").select("query_id", "id"))
+    halves = nodes.select("id", "half")
+    met = search(halves, build_graph(halves), asked)
+    pairs = met.select(F.col("query_id").alias("of"), F.explode("ids").alias("id"))
+    exact = pairs.join(nodes.select("id", "ids", F.col("vector").alias("b")), "id").join(nodes.select(F.col("id").alias("of"), F.col("vector").alias("a")), "of")
+    scored = exact.select("of", "ids", cosine(F.col("a"), F.col("b")).alias("score")).select("of", "score", F.explode("ids").alias("id"))
+    place = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("score"), "id"))
+    best = scored.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("of").agg(F.sort_array(F.collect_list(F.struct("place", "id", "score"))).alias("best"))
+    own = asked.join(best, asked["id"] == best["of"]).select("query_id", F.slice(F.filter("best", lambda x: x["id"] != F.col("query_id")), 1, k).alias("best"))
+    return own.select("query_id", F.posexplode("best").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), "x.id", "x.score")
 
 
 def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
