@@ -89,9 +89,9 @@ def test_voronoi_regions_keep_every_link(spark, monkeypatch, percent, leaf):
             texts.append(" ".join(w))
     texts += [" ".join([*passage, *(word() for _ in range(25))]) for _ in range(40)]
     sets = jaccard_join.shingle_sets(texts, 2)
-    rows = [(k % 2, k, len(sets[k]), t) for k, t in enumerate(texts)]
-    members = spark.createDataFrame(rows, "region long, node long, n_shingles long, text string")
-    found = components.components(jaccard_join.region_links(members, 2, percent, 4))
+    rows = [(k % 2, k, len(sets[k]), k, t) for k, t in enumerate(texts)]
+    members = spark.createDataFrame(rows, "region long, node long, n_shingles long, label long, text string")
+    found = components.components(jaccard_join.region_links(members.drop("text"), members.select("node", "text"), 2, percent, 4))
     got = {r.node: r.component for r in found.collect()}
     for half in (0, 1):
         want = _components([(k, t) for k, t in enumerate(texts) if k % 2 == half], 2, percent)
