@@ -322,23 +322,89 @@ def test_sampled_segmentations_of_odd_rows(spark):
     assert sentencepiece_sampling.decode(sentencepiece_sampling.encode(docs_of(spark, ["x"]).limit(0))).count() == 0
 
 
-def test_masked_lm(spark):
+def _naive_scores(texts, frequent, rare, bins, network):
+    """Every token by the definition: class by the network, word by its count elsewhere."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) for t in texts]
+    words = sorted({w for t in split for w in t})
+    hash_of = {w: int(masked_lm.word_hashes([w])[0][0]) for w in words}
+    bin_of = {w: (hash_of[w] >> 48) % bins for w in words}
+    count = Counter(w for t in split for w in t)
+    by_bin = Counter(bin_of[w] for t in split for w in t)
+    top = sorted(range(bins), key=lambda b: (-by_bin[b], b))[:frequent]
+    mixed = masked_lm.mix64(np.arange(bins)) % np.uint64(rare)
+    class_of = {b: top.index(b) if b in top else frequent + int(mixed[b]) for b in range(bins)}
+    hot = {b for b in range(bins) if by_bin[b] >= max(2.0, masked_lm.HOT * len([w for t in split for w in t]) / bins)}
+    total = Counter(class_of[bin_of[w]] for t in split for w in t)
+    distinct = Counter(class_of[b] for b in hot | set(top)) + Counter(class_of[bin_of[w]] for w in words if bin_of[w] not in hot | set(top))
+    out = []
+    for t in split:
+        ids = [class_of[bin_of[w]] for w in t]
+        padded = [network.classes] * 2 + ids + [network.classes] * 2
+        score = 0.0
+        for k, w in enumerate(t):
+            h = np.tanh(network.c + sum(network.embed[j][padded[k + d]] for j, d in enumerate((0, 1, 3, 4))))
+            z = (h @ network.w + network.b).astype(float)
+            score += z[ids[k]] - z.max() - np.log(np.exp(z - z.max()).sum())
+            if ids[k] >= frequent:
+                n = by_bin[bin_of[w]] if bin_of[w] in hot else count[w]
+                score += math.log(n - 1 + masked_lm.ALPHA) - math.log(total[ids[k]] - 1 + masked_lm.ALPHA * distinct[ids[k]])
+        out.append((len(t), score))
+    return out
+
+
+def test_masked_lm_against_the_definition(spark, monkeypatch):
     rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(60)]
+    texts = [" ".join(rnd.choice(["the", "of", rnd.choice(words)]) for _ in range(rnd.randint(1, 50))) for _ in range(60)]
+    texts += [texts[3], texts[3], *ODD]
+    docs = docs_of(spark, texts, "log_prob row_key classes own")
+    networks, train = [], masked_lm.train
+    monkeypatch.setattr(masked_lm, "train", lambda *a, **k: networks.append(train(*a, **k)) or networks[-1])
+    rows = masked_lm.masked_scores(docs, frequent=4, rare=3, bins=512, shard=700).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(got) == len(texts) == len(rows) and rows[0].row_key == rows[0].classes == "x"
+    for i, (n, score) in enumerate(_naive_scores(texts, 4, 3, 512, networks[0])):
+        assert got[i].n_tokens == n and got[i].log_prob == pytest.approx(score, rel=1e-4, abs=1e-4)
+        assert got[i].mean_log_prob == (pytest.approx(got[i].log_prob / n) if n else None)
+    assert masked_lm.masked_scores(docs.limit(0)).count() == 0
+
+
+def test_masked_lm_does_not_depend_on_partitions(spark):
+    rnd = random.Random(14)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(3)) for _ in range(300)]
+    texts = [" ".join(rnd.choice(["the", "of", "and", rnd.choice(words)]) for _ in range(rnd.randint(1, 200))) for _ in range(200)]
+    scores = []
+    for n in (2, 8):
+        out = masked_lm.masked_scores(docs_of(spark, texts).repartition(n, "doc_id"), frequent=6, rare=4, shard=4000)
+        scores.append({r.doc_id: r.log_prob for r in out.collect()})
+    assert all(scores[0][i] == pytest.approx(scores[1][i], abs=1e-6) for i in scores[0])
+
+
+def test_gradients_of_the_network():
+    rng = np.random.default_rng(2)
+    network = masked_lm.Network(7, 2, 3, rng.normal(0, 0.5, 4 * 8 * 3 + 3 + 3 * 7 + 7))
+    ids, sizes = rng.integers(0, 7, 40).astype(np.uint8), np.array([15, 0, 25])
+    around = network.contexts(ids, sizes)
+    assert around[:, 15].tolist() == [7, 7, ids[16], ids[17]] and around[:, 14].tolist() == [ids[12], ids[13], 7, 7]
+    grads = np.concatenate([g.ravel() for g in network.gradients(ids, around)])
+    for k in rng.choice(len(network.values), 40, replace=False):
+        loss = []
+        for step in (1e-5, -1e-5):
+            network.values[k] += step
+            loss.append(-network.log_probs(ids, around).mean())
+            network.values[k] -= step
+        assert grads[k] == pytest.approx((loss[0] - loss[1]) / 2e-5, abs=1e-6)
+
+
+def test_training_learns_contexts_and_copies_stand_out(spark):
+    rnd = random.Random(15)
     texts = [" ".join(rnd.choice(["a b c d", "x y z w"]) for _ in range(60)) for _ in range(40)]
-    docs = docs_of(spark, texts + ODD, "log_prob")
-    network = masked_lm.train(docs, frequent=8, rare=4)
-    got = {r.doc_id: r for r in masked_lm.score(docs, network).collect()}
-    flat = masked_lm.Network(network.words, 8, 4)
-    before = {r.doc_id: r for r in masked_lm.score(docs, flat).collect()}
-    assert sum(got[i].log_prob for i in range(40)) > 0.8 * sum(before[i].log_prob for i in range(40))
-    ids, sizes = network.token_ids([texts[0]])
-    naive, padded = 0.0, [network.classes] * 2 + ids.tolist() + [network.classes] * 2
-    for t in range(len(ids)):
-        h = np.tanh(network.c + sum(network.embed[k][padded[t + d]] for k, d in enumerate((0, 1, 3, 4))))
-        z = h @ network.w + network.b
-        naive += z[ids[t]] - np.log(np.exp(z).sum())
-    assert got[0].log_prob == pytest.approx(naive, rel=1e-4) and got[0].n_tokens == len(ids)
-    assert got[40].n_tokens == 0 and got[40].log_prob == 0 and got[40].mean_log_prob is None
+    strange = lambda: " ".join("".join(rnd.choice("efgh") for _ in range(8)) for _ in range(30))
+    once, twice = strange(), strange()
+    docs = docs_of(spark, [*texts, once, twice, twice])
+    trained, flat = ({r.doc_id: r for r in masked_lm.masked_scores(docs, frequent=8, rare=4, epochs=e).collect()} for e in (3, 0))
+    assert sum(trained[i].log_prob for i in range(40)) > 0.8 * sum(flat[i].log_prob for i in range(40))
+    assert trained[41].mean_log_prob > trained[40].mean_log_prob + 1 and trained[41].log_prob == trained[42].log_prob
 
 
 def test_nearest_recall(spark):
@@ -454,17 +520,3 @@ def test_packing_knows_added_tokens(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for packed in (packing.op9_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, str(tmp_path))):
         assert {r.doc_id: r.ids_crc32 for r in packed.collect()} == want
-
-
-def test_masked_lm_learns_from_all_tokens_and_tells_words_of_a_class_apart(spark):
-    texts = ["a b often"] * 9 + ["a b seldom", "c d"]
-    docs = docs_of(spark, texts)
-    network = masked_lm.train(docs, frequent=2, rare=1)
-    got = {r.doc_id: r for r in masked_lm.score(docs, network).collect()}
-    assert network.words == {"a": 0, "b": 1} and [got[i].n_tokens for i in (0, 9, 10)] == [3, 3, 2]
-    assert got[0].log_prob - got[9].log_prob == pytest.approx(math.log(9))
-    ids, sizes = network.token_ids(["a b often"])
-    each = network.log_probs(ids, network.contexts(ids, sizes))
-    assert got[0].log_prob == pytest.approx(each.sum() + math.log(9 / 12))
-    seen = [b.column("weight")[0].as_py() for text in texts[:1] for b in masked_lm._train_copies(network)(iter([masked_lm.pa.RecordBatch.from_pydict({"text": [text]})]))]
-    assert seen == [3.0]

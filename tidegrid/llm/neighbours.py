@@ -182,7 +182,7 @@ def build_graph(halves: DataFrame, degree: int = DEGREE) -> DataFrame:
     while True:
         graph = materialize(_round(neighbourhoods(graph, halves, degree), n, degree))
         now = graph.agg(F.avg(F.aggregate("likes", F.lit(0.0), lambda a, x: a + x) / F.size("likes"))).first()[0] or 0.0
-        if now - before < GAIN * abs(now):
+        if now - before <= GAIN * abs(now):
             return graph
         before = now
 
