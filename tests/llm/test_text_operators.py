@@ -29,7 +29,7 @@ def test_suffix_dedup_against_brute_force(spark):
     length, raw = 20, [(t or "").encode() for t in texts]
     count = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
     for hot in (4096, 1):
-        out = suffix_dedup.remove_repeats(docs_of(spark, texts, "kept n_bytes"), length, 7, hot)
+        out = suffix_dedup.remove_repeats(docs_of(spark, texts, "kept n_bytes ranges row_key own spans marks"), length, 7, hot)
         got = {r.doc_id: r for r in out.collect()}
         for i, b in enumerate(raw):
             gone = bytearray(len(b))
@@ -41,6 +41,16 @@ def test_suffix_dedup_against_brute_force(spark):
     assert suffix_dedup.remove_repeats(docs_of(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_repeated_rows_and_long_texts(spark):
+    rnd = random.Random(11)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(60_000))
+    rows = [(None, "x" * 30), (None, long), (4, long[500:900]), (4, "unlike " + long[::-1][:300]), (5, "both " * 3), (5, "both " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ranges", F.lit(1))
+    got = {(r.doc_id, r.text): bytes(r.kept) for r in suffix_dedup.remove_repeats(docs, 15, 5).collect()}
+    assert got[None, long] == (long[:500] + long[900:]).encode() and got[4, long[500:900]] == b"" and got[None, "x" * 30] == b""
+    assert got[4, "unlike " + long[::-1][:300]].decode() == "unlike " + long[::-1][:300] and got[5, "both " * 3] == b""
+
+
 def _components(rows, words, percent):
     sets = {}
     for i, t in rows:

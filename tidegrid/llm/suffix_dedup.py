@@ -16,8 +16,11 @@ Whatever repeats within one batch is known to repeat: it is marked at once, and
 a bucket receives a frequent string once from each batch.
 
 Ranges found go back to their documents, whose bytes are cut.  Results are exact up to collisions of 64-bit hashes
-between strings that share a trigger.  Documents are told apart by a hash of id and text, so repeated rows count as
-repeats of each other; null texts are empty; texts below ``length`` bytes are kept whole.
+between strings that share a trigger.
+
+Defined results: documents are told apart by their row, so repeated rows count as repeats of each other; null texts are
+empty; texts below ``length`` bytes are kept whole, longer ones of any length are searched whole; an empty table gives an
+empty result; further columns stay, but for n_bytes, spans, kept and kept_text, which are replaced.
 """
 
 from __future__ import annotations
@@ -148,26 +151,23 @@ def _dictionary(hot: int) -> Callable:
             yield _rows([("row_key", pa.int64(), x["row_key"]), ("first", pa.int32(), x["first"]), ("n", pa.int32(), x["n"].astype(np.int32)), ("kind", pa.int32(), np.full(len(x), kind, np.int32)), ("trigger", pa.int64(), x["trigger"].view(np.int64)), ("left", pa.int32(), x["left"].astype(np.int32))])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = []
+        packed: dict[int, list[bytes]] = {}  # one bucket at a time
         for batch in batches:
-            for known, x in zip(batch.column("known").to_pylist(), batch.column("block").to_pylist()):
-                own = np.frombuffer(x, _PHRASE)
+            for bucket, known, x in zip(*(batch.column(k).to_pylist() for k in ("bucket", "known", "block"))):
                 if known:
-                    yield from marks(own, 0)
+                    yield from marks(np.frombuffer(x, _PHRASE), 0)
                 else:
-                    blocks.append(own)
-        if not blocks:
-            return
-        every = np.concatenate(blocks)
-        del blocks
-        order, new, times = _first_of_each(every["phrase"], every["trigger"])
-        every = every[order]
-        phrase = np.cumsum(new) - 1
-        group = np.concatenate([[0], np.cumsum(every["trigger"][1:] != every["trigger"][:-1])])
-        kinds = np.bincount(group, new)[group]
-        yield from marks(every[every["again"] | (times > 1)[phrase]], 0)
-        yield from marks(every[new & (kinds > 1) & (kinds <= hot)], 1)
-        yield from marks(every[new & (kinds > hot)], 2)
+                    packed.setdefault(bucket, []).append(x)
+        while packed:
+            every = np.frombuffer(b"".join(packed.popitem()[1]), _PHRASE)
+            order, new, times = _first_of_each(every["phrase"], every["trigger"])
+            every = every[order]
+            phrase = np.cumsum(new) - 1
+            group = np.concatenate([[0], np.cumsum(every["trigger"][1:] != every["trigger"][:-1])])
+            kinds = np.bincount(group, new)[group]
+            yield from marks(every[every["again"] | (times > 1)[phrase]], 0)
+            yield from marks(every[new & (kinds > 1) & (kinds <= hot)], 1)
+            yield from marks(every[new & (kinds > hot)], 2)
 
     return decide
 
@@ -281,30 +281,33 @@ def _ranges(row_key: np.ndarray, first: np.ndarray, n: np.ndarray) -> Iterator[p
 
 def _parse_order(length: int) -> Callable:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, blocks, windows = [], [], []
+        packed: dict[int, tuple[list, list, list]] = {}  # one bucket at a time
         for batch in batches:
-            for kind, head, own in zip(*(batch.column(k).to_pylist() for k in ("kind", "head", "bytes"))):
+            for bucket, kind, head, own in zip(*(batch.column(k).to_pylist() for k in ("bucket", "kind", "head", "bytes"))):
+                heads, blocks, windows = packed.setdefault(bucket, ([], [], []))
                 if kind == 0:
-                    heads.append(np.frombuffer(head, _HEAD))
+                    heads.append(head)
                     blocks.append(own)
                 elif kind == 1:
-                    windows.append(np.frombuffer(head, _WINDOW))
+                    windows.append(head)
                 else:
                     known = np.frombuffer(head, _WINDOW)
                     yield from _ranges(known["row_key"], known["first"], np.ones(len(known)))
-        if windows:
-            every = np.concatenate(windows)
-            order, new, times = _first_of_each(every["digest"])
-            every = every[order]
-            every = every[every["again"] | (times > 1)[np.cumsum(new) - 1]]
-            yield from _ranges(every["row_key"], every["first"], np.ones(len(every)))
-        if heads:
-            head, texts = np.concatenate(heads), np.frombuffer(b"".join(blocks), np.uint8)
-            del heads, blocks
-            size = head["size"].astype(np.int64)
-            n, left = head["n"].astype(np.int64), head["left"].astype(np.int64)
-            row, a, count = runs(repeated_windows(texts, np.cumsum(size) - size, left, n, length))
-            yield from _ranges(head["row_key"][row], head["first"][row] + left[row] - (a + count - 1), count)
+        while packed:
+            heads, blocks, windows = packed.popitem()[1]
+            if windows:
+                every = np.frombuffer(b"".join(windows), _WINDOW)
+                order, new, times = _first_of_each(every["digest"])
+                every = every[order]
+                every = every[every["again"] | (times > 1)[np.cumsum(new) - 1]]
+                yield from _ranges(every["row_key"], every["first"], np.ones(len(every)))
+            if heads:
+                head, texts = np.frombuffer(b"".join(heads), _HEAD), np.frombuffer(b"".join(blocks), np.uint8)
+                del heads, blocks
+                size = head["size"].astype(np.int64)
+                n, left = head["n"].astype(np.int64), head["left"].astype(np.int64)
+                row, a, count = runs(repeated_windows(texts, np.cumsum(size) - size, left, n, length))
+                yield from _ranges(head["row_key"][row], head["first"][row] + left[row] - (a + count - 1), count)
 
     return compare
 
@@ -327,21 +330,22 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGE
     n = partitions(spark)
     buckets = 2 * n
     blocks = docs.where(F.octet_length("text") >= length).mapInArrow(_emit_phrases(length, trigger, buckets), "bucket int, known boolean, block binary")
-    marks = materialize(blocks.repartition(n, "bucket").mapInArrow(_dictionary(hot), MARKS))
+    marks = materialize(blocks.repartitionById(n, F.col("bucket") % n).mapInArrow(_dictionary(hot), MARKS))
     open_ = marks.where("kind > 0").groupBy("row_key").agg(F.collect_list(F.struct("first", "n", "left", "trigger", "kind")).alias("marks"))
     phrases_ = docs.join(open_, "row_key").mapInArrow(_emit_bytes(length, buckets), "bucket int, kind int, head binary, bytes binary")
-    compared = phrases_.repartition(n, "bucket").mapInArrow(_parse_order(length), RANGES)
+    compared = phrases_.repartitionById(n, F.col("bucket") % n).mapInArrow(_parse_order(length), RANGES)
     return marks.where("kind = 0").select("row_key", "first", "n").unionByName(compared)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, hot: int = HOT) -> DataFrame:
     """All columns of docs with n_bytes, spans (removed runs), kept (binary: the remaining bytes) and kept_text (their
     whole characters; a character that is cut goes)."""
-    docs = docs.drop("n_bytes", "spans", "kept", "kept_text")
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    kept_columns = [c for c in docs.columns if c not in ("n_bytes", "spans", "kept", "kept_text")]
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.struct(*[c for c in kept_columns if c != "text"]).alias("own"), "text")
     found = repeated_ranges(keyed.select("row_key", "text"), length, trigger, hot)
     ranges = found.groupBy("row_key").agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
-    schema = docs.select("*", F.lit(0).cast("long").alias("n_bytes"), F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("end"))).alias("spans"), F.lit(b"").alias("kept"), F.lit("").alias("kept_text")).schema
+    span = F.struct(F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("end"))
+    schema = keyed.select("own", "text", F.lit(0).cast("long").alias("n_bytes"), F.array(span).alias("spans"), F.lit(b"").alias("kept"), F.lit("").alias("kept_text")).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
@@ -356,11 +360,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
                     rest = [data[a:b] for a, b in zip([0, *(b for _, b in gone)], [*(a for a, _ in gone), len(data)])]
                     kept.append(b"".join(rest))
                     whole.append("".join(x.decode(errors="ignore") for x in rest))
-                names = [f.name for f in schema.fields]
-                own_columns = [c for c, k in zip(part.columns, part.schema.names) if k != "ranges"]
-                yield pa.RecordBatch.from_arrays([*own_columns, pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(whole, pa.string())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("own"), part.column("text"), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(whole, pa.string())], names=[f.name for f in schema.fields])
 
-    return keyed.join(ranges, "row_key", "left").drop("row_key").mapInArrow(cut, schema)
+    out = keyed.join(ranges, "row_key", "left").mapInArrow(cut, schema)
+    return out.select(*["text" if c == "text" else F.col("own").getField(c).alias(c) for c in kept_columns], "n_bytes", "spans", "kept", "kept_text")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
