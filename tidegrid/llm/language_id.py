@@ -36,6 +36,8 @@ SAMPLE_DOCS, SAMPLE_LETTERS, SAMPLE_TEXT, WINDOWS = 64, 20_000, 2_500, 16
 #: Letters with a symbol of their own, and the digits of base 2 ** BITS that spell others.
 FREQUENT, DIGITS, BITS = 40, 4, 6
 ESCAPE = FREQUENT + 1
+#: Bytes of text that step through the automata side by side; bounds a task's memory only.
+SLICE = 2 << 20
 UNDETERMINED = "und"
 MISS = np.int32(-(2**31))
 
@@ -100,12 +102,14 @@ def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     keep[1:] |= letter[:-1]
     ends = np.flatnonzero(points == 10) + 1  # a text ends with a line end of its own
     text = np.searchsorted(np.cumsum(sizes), ends - 1, side="right")
-    letters = np.bincount(np.repeat(np.arange(len(texts)), sizes), letter, len(texts)).astype(np.int64)
-    width = np.where(keep, np.where(sym >= ESCAPE, 1 + DIGITS, 1), 0)
-    first = np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], ends])]
+    del points
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    letters = np.diff(np.concatenate([[0], np.cumsum(letter, dtype=np.int32)])[bounds])
+    width = keep * np.where(sym >= ESCAPE, np.int8(1 + DIGITS), np.int8(1))
+    first = np.concatenate([[0], np.cumsum(width, dtype=np.int32)])[np.concatenate([[0], ends])]
     sym, width = sym[keep], width[keep]
     if len(sym) and width.max() > 1:
-        at = np.cumsum(width) - width
+        at = np.cumsum(width, dtype=np.int32) - width
         out = np.repeat(np.where(width > 1, ESCAPE, sym), width)
         odd = width > 1
         for k in range(DIGITS):
@@ -187,7 +191,7 @@ def identify(docs: DataFrame, parser: CrossParser | None = None) -> DataFrame:
         model = shared.value
         names_of = np.array([*model.languages, UNDETERMINED], object)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 sym, first, line_of, letters = symbols(texts, model.table)
                 best, sure = np.full(len(texts), len(model.languages)), np.zeros(len(texts))
