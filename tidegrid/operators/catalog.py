@@ -32,6 +32,22 @@ def retry_selection(catalogue: DataFrame, manifest: DataFrame) -> DataFrame:
     return catalogue.join(manifest.where(F.col("status").isin(*DONE)).select("sid"), "sid", "left_anti")
 
 
+def with_status(work: DataFrame, least_side: int = 32, least_length: int = 150) -> DataFrame:
+    """Adds status and reason of each attempt: cached where a map is stored, error where one was raised, skip with the first
+    reason that holds, else ok.
+
+    ``work`` has stored, error (class and message, null without), n_frames, side (of the box; null without a face) and T
+    (columns of the map at the target rate; null without flow).
+    """
+    skip = (
+        F.when(F.coalesce("n_frames", F.lit(0)) < 2, "no_frames").when(F.col("side").isNull(), "no_face").when(F.col("side") < least_side, "box_too_small")
+        .when(F.col("T").isNull(), "no_flow").when(F.col("T") < least_length, "too_short")
+    )
+    reason = F.when(F.col("stored"), None).otherwise(F.coalesce(F.col("error"), skip))
+    status = F.when(F.col("stored"), "cached").when(F.col("error").isNotNull(), "error").when(skip.isNotNull(), "skip").otherwise("ok")
+    return work.withColumns({"status": status, "reason": reason})
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "sid") -> DataFrame:
     """Rows of both by key, new ones winning; columns that one side lacks are null."""
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)

@@ -6,12 +6,16 @@ NaN correlation, as have constant columns; groups without any row are absent (``
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAN = float("nan")
+#: Groups whose means are broadcast; more of them are joined without a hint.
+MOST_GROUPS = 100_000
+#: What a test set of each corpus is broken down by.
+SUBGROUP = {"mahnob": "trial", "pure": "head_motion", "cohface": "illumination"}
 
 
 def finite(x: Column) -> Column:
@@ -48,12 +52,13 @@ def icc11(rows: DataFrame, by: Sequence[str], person: str, value: str) -> DataFr
 
 
 def summary(pairs: DataFrame, by: Sequence[str], person: str, pred: str = "pred", ref: str = "ref") -> DataFrame:
-    """All scalar metrics of each group.  The errors' mean is removed from sums, so no second pass is needed for the
-    debiased RMSE; the debiased MAE takes one window over the group."""
-    from pyspark.sql import Window
-
+    """All scalar metrics of each group.  Debiased errors need the group's mean error first: it comes from an aggregation and
+    is joined back, so that few large groups do not become few large tasks."""
     rows = eligible(pairs, pred, ref).withColumn("e", F.col(pred) - F.col(ref))
-    rows = rows.withColumn("d", F.col("e") - F.avg("e").over(Window.partitionBy(*by)))
+    means = rows.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(F.avg("e").alias("_mean"))
+    means = F.broadcast(means) if means.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS else means
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    rows = rows.join(means, same).select(*rows.columns, (F.col("e") - F.col("_mean")).alias("d"))
     e = F.col("e")
     return rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.count_distinct(person).alias("subjects"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
@@ -76,6 +81,34 @@ def complete(metrics: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFra
     return cells.select(*by).distinct().join(metrics, list(by), "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in ("n", "subjects")})
 
 
+def run_pairs(preds: DataFrame, sets: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Rows (run, dataset, subset, person, pred, ref and the manifest's other columns) of sessions that a run predicted, an
+    evaluation set of it holds (sets may overlap) and the manifest knows.
+
+    ``preds`` is (run, sid, bpm), ``sets`` (run, dataset, subset, sid); a person is a subject of the manifest's dataset.
+    """
+    known = manifest.withColumns({"person": F.concat_ws(":", "dataset", "subject"), "ref": F.col("gt_rr")}).drop("dataset", "subject", "gt_rr")
+    return sets.join(preds.withColumnRenamed("bpm", "pred"), ["run", "sid"]).join(known, "sid")
+
+
+def run_cells(preds: DataFrame, sets: DataFrame, manifest: DataFrame) -> DataFrame:
+    """All metrics of each run on each of its evaluation sets; sets without an evaluated session have n = 0."""
+    by = ["run", "dataset", "subset"]
+    return complete(evaluate(run_pairs(preds, sets, manifest), by), sets, by)
+
+
+def run_subgroups(preds: DataFrame, sets: DataFrame, manifest: DataFrame, columns: Mapping[str, str] | None = None) -> DataFrame:
+    """Metrics of a cell's subgroups by the column that its dataset is broken down by, where the set has two values of it."""
+    columns = SUBGROUP if columns is None else columns
+    own = {d: c for d, c in columns.items() if c in manifest.columns}
+    value = F.coalesce(*[F.when(F.col("dataset") == d, F.col(c).cast("string")) for d, c in own.items()], F.lit(None).cast("string"))
+    label = F.coalesce(*[F.when(F.col("dataset") == d, F.lit(f"{c}=")) for d, c in own.items()], F.lit(None).cast("string"))
+    by = ["run", "dataset", "subset"]
+    kinds = sets.join(manifest.select("sid", *set(own.values())), "sid").groupBy(*by).agg(F.count_distinct(value).alias("kinds")).where("kinds >= 2").drop("kinds")
+    rows = run_pairs(preds, sets, manifest).withColumn("grp", F.concat(label, value)).where(F.col("grp").isNotNull()).join(kinds, by, "left_semi")
+    return evaluate(rows, [*by, "grp"])
+
+
 def cells_and_subgroups(pairs: DataFrame, cell: Sequence[str], subgroup: str) -> DataFrame:
     """Counts and errors of cells and of their subgroups in one pass; subgroups need two values at least in a cell."""
     rows = eligible(pairs).withColumn("e", F.col("pred") - F.col("ref"))

@@ -17,6 +17,11 @@ def lagged_map(x: np.ndarray, channels: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, len(x) - channels + 1)
 
 
+def parameter_counts(weights: DataFrame, model: str, values: str) -> DataFrame:
+    """Tensors and parameters of each model from a table of its weights, one flat array a row."""
+    return weights.groupBy(model).agg(F.count("*").alias("tensors"), F.sum(F.size(values)).cast("long").alias("n_parameters"))
+
+
 def score_maps(maps: DataFrame, sid: str, x: str, channels: int, weights: Mapping[str, np.ndarray], fs: float, clip: int, low: float, high: float) -> DataFrame:
     """Long form (sid, readout, bpm) of maps stored row after row in one array; too small maps get NaN."""
     shared = maps.sparkSession.sparkContext.broadcast(dict(weights))

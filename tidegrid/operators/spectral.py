@@ -38,6 +38,40 @@ def band_power(rows: DataFrame, by: Sequence[str], place: str, value: str, bins:
     return rows.groupBy(*by).agg(*sums).select(*by, F.array(*powers).alias("p"))
 
 
+def window_powers(rows: DataFrame, x: str, width: int, step: int, bins: Sequence[int], n: int, taper: np.ndarray | None = None) -> DataFrame:
+    """start and p (squared magnitude of each bin) of every window of an array, mean-free, tapered if asked for, zero-padded to n.
+
+    Windows are cut and transformed where their series is, so nothing is shuffled.  A series shorter than the width is one
+    window; an empty one has none.
+    """
+
+    @F.pandas_udf("array<struct<start:int,p:array<double>>>")
+    def run(column: pd.Series) -> pd.Series:
+        def each(v) -> list[dict]:
+            if v is None or not len(v):
+                return []
+            v = np.asarray(v, float)
+            own = min(width, len(v))
+            parts = np.lib.stride_tricks.sliding_window_view(v, own)[:: max(1, step)]
+            parts = parts - parts.mean(axis=1, keepdims=True)
+            parts = parts if taper is None else parts * taper[:own]
+            wave = np.exp(-2j * np.pi * np.outer(np.arange(own), bins) / n)
+            return [{"start": k * max(1, step), "p": p} for k, p in enumerate(np.abs(parts @ wave) ** 2)]
+
+        return column.map(each)
+
+    kept = [c for c in rows.columns if c != x]
+    return rows.select(*kept, F.explode(run(F.col(x))).alias("_w")).select(*kept, "_w.start", "_w.p")
+
+
+def snr_weighted_rate(windows: DataFrame, by: Sequence[str], p: str, fs: float, n: int, first_bin: int, size: int) -> DataFrame:
+    """Rate of a session without any training: the peaks of all its channels' windows, weighted by how far each stands out of
+    its band."""
+    peak, snr = peak_rate(F.col(p), fs, n, first_bin), F.array_max(p) / (median_of(F.col(p), size) + 1e-20)
+    rows = windows.select(*by, peak.alias("_peak"), snr.alias("_snr"))
+    return rows.groupBy(*by).agg((F.sum(F.col("_peak") * F.col("_snr")) / (F.sum("_snr") + 1e-20)).alias("bpm"), F.count("*").alias("n_windows"))
+
+
 def normalised(p: Column) -> Column:
     total = F.aggregate(p, F.lit(0.0), lambda a, v: a + v) + 1e-12
     return F.transform(p, lambda v: v / total)

@@ -1,16 +1,19 @@
 """Splits by person: nobody is in two parts.
 
-Membership follows either a permutation of the sorted subjects (``permuted``, which reproduces a seeded generator on the
-driver from the distinct subjects of a dataset) or an order by hash (``hashed``, all in Spark, same part sizes).
+Membership follows either a seeded permutation of the sorted subjects of a dataset (``permuted``) or an order by hash (``hashed``, all in Spark, same part sizes).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from .catalog import usable, variant_keep
 
 
 def part_sizes(n: Column, ratios: tuple[float, float, float]) -> tuple[Column, Column]:
@@ -37,12 +40,19 @@ def hashed(sessions: DataFrame, ratios: tuple[float, float, float] = DEFAULT.rat
 
 
 def permuted(sessions: DataFrame, ratios: tuple[float, float, float] = DEFAULT.ratios, seed: int = DEFAULT.seed) -> DataFrame:
-    """By numpy's permutation: ranks are joined to the subjects; the driver only permutes numbers below the counts."""
+    """By numpy's permutation of each distinct number of subjects, made in tasks and joined to the sorted subjects."""
+
+    def permute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for n in rows["n"]:
+                at = np.random.default_rng(seed).permutation(int(n))
+                for a in range(0, len(at), 100_000):
+                    part = at[a : a + 100_000]
+                    yield pd.DataFrame({"n": n, "at": part, "place": np.arange(a, a + len(part))})
+
     subjects = sessions.select("dataset", F.col("subject").cast("string").alias("subject")).distinct()
     numbered = subjects.withColumns({"at": F.row_number().over(Window.partitionBy("dataset").orderBy("subject")) - 1, "n": F.count("*").over(Window.partitionBy("dataset"))})
-    counts = sorted({r["n"] for r in numbered.select("n").distinct().collect()})
-    rows = [(n, int(at), place) for n in counts for place, at in enumerate(np.random.default_rng(seed).permutation(n))]
-    places = sessions.sparkSession.createDataFrame(rows, "n long, at int, place int")
+    places = numbered.select("n").distinct().mapInPandas(permute, "n long, at int, place int")
     return _parts(numbered.join(places, ["n", "at"]), ratios)
 
 
@@ -52,6 +62,22 @@ def members(sessions: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.unionByName(rows.withColumn("part", F.lit("all")))
 
 
+def build(manifest: DataFrame, train_only: Sequence[str] = (), variant: str = "full", ratios: tuple[float, float, float] = DEFAULT.ratios, seed: int = DEFAULT.seed) -> DataFrame:
+    """Split of a manifest's usable sessions; datasets that only train have all of theirs under ``all`` and no other part."""
+    rows = usable(manifest, keep=variant_keep(variant))
+    parts = hashed(rows.where(~F.col("dataset").isin(*train_only)) if train_only else rows, ratios, seed)
+    whole = rows.select("dataset", F.col("subject").cast("string").alias("subject"), "sid")
+    return whole.join(parts, ["dataset", "subject"]).unionByName(whole.withColumn("part", F.lit("all")))
+
+
+def build_report(split: DataFrame, manifest: DataFrame, train_only: Sequence[str] = ()) -> DataFrame:
+    """Sessions, subjects and sessions with a reference of each part (none counts where a dataset only trains), and its role."""
+    only = F.col("dataset").isin(*train_only) if train_only else F.lit(False)
+    rows = split.join(manifest.select("sid", "gt_rr"), "sid")
+    counted = rows.groupBy("dataset", "part").agg(F.count("*").alias("sessions"), F.count_distinct("subject").alias("subjects"), F.count(F.when(~only, F.col("gt_rr"))).alias("n_with_gt"))
+    return counted.withColumn("role", F.when(only, "training-only").otherwise("labelled"))
+
+
 def report(split: DataFrame) -> DataFrame:
     return split.groupBy("dataset", "part").agg(F.count("*").alias("sessions"), F.count_distinct("subject").alias("subjects"))
 

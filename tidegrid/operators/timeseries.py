@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -107,10 +108,35 @@ def standardise(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return rows.withColumn("z", (F.col(value) - F.avg(value).over(own)) / (F.stddev_pop(value).over(own) + 1e-6))
 
 
-def two_views(rows: DataFrame, roi: str, noise: float = 0.0, value: str = "x", seed: int = 0) -> DataFrame:
-    """Even and odd channels as views a and b, with noise in proportion if asked for."""
+def uniform(seed: int, *keys: Column) -> Column:
+    """A number from 0 to below 1 by the MD5 of seed and keys: the same wherever it is computed."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 2.0**32
+
+
+def normal(seed: int, *keys: Column) -> Column:
+    """A standard normal number from two uniform ones."""
+    return F.sqrt(-2.0 * F.log(1.0 - uniform(seed, *keys, F.lit("a")))) * F.cos(2.0 * math.pi * uniform(seed, *keys, F.lit("b")))
+
+
+def two_views(rows: DataFrame, by: Sequence[str], roi: str, place: str, value: str = "x", noise: float = 0.0, seed: int = 0) -> DataFrame:
+    """Even and odd channels as views a and b of long rows, each with noise of ``noise`` times its view's population deviation
+    (and 1e-6) if asked for; the draw follows from seed, series, channel and place."""
     out = rows.withColumn("view", F.when(F.col(roi) % 2 == 0, "a").otherwise("b"))
-    return out.withColumn(value, F.col(value) + noise * F.randn(seed)) if noise else out
+    if not noise:
+        return out
+    spread = F.stddev_pop(value).over(Window.partitionBy(*by, "view")) + 1e-6
+    return out.withColumn(value, F.col(value) + noise * spread * normal(seed, *map(F.col, by), F.col(roi), F.col(place)))
+
+
+def training_batch(maps: DataFrame, draws: DataFrame, sid: str, target: int, minus: int, plus: int, noise: float, seed: int) -> DataFrame:
+    """Rows (draw, view, roi, i, z): for each draw (draw, sid) of a map (sid, roi, x) one clip for all its channels, stretched to
+    the target length, in two noisy views, each standardised over all its channels."""
+    lengths = maps.groupBy(sid).agg(F.max(F.size("x")).alias("_n"))
+    clips = clip_draws(draws.join(lengths, sid), "_n", target, minus, plus, seed, ("draw", sid))
+    part = stretch(F.slice(F.col("x"), F.col("clip_start") + 1, F.col("clip_length")), target)
+    long = clips.select("draw", sid, "clip_start", "clip_length").join(maps, sid).select("draw", "roi", F.posexplode(part).alias("i", "x"))
+    return standardise(two_views(long, ["draw"], "roi", "i", "x", noise, seed), ["draw", "view"], "x").select("draw", "view", "roi", "i", "z")
 
 
 def block_mean(rows: DataFrame, by: Sequence[str], row: str, col: str, value: str, side: int, grid: int) -> DataFrame:
@@ -121,21 +147,33 @@ def block_mean(rows: DataFrame, by: Sequence[str], row: str, col: str, value: st
     return inside.groupBy(*by, roi.cast("long").alias("roi")).agg(F.avg(value).alias("value"))
 
 
-def clip_draws(pairs: DataFrame, length: str, target: int, minus: int, plus: int, seed: int) -> DataFrame:
-    """A clip of minus..plus around the target length at a uniform start, one draw for each pair, repeatable by seed."""
-    u = lambda k: F.pmod(F.xxhash64(*pairs.columns, F.lit(seed), F.lit(k)), F.lit(2**31 - 1)) / float(2**31 - 1)
-    size = F.lit(target - minus) + F.floor(u(1) * (minus + plus + 1)).cast("int")
+def clip_draws(pairs: DataFrame, length: str, target: int, minus: int, plus: int, seed: int, keys: Sequence[str] | None = None) -> DataFrame:
+    """A clip of minus..plus around the target length (both included) at a uniform start, one draw for each pair, by seed and keys."""
+    own = [F.col(c) for c in (pairs.columns if keys is None else keys)]
+    size = F.lit(target - minus) + F.floor(uniform(seed, *own, F.lit("length")) * (minus + plus + 1)).cast("int")
     out = pairs.withColumn("clip_length", size)
-    return out.withColumn("clip_start", F.floor(u(2) * (F.col(length) - F.col("clip_length") + 1)).cast("int")).where(F.col("clip_length") <= F.col(length))
+    start = F.floor(uniform(seed, *own, F.lit("start")) * (F.col(length) - F.col("clip_length") + 1)).cast("int")
+    return out.withColumn("clip_start", start).where(F.col("clip_length") <= F.col(length))
 
 
 def draw_with_replacement(rows: DataFrame, order: str, n: int, seed: int) -> DataFrame:
-    """n rows by index, repeats allowed: drawn indices join the ranks of the rows."""
+    """n rows by index, repeats allowed: drawn indices join the ranks of the rows, which are counted in ranges of the order."""
+    spark = rows.sparkSession
+    parts = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     total = rows.count()
     if not total:
         return rows.limit(0).withColumn("draw", F.lit(0))
-    draws = rows.sparkSession.range(n).select(F.col("id").cast("int").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("_at"))
-    spread = rows.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(64)))
+    draws = spark.range(n).select(F.col("id").cast("int").alias("draw"), F.least(F.floor(uniform(seed, F.col("id")) * total), F.lit(total - 1)).cast("long").alias("_at"))
+    cuts = rows.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10 * parts + 1000)).first()[0] or []
+    spread = rows.withColumn("_part", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(order))) if cuts else F.lit(0))
     counts = spread.groupBy("_part").count().withColumn("_ahead", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = spread.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1).join(counts.select("_part", "_ahead"), "_part")
     return ranked.withColumn("_at", F.col("_k") + F.col("_ahead")).join(draws, "_at").drop("_at", "_k", "_part", "_ahead")
+
+
+def half_precision(x: Column) -> Column:
+    """A number as it comes back from 16-bit storage: 11 significant bits, half to even, in steps of 2 ** -24 near zero."""
+    size = F.greatest(F.floor(F.log2(F.abs(x))), F.lit(-14))
+    unit = F.pow(F.lit(2.0), size - 10)
+    kept = F.rint(x / unit) * unit
+    return F.when(x.isNull() | F.isnan(x) | (x == 0) | (F.abs(x) == float("inf")), x).when(F.abs(kept) > 65504.0, F.signum(x) * float("inf")).otherwise(kept)

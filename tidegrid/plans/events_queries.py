@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -120,12 +119,12 @@ def epoch_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.epoch_means(table(spark, sf_dir, "orders"), ["o_custkey"], "o_totalprice"), "mean_loss")
 
 
-@query(f"""SELECT dataset, subset, trial % 5 AS trial, coalesce(n, 0) AS n, coalesce(subjects, 0) AS subjects, round(mae, 6) AS mae FROM (SELECT DISTINCT dataset, subset, trial FROM ({_PAIRS}))
-    LEFT JOIN (SELECT dataset, subset, trial, count(*) AS n, count(DISTINCT person) AS subjects, avg(abs(pred - ref)) AS mae FROM ({_PAIRS}) WHERE trial < 4 GROUP BY ALL) USING (dataset, subset, trial)""")
+@query(f"""SELECT dataset, subset, trial, coalesce(n, 0) AS n, coalesce(subjects, 0) AS subjects, round(mae, 6) AS mae FROM (SELECT DISTINCT dataset, subset, trial FROM ({_PAIRS}))
+    LEFT JOIN (SELECT dataset, subset, trial, count(*) AS n, count(DISTINCT person) AS subjects, avg(abs(pred - ref)) AS mae FROM ({_PAIRS}) WHERE ref <= 50 GROUP BY ALL) USING (dataset, subset, trial)""")
 def complete_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, by = _pairs(spark, sf_dir), ["dataset", "subset", "trial"]
-    out = metrics.complete(metrics.summary(pairs.where("trial < 4"), by, "person"), pairs, by)
-    return _rounded(out.select("dataset", "subset", (F.col("trial") % 5).alias("trial"), "n", "subjects", "mae"), "mae")
+    out = metrics.complete(metrics.summary(pairs.withColumn("ref", F.when(F.col("ref") <= 50, F.col("ref"))), by, "person"), pairs, by)
+    return _rounded(out.select("dataset", "subset", "trial", "n", "subjects", "mae"), "mae")
 
 
 # ---- catalogue and manifest: orders stand for manifest records
@@ -158,10 +157,10 @@ def top_n_per_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.first_per_group(_manifest(spark, sf_dir), "dataset", "sid", 25).select("sid", "dataset")
 
 
-@query(f"SELECT sid, status FROM ({_MANIFEST}) WHERE sid % 2 = 0 AND NOT (status IN ('ok', 'cached') AND sid % 3 <> 0)")
+@query(f"SELECT sid, status FROM ({_MANIFEST}) WHERE status NOT IN ('ok', 'cached') OR trial IS NULL")
 def retry_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _manifest(spark, sf_dir)
-    return catalog.retry_selection(rows.where("sid % 2 = 0"), rows.where("sid % 3 <> 0")).select("sid", "status")
+    return catalog.retry_selection(rows, rows.where("trial is not null")).select("sid", "status")
 
 
 @query(f"""SELECT sid, status, NULL::DOUBLE AS gt_rr, 'new' AS note FROM ({_MANIFEST}) WHERE sid % 5 = 0
@@ -354,9 +353,7 @@ _POWER = f"SELECT user_id, s, k, pow(sum(v * cos(j::DOUBLE * (2 * pi() * k / {_N
 
 
 def _window_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = timeseries.windows(_series(spark, sf_dir), "x", _WIDTH, _STEP)
-    long = rows.select("user_id", "start", F.posexplode("w").alias("j", "v"))
-    return spectral.band_power(long, ["user_id", "start"], "j", "v", spectral.band_bins(_FS, _NFFT, 1.5, 10.5), _NFFT)
+    return spectral.window_powers(_series(spark, sf_dir), "x", _WIDTH, _STEP, spectral.band_bins(_FS, _NFFT, 1.5, 10.5), _NFFT)
 
 
 @query(f"SELECT user_id, s::INT AS start, count(*)::INT AS size, round(avg(value), 7) AS mean FROM (SELECT w.user_id, w.s, e.value FROM ({_STARTS}) w JOIN ({_ORDERED}) e ON e.user_id = w.user_id AND e.i >= w.s AND e.i < w.s + {_WIDTH}) GROUP BY 1, 2")
@@ -385,9 +382,18 @@ def readouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_rounded(rows, "mean"), "snr_mean", 5)
 
 
-@query()
+_WIDE = [k for k in range(2049) if 0.1 <= k * 15.0 / 4096 <= 0.5]
+
+
+@query(f"""WITH st AS (SELECT user_id, a.s, least(30, n) AS width FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) u, LATERAL (SELECT unnest(range(0, n - least(30, n) + 1, 15)) AS s) a),
+    w AS (SELECT st.user_id, s, e.i - s AS j, e.value - avg(e.value) OVER (PARTITION BY st.user_id, s) AS v FROM st JOIN ({_ORDERED}) e ON e.user_id = st.user_id AND e.i >= s AND e.i < s + width),
+    p AS (SELECT user_id, s, k, pow(sum(v * cos(j::DOUBLE * (2 * pi() * k / 4096))), 2) + pow(sum(v * sin(j::DOUBLE * (2 * pi() * k / 4096))), 2) AS p FROM w, (SELECT unnest(range({_WIDE[0]}, {_WIDE[-1] + 1})) AS k) GROUP BY 1, 2, 3),
+    x AS (SELECT user_id, s, arg_max(k, (p, -k)) * 15e0 / 4096 * 60 AS peak, max(p) / (median(p) + 1e-20) AS snr FROM p GROUP BY 1, 2),
+    t AS (SELECT user_id, arg_max(k, (p, -k)) * 15e0 / 4096 * 60 AS psd_sum FROM (SELECT user_id, k, sum(p) AS p FROM p GROUP BY 1, 2) GROUP BY 1),
+    r AS (SELECT user_id, any_value(psd_sum) AS psd_sum, avg(peak) AS mean, median(peak) AS median, sum(peak * snr) / (sum(snr) + 1e-20) AS snr_mean FROM x JOIN t USING (user_id) GROUP BY 1)
+    SELECT user_id, readout, round(bpm, 4) AS bpm FROM (UNPIVOT r ON psd_sum, mean, median, snr_mean INTO NAME readout VALUE bpm)""")
 def wave_readouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.wave_readouts(_series(spark, sf_dir), ["user_id"], "x", 15.0, 30)
+    return _rounded(spectral.wave_readouts(_series(spark, sf_dir), ["user_id"], "x", 15.0, 30), "bpm", 4)
 
 
 @query()
@@ -404,12 +410,15 @@ def bandpass_filtfilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", F.posexplode("y").alias("i", "y")).withColumn("y", F.round("y", 6))
 
 
-@query()
+@query(f"""WITH n AS (SELECT user_id, count(*) AS n, greatest(2, round_even(count(*) / 256e0 * 240, 0))::BIGINT AS m FROM events GROUP BY 1),
+    c AS (SELECT e.user_id, k, n, m, sum(value * cos(2 * pi() * k * e.i / n)) AS re, -sum(value * sin(2 * pi() * k * e.i / n)) AS im FROM ({_ORDERED}) e JOIN (SELECT user_id, n, m, unnest(range(0, least(n, m) // 2 + 1)) AS k FROM n) USING (user_id) GROUP BY 1, 2, 3, 4),
+    h AS (SELECT user_id, k, n, m, re, CASE WHEN 2 * k = m OR k = 0 THEN 0 ELSE im END AS im, CASE WHEN k = 0 THEN 1 WHEN 2 * k = m AND m < n THEN 2 WHEN 2 * k = m THEN 1 WHEN 2 * k = n AND m > n THEN 1 ELSE 2 END AS times FROM c)
+    SELECT user_id, i::INT AS i, round(sum(times * (re * cos(2 * pi() * k * i / m) - im * sin(2 * pi() * k * i / m))) / any_value(n), 5) AS y FROM h, LATERAL (SELECT unnest(range(0, m)) AS i) GROUP BY 1, 2""")
 def fourier_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import signal
 
     rows = _series(spark, sf_dir).withColumn("y", spectral.per_array(lambda v: signal.fourier_resample(v, max(2, round(len(v) / 256 * 30 * 8))), "x", "array<double>"))
-    return rows.select("user_id", F.posexplode("y").alias("i", "y")).withColumn("y", F.round("y", 6))
+    return rows.select("user_id", F.posexplode("y").alias("i", "y")).withColumn("y", F.round("y", 5))
 
 
 _TAPS = 41
@@ -435,9 +444,17 @@ def fir_decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     p AS (SELECT user_id, k, sum(p) AS p FROM (SELECT user_id, s, k, pow(sum(v * cos(j::DOUBLE * (2 * pi() * k / 64))), 2) + pow(sum(v * sin(j::DOUBLE * (2 * pi() * k / 64))), 2) AS p FROM seg, (SELECT unnest(range(3, 22)) AS k) GROUP BY 1, 2, 3) GROUP BY 1, 2)
     SELECT user_id, round(arg_max(k, (p, -k)) * 0.5e0, 6) AS peak_hz FROM p GROUP BY 1""")
 def welch_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = timeseries.windows(_series(spark, sf_dir).where(F.size("x") >= 32), "x", 32, 16)
-    long, bins = rows.select("user_id", "start", F.posexplode("w").alias("j", "v")), list(range(3, 22))
-    hann = 0.5 - 0.5 * F.cos(F.col("j").cast("double") * (2 * math.pi / 32))
-    powers = spectral.band_power(long, ["user_id", "start"], "j", "v", bins, 64, hann)
+    bins = list(range(3, 22))
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(32) / 32)
+    powers = spectral.window_powers(_series(spark, sf_dir).where(F.size("x") >= 32), "x", 32, 16, bins, 64, hann)
     total = powers.groupBy("user_id").agg(F.array(*[F.sum(F.col("p")[i]) for i in range(len(bins))]).alias("p"))
     return total.select("user_id", F.round((spectral.argmax(F.col("p")) + 3) * 0.5, 6).alias("peak_hz"))
+
+
+_SNR = f"SELECT user_id, s, arg_max(k, (p, -k)) * {_FS}e0 / {_NFFT} * 60 AS peak, max(p) / (median(p) + 1e-20) AS snr FROM ({_POWER}) GROUP BY 1, 2"
+
+
+@query(f"SELECT user_id % 10 AS session, round(sum(peak * snr) / (sum(snr) + 1e-20), 5) AS bpm, count(*) AS n_windows FROM ({_SNR}) GROUP BY 1")
+def snr_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _window_powers(spark, sf_dir).withColumn("session", F.col("user_id") % 10)
+    return _rounded(spectral.snr_weighted_rate(rows, ["session"], "p", _FS, _NFFT, _BINS[0], len(_BINS)), "bpm", 5)
