@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.functions import physnet, signal
-from tidegrid.operators import catalog, contrastive, metrics, spectral, splits, timeseries
+from tidegrid.functions import frames, physnet, signal
+from tidegrid.operators import catalog, contrastive, maps, metrics, spectral, splits, timeseries
 
 
 def test_network_shape_and_size():
@@ -94,3 +94,75 @@ def test_windows_and_stretch(spark):
 def test_stimulus_window(spark):
     edges = spark.createDataFrame([(1, 300, 900, 2), (2, 100, 900, 2)], "k int, first int, second int, n_edges int")
     assert [r.k for r in timeseries.stimulus_window(edges, 10.0).collect()] == [1]
+
+
+def test_recursive_filter_against_its_definition():
+    rng = np.random.default_rng(5)
+    b, a = signal.butter_band(3, 0.1, 0.5, 2.0)
+    x, state = rng.standard_normal(333), rng.standard_normal(6)
+    want, s = [], state.copy()
+    for v in x:
+        y = b[0] * v + s[0]
+        s = np.append(s[1:], 0) + b[1:] * v - a[1:] * y
+        want.append(y)
+    assert np.allclose(signal._filter(b, a, x, state), want)
+
+
+def test_permuted_splits_follow_the_generator(spark):
+    names = [f"s{k:02d}" for k in range(27)]
+    parts = {r.subject: r.part for r in splits.permuted(spark.createDataFrame([("d", n) for n in names], "dataset string, subject string")).collect()}
+    order = np.random.default_rng(42).permutation(27)
+    assert [parts[names[k]] for k in range(27)] == ["test" if p < 5 else "val" if p < 8 else "train" for p in np.argsort(order)]
+
+
+def test_noise_of_views_is_in_proportion(spark):
+    rows = spark.createDataFrame([(k, r, i, float((k + 1) * (i % 7))) for k in range(2) for r in range(4) for i in range(2000)], "k int, r int, i int, v double")
+    views = timeseries.two_views(rows.withColumn("was", F.col("v")), ["k"], "r", "i", "v", 0.05, 1)
+    got = views.groupBy("k", "view").agg(F.stddev_pop(F.col("v") - F.col("was")).alias("noise"), F.stddev_pop("was").alias("sd")).collect()
+    assert len(got) == 4 and all(r.noise == pytest.approx(0.05 * r.sd, rel=0.06) for r in got)
+
+
+def test_half_precision(spark):
+    x = np.concatenate([np.random.default_rng(0).standard_normal(300) * 10.0 ** np.random.default_rng(1).integers(-9, 5, 300), [0.0, 8.0, 65504.0, 65519.0, 65520.0, 1e9, -1e9, 6e-8, float("inf")]])
+    got = [r.y for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(timeseries.half_precision(F.col("x")).alias("y")).collect()]
+    with np.errstate(over="ignore"):
+        assert got == x.astype(np.float16).astype(float).tolist()
+
+
+def test_status_of_attempts(spark):
+    rows = spark.createDataFrame([(1, True, "E: x", 0, None, None), (2, False, "E: x", 0, None, None), (3, False, None, None, 99, 200), (4, False, None, 9, None, None), (5, False, None, 9, 31, None), (6, False, None, 9, 32, None), (7, False, None, 9, 32, 149), (8, False, None, 9, 32, 150)], "sid int, stored boolean, error string, n_frames int, side int, T int")
+    got = [(r.status, r.reason) for r in catalog.with_status(rows).orderBy("sid").collect()]
+    assert got == [("cached", None), ("error", "E: x"), ("skip", "no_frames"), ("skip", "no_face"), ("skip", "box_too_small"), ("skip", "no_flow"), ("skip", "too_short"), ("ok", None)]
+
+
+def _shifted(dy, dx=0.0, side=64):
+    y, x = np.indices((side, side))
+    return np.rint(128 + 50 * np.sin((y - dy) / 5.0) + 50 * np.cos((x - dx) / 6.0)).astype(np.uint8)
+
+
+def test_crops_and_motion():
+    frame = np.random.default_rng(3).integers(0, 256, (60, 80, 3)).astype(np.uint8)
+    grey = frames.grey_crop(frame, (10, 5, 50, 45), 20)
+    plain = np.rint((frame[5:45, 10:50].astype(int) @ np.array(frames.GREY) + 8192 >> 14).reshape(20, 2, 20, 2).mean(axis=(1, 3)))
+    assert np.abs(grey.astype(int) - plain).max() <= 1 and frames.grey_crop(frame, (9, 9, 9, 20), 20) is None
+    assert np.allclose(frames.area_weights(7, 3).sum(axis=1), 1) and np.allclose(frames.area_weights(7, 3).sum(axis=0), 3 / 7)
+    flow = frames.motion(_shifted(0), _shifted(1.5, -0.7))[12:-12, 12:-12]
+    assert np.abs(flow[..., 1] - 1.5).max() < 0.3 and np.abs(flow[..., 0] + 0.7).max() < 0.3
+    assert frames.block_means(np.arange(81.0).reshape(9, 9), 4).tolist() == [5 + 18 * r + 2 * c for r in range(4) for c in range(4)]
+
+
+def test_maps_of_sessions(spark):
+    """A face that moves up and down gives its motion; what fails is told and fails nothing else."""
+    move = [2 * math.sin(k / 3) for k in range(12)]
+    image = lambda k: np.repeat(_shifted(move[k])[..., None], 3, axis=2).tobytes()
+    rows = [("a", k, 64, 64, image(k)) for k in range(12)] + [("b", k, 64, 64, image(k)) for k in range(12)] + [("c", 0, 64, 64, image(0))] + [("d", k, 64, 64, b"short") for k in range(3)]
+    frames_ = spark.createDataFrame(rows, "sid string, frame int, width int, height int, bgr binary")
+    sessions = spark.createDataFrame([(s, 64, 64, 15.0) for s in "abcde"], "sid string, width int, height int, fps double")
+    seen = spark.createDataFrame([(s, k, 4.0, 4.0, 40.0, 40.0, 0.9) for s in "acd" for k in range(3)], "sid string, frame int, x double, y double, w double, h double, score double")
+    records, maps_ = maps.session_maps(sessions, frames_, seen, side=32, grid=4, target=30.0, least_s=0.5)
+    got = {r.sid: (r.status, r.reason and r.reason.split(":")[0]) for r in records.collect()}
+    assert got == {"a": ("ok", None), "b": ("skip", "no_face"), "c": ("skip", "no_frames"), "d": ("error", "ValueError"), "e": ("skip", "no_frames")}
+    found = maps_.collect()
+    assert {r.sid for r in found} == {"a"} and sorted(r.roi for r in found) == list(range(16)) and all(len(r.x) == 21 for r in found)
+    middle = np.mean([r.x[::2] for r in found if r.roi in (5, 6, 9, 10)], axis=0)
+    assert np.corrcoef(middle, np.diff(move))[0, 1] > 0.95

@@ -2,7 +2,7 @@ import struct
 
 import numpy as np
 
-from tidegrid.sources import avi, bdf, manifest, names
+from tidegrid.sources import avi, bdf, corpora, manifest, names
 
 
 def _bdf(n_records=2, cut=0):
@@ -20,8 +20,10 @@ def test_bdf_channels(spark, tmp_path):
     rows = bdf.read_channel(spark, str(tmp_path), "Resp").collect()
     assert [(r.fs, r.x) for r in rows] == [(4.0, [-1, 5, -8388608, 8388607, 7, 8, 9, 10])]
     assert bdf.headers(spark, str(tmp_path)).first().labels == ["Resp", "Status"]
-    assert list(bdf.channel(_bdf(cut=3), "Status")[0]) == [1, 65536]  # the second record is not whole
-    assert bdf.channel(_bdf(), "EEG") is None
+    (tmp_path / "c.bdf").write_bytes(_bdf(cut=3))
+    rows = {r.path[-5:]: r.x for r in bdf.read_channel(spark, str(tmp_path), "Status").collect()}
+    assert rows == {"a.bdf": [1, 65536, 0, 3], "c.bdf": [1, 65536]}  # the second record is not whole
+    assert bdf.read_channel(spark, str(tmp_path), "EEG").count() == 0
 
 
 def _avi(frames, segments=1, pad=0):
@@ -50,6 +52,57 @@ def test_avi_frames(spark, tmp_path):
     assert sorted(r.frame for r in half.collect()) == [0, 2]
 
 
+def test_avi_frames_that_end_in_black(spark, tmp_path):
+    """A whole file keeps its black last frame; short chunks and padding end a file."""
+    frames = [bytes([k + 1] * 16) for k in range(2)] + [b"\0" * 16]
+    (tmp_path / "black.avi").write_bytes(_avi(frames))
+    (tmp_path / "short.avi").write_bytes(_avi([frames[0], b"\7" * 8, frames[1]]))
+    (tmp_path / "padded.avi").write_bytes(_avi(frames, pad=64))
+    (tmp_path / "noise.avi").write_bytes(b"RIFFxxxx")
+    index = avi.frame_index(spark, str(tmp_path))
+    found = {r.path.rsplit("/", 1)[1]: (r.found, r.declared) for r in avi.headers(index).collect()}
+    assert found == {"black.avi": (3, 3), "short.avi": (1, 3), "padded.avi": (2, 3)}
+    rows = avi.read_frames(index, step=2, most=3, readers=2).where("path like '%black.avi'").orderBy("frame").collect()
+    assert [(r.frame, r.bgr) for r in rows] == [(0, bytes([1] * 12)), (2, bytes(12))]
+
+
+def test_catalogues_of_files(spark, tmp_path):
+    """Listings and headers as they come from a store."""
+    for name in ("1/0", "1/2", "x/1"):
+        (tmp_path / "c" / name).mkdir(parents=True)
+        (tmp_path / "c" / name / "data.avi").write_bytes(b"x")
+    listing = corpora.files(spark, str(tmp_path / "c"))
+    probes = listing.selectExpr("path", "if(path like '%/1/0/%', 20L, 1L) AS n_frames", "20.3D AS fps")
+    lights = listing.selectExpr("regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder", "'other' AS light")
+    rows = corpora.cohface(listing, probes, lights).collect()
+    assert [(r.sid, r.fps, r.illumination, r.hdf5) for r in rows] == [("COHFACE_1_0", 20.3, "lamp", None)]
+    (tmp_path / "m" / "10").mkdir(parents=True)
+    (tmp_path / "m" / "10" / "session.xml").write_text('<session vidRate="61.5" x="1"><subject id="7" name="n"/></session>')
+    assert [(r.subject, r.vid_rate) for r in corpora.session_xml(spark, str(tmp_path / "m")).collect()] == [("7", 61.5)]
+    odd = spark.createDataFrame([("a", "<session><subject id='3_4'/></session>"), ("b", "<session><subject/></session>"), ("c", "<session vidRate='-1'><subject id='3'/></session>"), ("d", "<session><subject id='5'/></session>"), ("e", "no xml")], "folder string, xml string")
+    assert [(r.folder, r.vid_rate) for r in corpora.parse_session_xml(odd).collect()] == [("d", corpora.TRIAL_FPS)]
+    names = ["DATASET_1/8-gt/vid.avi", "DATASET_1/after-exercise/vid.avi", "DATASET_2/subject42/vid.avi", "DATASET_2/subject42/ground_truth.txt", "DATASET_1/05-gt/vid.avi", "DATASET_2/7-gt/vid.avi"]
+    layout = corpora.ubfc_layout(spark.createDataFrame([(f"/r/{n}",) for n in names], "path string")).collect()
+    assert {(r.folder, r.subject, r.session) for r in layout} == {("8-gt", "b42", "d1gt8"), ("after-exercise", "b42", "d1afterex"), ("subject42", "b42", "d2"), ("05-gt", "a5", "d1gt")}
+    assert {r.folder for r in layout if r.reference} == {"subject42"}
+
+
+def test_stores_of_maps_predictions_and_checkpoints(spark, tmp_path):
+    maps = spark.createDataFrame([("a", "d", 0, [1.0 + 2**-12] * 20), ("b", "d", 0, [1.0] * 5)], "sid string, dataset string, roi int, x array<double>")
+    manifest.write_maps(maps, str(tmp_path / "maps"), spark, half=True)
+    kept, dropped = manifest.load_maps(spark, str(tmp_path / "maps"), spark.createDataFrame([("a",), ("b",), ("c",)], "sid string"), 8, 2)
+    assert [(r.sid, len(r.x)) for r in kept.collect()] == [("a", 10)] and spark.read.parquet(str(tmp_path / "maps")).where("sid = 'a'").first().x[0] == 1.0
+    assert {(r.sid, r.reason) for r in dropped.collect()} == {("b", "short:5"), ("c", "missing")}
+    preds = spark.createDataFrame([("r1", "a", "mean", 1.0), ("r2", "a", "mean", 2.0)], "run string, sid string, readout string, bpm double")
+    manifest.write_predictions(preds, str(tmp_path / "preds"))
+    manifest.write_predictions(preds.where("run = 'r2'").selectExpr("run", "sid", "readout", "bpm + 1 AS bpm"), str(tmp_path / "preds"))
+    assert {(r.run, r.bpm) for r in spark.read.parquet(str(tmp_path / "preds")).collect()} == {("r1", 1.0), ("r2", 3.0)}
+    weights = {"w": np.arange(6, dtype=np.float32).reshape(2, 3), "b": np.ones(2, np.float32)}
+    manifest.write_checkpoint(weights, spark, str(tmp_path / "net"))
+    again = manifest.read_checkpoint(spark, str(tmp_path / "net"))
+    assert all((again[k] == v).all() for k, v in weights.items())
+
+
 def test_names(spark):
     rows = spark.createDataFrame([("s", "Image20.png"), ("s", "Image3.png"), ("s", "Imagex.png"), ("s", "a.png")], "sid string, name string")
     assert names.image_timestamps(rows, ["sid"], "name").first().stamps == [3, 20]

@@ -1,20 +1,28 @@
-"""Uncompressed 24-bit AVI files as a Spark data source: a catalogue of files, or their frames in ranges.
+"""Uncompressed 24-bit AVI files: an index of their frames, made in tasks, and the frames in ranges of it.
 
-Files can be far larger than one row may be, so a partition is a range of frames of one file, found by walking the
-container's chunk headers only.  ``spark.dataSource.register(AviSource)`` makes it known as "raw_avi".
+Files can be far larger than one row may be, so frames are read by their places: ``frame_index`` walks the headers of the
+container's chunks, one file a task, and ``read_frames`` reads what a plan asks for.  The index is a table like any other
+and can be kept.  ``spark.dataSource.register(AviSource)`` makes the same known as "raw_avi".
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import ranges
+
 FRAMES = "path string, frame int, width int, height int, bgr binary"
+INDEX = "path string, frame int, place long, width int, height int, fps double, declared long, bottom_up boolean"
 PER_PARTITION = 256
 
 
@@ -33,7 +41,7 @@ class Layout:
 
 def layout(path: str) -> Layout | None:
     """From the headers; None unless the first stream is uncompressed 24-bit video."""
-    with open(path, "rb") as file:
+    with ranges.opened(path) as file:
         head = file.read(1 << 16)
     if head[:4] != b"RIFF" or head[8:12] != b"AVI ":
         return None
@@ -48,9 +56,11 @@ def layout(path: str) -> Layout | None:
 
 
 def offsets(path: str, found: Layout) -> list[int]:
-    """Where frames begin, over all RIFF segments; ends at the first invalid header, without a zero-padded last frame."""
-    size, out = os.path.getsize(path), []
-    with open(path, "rb") as file:
+    """Where frames begin, over all RIFF segments, up to the first chunk that cannot be right: no name, or a frame that is too
+    short or beyond the end.  Only then is the last frame checked, and left out if an eighth of it is trailing zeros: it
+    is where a file was cut off and padded.  A whole file that ends in black keeps its last frame."""
+    end_of_file, out = ranges.size(path), []
+    with ranges.opened(path) as file:
 
         def walk(at: int, end: int) -> bool:
             while at + 8 <= end:
@@ -62,21 +72,72 @@ def offsets(path: str, found: Layout) -> list[int]:
                     if not walk(at + 12, min(end, at + 8 + length)):
                         return False
                 elif name[2:] in (b"db", b"dc") and name[:2].isdigit():
-                    if at + 8 + found.frame_size > size:
+                    if length < found.frame_size or at + 8 + found.frame_size > end_of_file:
                         return False
                     out.append(at + 8)
                 at += 8 + length + length % 2
             return True
 
-        walk(0, size)
-        if out:
+        if not walk(0, end_of_file) and out:
             file.seek(out[-1])
             last = file.read(found.frame_size)
-            if len(last) - len(last.rstrip(b"\0")) >= found.frame_size / 8:
+            if len(last) - len(last.rstrip(b"\0")) >= found.frame_size // 8:
                 out.pop()
     return out
 
 
+def frame(file, place: int, found: Layout) -> bytes:
+    """Rows of BGR from the top, without padding."""
+    row = found.frame_size // found.height
+    file.seek(place)
+    data = file.read(found.frame_size)
+    lines = [data[r * row : r * row + 3 * found.width] for r in range(found.height)]
+    return b"".join(lines[::-1] if found.bottom_up else lines)
+
+
+def frame_index(spark: SparkSession, root: str, pattern: str = "*.avi") -> DataFrame:
+    """One row for each frame of each readable file; Spark lists the files, tasks walk them."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for path in rows["path"]:
+                try:
+                    found = layout(path)
+                    places = offsets(path, found) if found else []
+                except (OSError, struct.error):
+                    continue  # files that cannot be read have no frames
+                for a in range(0, len(places), 100_000):
+                    part = places[a : a + 100_000]
+                    yield pd.DataFrame({"path": path, "frame": range(a, a + len(part)), "place": part, "width": found.width, "height": found.height, "fps": found.fps, "declared": found.declared, "bottom_up": found.bottom_up})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path")
+    return files.repartition("path").mapInPandas(walk, INDEX)
+
+
+def headers(index: DataFrame) -> DataFrame:
+    """One row for each file: what its header declares and how many frames were found."""
+    return index.groupBy("path", "width", "height", "fps", "declared", "bottom_up").agg(F.count("*").alias("found"))
+
+
+def read_frames(index: DataFrame, step: int = 1, most: int | None = None, readers: int | None = None) -> DataFrame:
+    """The first ``most`` frames of each file, every step-th of them.  What is left out is not read.  ``readers`` bounds the
+    tasks that read at a time where the store does not bear more."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for path, own in rows.groupby("path", sort=False):
+                with ranges.opened(path) as file:
+                    for a in range(0, len(own), 16):
+                        part = own.iloc[a : a + 16]
+                        pixels = [frame(file, r.place, Layout(r.width, r.height, r.fps, r.declared, r.bottom_up)) for r in part.itertuples()]
+                        yield pd.DataFrame({"path": path, "frame": part["frame"], "width": part["width"], "height": part["height"], "bgr": pixels})
+
+    chosen = index.where((F.col("frame") % step == 0) & (F.lit(True) if most is None else F.col("frame") < most))
+    block = F.floor(F.col("frame") / (PER_PARTITION * step))
+    dealt = chosen.repartition(readers, "path", block) if readers else chosen.repartition("path", block)
+    return dealt.sortWithinPartitions("path", "frame").mapInPandas(read, FRAMES)
+
+
 class FrameRange(InputPartition):
     def __init__(self, path: str, found: Layout, first: int, places: list[int]):
         self.path, self.found, self.first, self.places = path, found, first, places
@@ -87,24 +148,23 @@ class AviReader(DataSourceReader):
         self.pattern, self.step, self.most = options["path"], int(options.get("step", 1)), int(options.get("frames", 1 << 40))
 
     def partitions(self) -> list[FrameRange]:
-        ranges = []
-        for path in sorted(glob.glob(self.pattern)):
-            if found := layout(path):
+        parts = []
+        folder, name = os.path.split(self.pattern)
+        store, inner = ranges._opened(folder)
+        for info in sorted(store.get_file_info(fs.FileSelector(inner)), key=lambda x: x.path):
+            path = f"{folder}/{info.base_name}"
+            if fnmatch.fnmatch(info.base_name, name) and (found := layout(path)):
                 places = offsets(path, found)[: self.most]
-                ranges += [FrameRange(path, found, a, places[a : a + PER_PARTITION]) for a in range(0, len(places), PER_PARTITION)]
-        return ranges or [FrameRange("", Layout(0, 0, 0, 0, False), 0, [])]
+                parts += [FrameRange(path, found, a, places[a : a + PER_PARTITION]) for a in range(0, len(places), PER_PARTITION)]
+        return parts or [FrameRange("", Layout(0, 0, 0, 0, False), 0, [])]
 
     def read(self, part: FrameRange) -> Iterator[tuple]:
         if not part.places:
             return
-        width, height, row = part.found.width, part.found.height, part.found.frame_size // part.found.height
-        with open(part.path, "rb") as file:
+        with ranges.opened(part.path) as file:
             for k, at in enumerate(part.places):
                 if (part.first + k) % self.step == 0:
-                    file.seek(at)
-                    data = file.read(part.found.frame_size)
-                    lines = [data[r * row : r * row + 3 * width] for r in range(height)]
-                    yield part.path, part.first + k, width, height, b"".join(lines[::-1] if part.found.bottom_up else lines)
+                    yield part.path, part.first + k, part.found.width, part.found.height, frame(file, at, part.found)
 
 
 class AviSource(DataSource):

@@ -1,6 +1,7 @@
-"""BDF recordings: headers as a table, and single channels decoded without the others.
+"""BDF recordings: headers as a table, and single channels read without the others.
 
-Files come through Spark's binaryFile reader, so any store that Spark reads will do.
+Spark lists the files; tasks read headers, and of each record only the bytes of the channel that is asked for, so neither
+the size of a recording nor its other channels matter.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from . import ranges
+
 HEADER = "path string, n_records long, record_s double, labels array<string>, samples array<int>"
 
 
@@ -42,19 +45,42 @@ def parse_header(data: bytes) -> Header | None:
         return None
 
 
-def channel(data: bytes, label: str) -> tuple[np.ndarray, float] | None:
-    """Samples and rate of one channel: 24-bit little-endian two's complement, whole records only."""
-    head = parse_header(data)
+def decode(raw: np.ndarray) -> np.ndarray:
+    """24-bit little-endian two's complement."""
+    raw = raw.reshape(-1, 3).astype(np.int64)
+    value = raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16
+    return value - ((value & 0x800000) << 1)
+
+
+def _read_header(file) -> Header | None:
+    file.seek(0)
+    first = file.read(256)
+    try:
+        n = int(first[252:256])
+    except ValueError:
+        return None
+    return parse_header(first + file.read(256 * n)) if n > 0 else None
+
+
+def channel(file, label: str, size: int) -> tuple[np.ndarray, float] | None:
+    """Samples and rate of one channel of an open file of ``size`` bytes: whole records only."""
+    head = _read_header(file)
     if head is None or label not in head.labels:
         return None
     k = head.labels.index(label)
     width = 3 * sum(head.samples)
-    n = (len(data) - head.size) // width if width else 0
+    n = (size - head.size) // width if width else 0
     n = min(head.n_records, n) if head.n_records >= 0 else n
-    first = 3 * sum(head.samples[:k])
-    raw = np.frombuffer(data, np.uint8, n * width, head.size).reshape(n, width)[:, first : first + 3 * head.samples[k]].reshape(-1, 3).astype(np.int64)
-    value = raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16
-    return value - ((value & 0x800000) << 1), head.samples[k] / head.record_s
+    first, own = 3 * sum(head.samples[:k]), 3 * head.samples[k]
+    raw = np.empty((n, own), np.uint8)
+    for record in range(n):
+        file.seek(head.size + record * width + first)
+        raw[record] = np.frombuffer(file.read(own), np.uint8)
+    return decode(raw), head.samples[k] / head.record_s
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
@@ -62,10 +88,13 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            found = [(p, parse_header(bytes(c))) for p, c in zip(rows["path"], rows["content"])]
+            found = []
+            for p in rows["path"]:
+                with ranges.opened(p) as file:
+                    found.append((p, _read_header(file)))
             yield pd.DataFrame([(p, h.n_records, h.record_s, h.labels, h.samples) for p, h in found if h], columns=["path", "n_records", "record_s", "labels", "samples"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, HEADER)
+    return _files(spark, path).mapInPandas(run, HEADER)
 
 
 def read_channel(spark: SparkSession, path: str, label: str) -> DataFrame:
@@ -73,7 +102,10 @@ def read_channel(spark: SparkSession, path: str, label: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            found = [(p, channel(bytes(c), label)) for p, c in zip(rows["path"], rows["content"])]
-            yield pd.DataFrame([(p, f[1], f[0]) for p, f in found if f], columns=["path", "fs", "x"])
+            for p, size in zip(rows["path"], rows["length"]):
+                with ranges.opened(p) as file:
+                    found = channel(file, label, int(size))
+                if found:
+                    yield pd.DataFrame({"path": [p], "fs": [found[1]], "x": [found[0]]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, fs double, x array<bigint>")
+    return _files(spark, path).repartition("path").mapInPandas(run, "path string, fs double, x array<bigint>")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.signal import fir_decimate
+from ..operators.catalog import with_reasons
+from ..operators.spectral import per_array
+from ..operators.timeseries import half_precision
+
 RECORD = "dataset string, subject string, status string, reason string, fps_src double, gt_rr double, T int, M int, n_frames bigint, trial string, task string, head_motion boolean, illumination string, box array<int>"
 
 
@@ -25,8 +31,9 @@ def write_manifest(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def write_maps(maps: DataFrame, path: str, spark: SparkSession, force: bool = False) -> None:
-    """Adds maps (sid, dataset, ...) whose session is not stored yet, or all if forced; parted by dataset."""
+def write_maps(maps: DataFrame, path: str, spark: SparkSession, force: bool = False, half: bool = False) -> None:
+    """Adds maps (sid, dataset, x, ...) whose session is not stored yet, or all if forced; parted by dataset, and rounded to half
+    precision if asked for."""
     try:
         stored = None if force else spark.read.parquet(path).select("sid").distinct()
     except Exception as error:  # the folder does not exist yet
@@ -34,13 +41,43 @@ def write_maps(maps: DataFrame, path: str, spark: SparkSession, force: bool = Fa
             raise
         stored = None
     new = maps if stored is None else maps.join(stored, "sid", "left_anti")
+    if half:
+        new = new.withColumn("x", F.transform("x", half_precision))
     new.write.mode("overwrite" if force else "append").partitionBy("dataset").parquet(path)
 
 
-def markdown(rows: DataFrame, columns: Sequence[str], formats: dict[str, str] | None = None, limit: int = 1000) -> str:
-    """A report table; ``limit`` bounds what the driver receives."""
+def load_maps(spark: SparkSession, path: str, wanted: DataFrame, least: int, q: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Stored maps (sid, roi, x) of wanted sessions, decimated by q, and the sessions that are left out with their reasons."""
+    stored = spark.read.parquet(path)
+    lengths = stored.groupBy("sid").agg(F.max(F.size("x")).alias("T"))
+    told = with_reasons(wanted.select("sid").distinct(), lengths, least, q)
+    kept = stored.join(told.where("reason is null").select("sid"), "sid", "left_semi")
+    if q > 1:
+        kept = kept.withColumn("x", per_array(fir_decimate, "x", "array<double>", q=q))
+    return kept, told.where("reason is not null").select("sid", "reason")
+
+
+def write_predictions(preds: DataFrame, path: str) -> None:
+    """Rows (run, sid, readout, bpm), one folder a run; runs that are written again replace their own."""
+    preds.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+
+
+def write_checkpoint(weights: Mapping[str, np.ndarray], spark: SparkSession, path: str) -> None:
+    """A network's tensors as rows (name, shape, values); each better epoch replaces the last."""
+    rows = [(k, [int(n) for n in v.shape], v.astype(float).ravel().tolist()) for k, v in weights.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").write.mode("overwrite").parquet(path)
+
+
+def read_checkpoint(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    return {r["name"]: np.array(r["values"], np.float32).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
+
+
+def markdown(rows: DataFrame, columns: Sequence[str], formats: dict[str, str] | None = None, most: int = 10_000) -> str:
+    """A report table, on the driver; more than ``most`` rows are an error, never cut off."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"a report of more than {most} rows; write it as a table")
     lines = ["| " + " | ".join(columns) + " |", "|" + "-|" * len(columns)]
-    for r in rows.select(*columns).limit(limit).collect():
+    for r in rows.select(*columns).collect():
         cells = ["" if r[c] is None else format(r[c], (formats or {}).get(c, "")) for c in columns]
         lines.append("| " + " | ".join(cells) + " |")
     return "\n".join(lines)
