@@ -484,6 +484,41 @@ def test_chats(spark):
     assert got[4].n_turns == 1 and chats.render(df.limit(0)).count() == 0
 
 
+def test_chats_with_one_number_for_several_turns(spark, tmp_path):
+    """Turns with equal and null numbers, as the SQL orders them."""
+    import duckdb
+
+    rnd = random.Random(31)
+    rows = [(c, rnd.choice([None, 0, 0, 1]), rnd.choice(["user", "bot", None]), rnd.choice(["hi", "yo", "x\ny", ""])) for c in range(40) for _ in range(rnd.randint(1, 6))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in chats.op6_chat_formatting(spark, str(tmp_path)).select("conv_id", "n_turns", "n_copies", "rendered").collect())
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert got == sorted(db.sql(chats.OP6_SQL).fetchall()) and len(got) > 10
+
+
+def test_jaccard_join_of_repeated_rows_and_ids(spark):
+    long = " ".join(f"w{k}" for k in range(4000))
+    rows = [(None, "a b c d"), (None, "a b c d"), (None, "q r s t u"), (5, long), (5, long + " x"), (9, "a b c d"), (9, None), (2, "q r s t u"), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"component": F.lit("clash"), "bucket": F.lit(0)})
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similarity_components(docs, 3, 90).collect())
+    assert got == Counter({(None, 2, 9): 2, (9, 2, 9): 1, (9, 0, 9): 1, (None, 3, 2): 1, (2, 3, 2): 1, (2, 0, 2): 1, (5, 3998, 5): 1, (5, 3999, 5): 1})
+
+
+def test_nothing_through_the_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], kinds).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    rows = [(None, None, None, None, None), (1, "", "en", None, 0), (2, "some words to keep", "en", "s", 18), (2, "some words to keep", "en", "s", 18), (None, "other words to keep", "en", None, None)]
+    docs = spark.createDataFrame(rows, kinds).withColumn("score", F.lit("clash"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted(r.text for r in docs.collect()) == ["other words to keep", "some words to keep"]
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
