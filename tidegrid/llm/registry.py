@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from .chats import OP6_SQL, op6_chat_formatting
 from .fingerprints import OP3_SQL, op3_merkle_fingerprints
-from .jaccard_join import op7_ngram_jaccard_join
+from .jaccard_join import OP7_SQL, op7_ngram_jaccard_join
 from .language_id import op10_language_id
 from .licences import OP1_SQL, op1_license_scans
 from .masked_lm import op5_masked_lm_scoring
 from .neighbours import op8_nn_descent
 from .packing import op9_best_fit_packing
 from .sentencepiece_sampling import op4_sentencepiece_sampling
-from .suffix_dedup import op2_suffix_array_dedup
+from .suffix_dedup import OP2_SQL, op2_suffix_array_dedup
 
 
 def queries() -> dict:
@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scans": OP1_SQL, "op3_merkle_fingerprints": OP3_SQL, "op6_chat_formatting": OP6_SQL}
+    return {"op1_license_scans": OP1_SQL, "op2_suffix_array_dedup": OP2_SQL, "op3_merkle_fingerprints": OP3_SQL, "op6_chat_formatting": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL}

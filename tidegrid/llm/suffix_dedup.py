@@ -370,3 +370,23 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["first"])
     return remove_repeats(docs).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Hexadecimal strings stand for bytes.  Every window of 200 bytes is hashed and counted, so this is for small tables.
+OP2_SQL = """
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, len(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents
+), windows AS (
+    SELECT r, i, md5_number(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT r, x, unnest(range(0, n - 199)) AS i FROM docs WHERE n >= 200)
+), repeated AS (
+    SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS times FROM windows) WHERE times > 1
+), runs AS (
+    SELECT r, min(i) AS a, max(i) + 200 AS z FROM (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS opens FROM repeated)) GROUP BY r, run
+), kept AS (
+    SELECT r, coalesce(lag(z) OVER w, 0) AS a, a AS z FROM runs WINDOW w AS (PARTITION BY r ORDER BY a)
+    UNION ALL SELECT r, coalesce(max(runs.z), 0), any_value(n) FROM docs LEFT JOIN runs USING (r) GROUP BY r
+), texts AS (
+    SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n_bytes, any_value(n) - sum(z - a) AS n_removed, sha256(unhex(string_agg(substr(x, 2 * a + 1, 2 * (z - a)), '' ORDER BY a, z))) AS kept_sha256 FROM kept JOIN docs USING (r) GROUP BY r
+)
+SELECT doc_id, n_bytes, n_removed::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, kept_sha256 FROM texts LEFT JOIN (SELECT r, count(*) AS n_spans FROM runs GROUP BY r) USING (r)
+"""
