@@ -193,6 +193,8 @@ _STATE = "query_id long, query_half binary, ids array<long>, likes array<float>,
 
 def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     """The values of lists in one array and how many each list has."""
+    if not len(lists):  # offsets of no lists may hold anything
+        return lists.values.slice(0, 0), np.zeros(0, np.int64)
     offsets = lists.offsets.to_numpy().astype(np.int64)
     return lists.values.slice(offsets[0], offsets[-1] - offsets[0]), np.diff(offsets)
 
