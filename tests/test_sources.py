@@ -1,8 +1,12 @@
+import math
 import struct
+import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from tidegrid.sources import avi, bdf, corpora, manifest, names
+from tidegrid.sources import avi, bdf, corpora, images, manifest, names, readers
 
 
 def _bdf(n_records=2, cut=0):
@@ -106,8 +110,6 @@ def test_stores_of_maps_predictions_and_checkpoints(spark, tmp_path):
 def test_names(spark):
     rows = spark.createDataFrame([("s", "Image20.png"), ("s", "Image3.png"), ("s", "Imagex.png"), ("s", "a.png")], "sid string, name string")
     assert names.image_timestamps(rows, ["sid"], "name").first().stamps == [3, 20]
-    from pyspark.sql import functions as F
-
     rows = spark.createDataFrame([("10",), ("9",), ("x",)], "n string")
     assert [r.n for r in rows.orderBy(names.numeric_first(F.col("n"))).collect()] == ["9", "10", "x"]
     kinds = spark.createDataFrame([("1_2_S",), ("1_2_Q",), ("1",)], "n string").select(names.trial_kind(F.col("n")).alias("k")).collect()
@@ -123,3 +125,43 @@ def test_manifest(spark, tmp_path):
     manifest.write_maps(maps, str(tmp_path / "maps"), spark)
     assert spark.read.parquet(str(tmp_path / "maps")).count() == 2
     assert manifest.markdown(maps.orderBy("sid"), ["sid", "dataset"]).splitlines()[2] == "| A_1_1 | a |"
+
+
+def _png(rows):
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    head = struct.pack(">IIBBBBB", len(rows[0]), len(rows), 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + b"".join(bytes(p) for p in r) for r in rows))) + chunk(b"IEND", b"")
+
+
+def test_image_frames(spark, tmp_path):
+    for stamp in (30, 4, 100):
+        (tmp_path / f"Image{stamp}.png").write_bytes(_png([[(stamp, 2, 3), (4, 5, 6)]]))
+    (tmp_path / "Image5.png").write_bytes(b"no image")
+    (tmp_path / "other.png").write_bytes(_png([[(1, 2, 3)]]))
+    rows = images.image_frames(spark, str(tmp_path)).orderBy("frame").collect()
+    assert [(r.frame, r.stamp, r.width, r.height, bytes(r.bgr)) for r in rows] == [(k, s, 2, 1, bytes([3, 2, s, 6, 5, 4])) for k, s in enumerate((4, 30, 100))]
+
+
+def test_readers_by_name(spark):
+    assert readers.reader("pure").frames is images.image_frames
+    with pytest.raises(KeyError, match="known: cohface"):
+        readers.reader("none")
+    with pytest.raises(ValueError):
+        readers.register("pure", readers.reader("pure"))
+    sessions = spark.createDataFrame([("a", "d", 1, 30.0, "S")], "sid string, dataset string, subject int, fps double, trial string")
+    row = readers.manifest_rows(sessions).first()
+    assert row.trial == "S" and row.head_motion is None and row.subject == "1"
+
+
+def test_reference_rates(spark):
+    """A belt at 15 breaths a minute: held samples, and a stimulus window between idle ends."""
+    breath = lambda n, fs: [math.sin(2 * math.pi * 0.25 * k / fs) for k in range(n)]
+    held = [v for v in breath(32 * 60, 32) for _ in range(8)]
+    rows = spark.createDataFrame([(1, held), (2, held[: 32 * 8 * 19]), (3, [1.0] * len(held)), (4, [*held[:-8], *[float("nan")] * 8])], "k int, x array<double>")
+    got = {r.k: r.gt_rr for r in readers.reader("cohface").reference(rows, "x").collect()}
+    assert got[1] == pytest.approx(15, abs=0.4) and got[2] is got[3] is got[4] is None
+    belt = [16] * 500 + [round(1000 * v) * 3 + 1 for v in breath(256 * 40, 256)] + [16] * 300
+    rows = spark.createDataFrame([(1, belt, 0.0, 43.0), (2, belt, 0.0, 8.0), (3, [16] * 9000, 0.0, 30.0)], "k int, x array<bigint>, a double, z double").withColumn("fs", F.lit(256.0))
+    got = {r.k: r.gt_rr for r in readers.reader("mahnob").reference(rows, "x", "fs", "a", "z").collect()}
+    assert got[1] == pytest.approx(15, abs=0.4) and got[2] is got[3] is None
+    assert readers.reader("ubfc").reference(rows).first().gt_rr is None

@@ -12,11 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import physnet, signal
 
 
-def lagged_map(x: np.ndarray, channels: int) -> np.ndarray:
-    """A series as a map: each channel begins one sample later."""
-    return np.lib.stride_tricks.sliding_window_view(x, len(x) - channels + 1)
-
-
 def parameter_counts(weights: DataFrame, model: str, values: str) -> DataFrame:
     """Tensors and parameters of each model from a table of its weights, one flat array a row."""
     return weights.groupBy(model).agg(F.count("*").alias("tensors"), F.sum(F.size(values)).cast("long").alias("n_parameters"))

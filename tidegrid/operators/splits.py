@@ -32,11 +32,20 @@ def _parts(ranked: DataFrame, ratios: tuple[float, float, float]) -> DataFrame:
     return ranked.select("dataset", "subject", part.alias("part"))
 
 
+def _ranked(subjects: DataFrame, seed: int) -> DataFrame:
+    """place (from 0) of each subject of a dataset in the order of the MD5 of seed and subject, and n, how many there are.
+
+    Subjects are ranked in parts by the first digits of the hash, so that a dataset of many subjects is no single task.
+    """
+    keyed = subjects.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.col("subject")))).withColumn("digits", F.substring("key", 1, 3))
+    own, so_far = Window.partitionBy("dataset"), Window.partitionBy("dataset").orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy("dataset", "digits").agg(F.count("*").alias("here")).select("dataset", "digits", F.coalesce(F.sum("here").over(so_far), F.lit(0)).alias("ahead"), F.sum("here").over(own).alias("n"))
+    within = F.row_number().over(Window.partitionBy("dataset", "digits").orderBy("key", "subject")) - 1
+    return keyed.withColumn("within", within).join(counts, ["dataset", "digits"]).select("dataset", "subject", (F.col("within") + F.col("ahead")).alias("place"), "n")
+
+
 def hashed(sessions: DataFrame, ratios: tuple[float, float, float] = DEFAULT.ratios, seed: int = DEFAULT.seed) -> DataFrame:
-    subjects = sessions.select("dataset", F.col("subject").cast("string").alias("subject")).distinct()
-    order = Window.partitionBy("dataset").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("subject"))), "subject")
-    ranked = subjects.select("dataset", "subject", (F.row_number().over(order) - 1).alias("place"), F.count("*").over(Window.partitionBy("dataset")).alias("n"))
-    return _parts(ranked, ratios)
+    return _parts(_ranked(sessions.select("dataset", F.col("subject").cast("string").alias("subject")).distinct(), seed), ratios)
 
 
 def permuted(sessions: DataFrame, ratios: tuple[float, float, float] = DEFAULT.ratios, seed: int = DEFAULT.seed) -> DataFrame:
@@ -85,10 +94,7 @@ def report(split: DataFrame) -> DataFrame:
 def aux_val(sessions: DataFrame, fraction: float = DEFAULT.val_fraction, seed: int = DEFAULT.val_seed) -> DataFrame:
     """Validation slice of unlabelled datasets: a share of subjects (second token of sid), one at least."""
     rows = sessions.select("dataset", "sid", F.split("sid", "_")[1].alias("subject"))
-    subjects = rows.select("dataset", "subject").distinct()
-    order = Window.partitionBy("dataset").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("subject"))), "subject")
-    place, n = F.row_number().over(order), F.count("*").over(Window.partitionBy("dataset"))
-    picked = subjects.select("dataset", "subject", place.alias("place"), n.alias("n")).where(F.col("place") <= F.greatest(F.lit(1), F.bround(F.col("n") * fraction)))
+    picked = _ranked(rows.select("dataset", "subject").distinct(), seed).where(F.col("place") < F.greatest(F.lit(1), F.bround(F.col("n") * fraction)))
     return rows.join(picked.select("dataset", "subject"), ["dataset", "subject"], "left_semi").select("dataset", "sid")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog, metrics, splits
-from ..sources import corpora
+from ..sources import corpora, readers
 from .events_queries import _MANIFEST, _ROUND, _SUMMARY, _icc_sql, _manifest, _rounded, table
 
 QUERIES: dict = {}
@@ -60,25 +60,32 @@ def mahnob_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE task WHEN '01' THEN 'steady' WHEN '02' THEN 'talking' WHEN '03' THEN 'slow_translation' WHEN '04' THEN 'fast_translation' WHEN '05' THEN 'small_head_rotation' WHEN '06' THEN 'medium_head_rotation' ELSE 'unknown' END AS task_name, task IN ('03', '04', '05', '06') AS head_motion
     FROM (SELECT lpad((user_id % 100)::VARCHAR, 2, '0') AS subject, lpad((event_id % 9)::VARCHAR, 2, '0') AS task, count(*) AS n, max(epoch_us(ts)) - min(epoch_us(ts)) AS span FROM events WHERE event_type <> 'error' GROUP BY 1, 2) WHERE n >= 2 AND span > 0""")
 def pure_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pure(spark, sf_dir).select("sid", "n_frames", F.round("duration_s", 6).alias("duration_s"), F.round("fps", 9).alias("fps"), "task_name", "head_motion")
+
+
+def _pure(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.concat_ws("-", F.lpad((F.col("user_id") % 100).cast("string"), 2, "0"), F.lpad((F.col("event_id") % 9).cast("string"), 2, "0"))
     stamp = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("string")
     name = F.when(F.col("event_type") == "error", "thumbs.db").otherwise(F.concat(F.lit("Image"), stamp, F.lit(".png")))
     listing = table(spark, sf_dir, "events").select(F.concat_ws("/", F.lit("/data"), folder, folder, name).alias("path"))
-    out = corpora.pure(listing)
-    return out.select("sid", "n_frames", F.round("duration_s", 6).alias("duration_s"), F.round("fps", 9).alias("fps"), "task_name", "head_motion")
+    return corpora.pure(listing)
 
 
 @query("""WITH v AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'DATASET_1' ELSE 'DATASET_2' END AS part, c_custkey % 1500 AS found, c_custkey % 1500 + CASE WHEN c_custkey % 9 = 0 THEN 863 ELSE 0 END AS declared FROM customer)
     SELECT 'UBFC_' || subject || '_' || session AS sid, part, subject, session, found AS n_frames, declared AS n_frames_header, found <> declared AS truncated, round(found / 30e0, 6) AS duration_s
     FROM (SELECT *, CASE WHEN part = 'DATASET_2' THEN 'b' || c_custkey WHEN c_custkey IN (8, 10) THEN 'b42' ELSE 'a' || c_custkey END AS subject, CASE WHEN part = 'DATASET_2' THEN 'd2' WHEN c_custkey IN (8, 10) THEN 'd1gt' || c_custkey ELSE 'd1gt' END AS session FROM v) WHERE found >= 2""")
 def ubfc_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ubfc(spark, sf_dir).select("sid", "part", "subject", "session", "n_frames", "n_frames_header", "truncated", F.round("duration_s", 6).alias("duration_s"))
+
+
+def _ubfc(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     folder = F.when(key % 2 == 0, F.concat(F.lit("/data/DATASET_1/"), key, F.lit("-gt"))).otherwise(F.concat(F.lit("/data/DATASET_2/subject"), key))
     rows = table(spark, sf_dir, "customer").withColumn("video", F.concat(folder, F.lit("/vid.avi")))
     listing = rows.select(F.explode(F.array("video", F.concat(folder, F.lit("/ground_truth.txt")), F.concat(F.lit("/data/DATASET_1/other"), key, F.lit("/vid.avi")))).alias("path"))
     found = key % 1500
     headers = rows.select(F.col("video").alias("path"), F.lit(640).alias("width"), F.lit(480).alias("height"), F.lit(30.0).alias("fps"), (found + F.when(key % 9 == 0, 863).otherwise(0)).alias("declared"), found.alias("found"), F.lit(True).alias("bottom_up"))
-    return corpora.ubfc(listing, headers).select("sid", "part", "subject", "session", "n_frames", "n_frames_header", "truncated", F.round("duration_s", 6).alias("duration_s"))
+    return corpora.ubfc(listing, headers)
 
 
 @query("""SELECT 'VV_g_' || p_partkey || '_' || p_size AS sid, 'g_' || p_partkey AS subject, p_size::VARCHAR AS session, CASE WHEN p_partkey % 2 = 0 THEN 'vv100' ELSE 'vv250' END AS subset, CASE WHEN p_size % 4 = 0 THEN 30e0 ELSE p_size % 4 * 12.5e0 END AS fps, p_partkey % 50 AS n_frames
@@ -158,3 +165,11 @@ _BUILT = f"SELECT *, dataset || ':' || subject AS person FROM ({_MANIFEST}) WHER
 def split_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = _manifest(spark, sf_dir)
     return splits.build_report(splits.build(manifest, train_only=("pure",), variant="sonly"), manifest, ("pure",))
+
+
+@query(f"""SELECT 'UBFC_' || CASE WHEN c_custkey % 2 = 1 THEN 'b' || c_custkey WHEN c_custkey IN (8, 10) THEN 'b42' ELSE 'a' || c_custkey END || '_' || CASE WHEN c_custkey % 2 = 1 THEN 'd2' WHEN c_custkey IN (8, 10) THEN 'd1gt' || c_custkey ELSE 'd1gt' END AS sid, 'ubfc' AS dataset, 30e0 AS fps_src, CASE WHEN c_custkey % 2 = 0 THEN 'DATASET_1' ELSE 'DATASET_2' END AS part, NULL::VARCHAR AS task_name, NULL::VARCHAR AS head_motion FROM customer WHERE c_custkey % 1500 >= 2
+    UNION ALL SELECT 'PURE_' || subject || '_' || task, 'pure', round((n - 1) / (span / 1e6), 6), NULL, CASE task WHEN '01' THEN 'steady' WHEN '02' THEN 'talking' WHEN '03' THEN 'slow_translation' WHEN '04' THEN 'fast_translation' WHEN '05' THEN 'small_head_rotation' WHEN '06' THEN 'medium_head_rotation' ELSE 'unknown' END, (task IN ('03', '04', '05', '06'))::VARCHAR
+    FROM (SELECT lpad((user_id % 100)::VARCHAR, 2, '0') AS subject, lpad((event_id % 9)::VARCHAR, 2, '0') AS task, count(*) AS n, max(epoch_us(ts)) - min(epoch_us(ts)) AS span FROM events WHERE event_type <> 'error' GROUP BY 1, 2) WHERE n >= 2 AND span > 0""")
+def manifest_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = readers.manifest_rows(_ubfc(spark, sf_dir)).unionByName(readers.manifest_rows(_pure(spark, sf_dir)))
+    return rows.select("sid", "dataset", F.round("fps_src", 6).alias("fps_src"), "part", "task_name", F.col("head_motion").cast("string").alias("head_motion"))

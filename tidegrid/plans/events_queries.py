@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import catalog, metrics, spectral, splits, timeseries
+from ..operators import catalog, metrics, references, spectral, splits, timeseries
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -458,3 +458,10 @@ _SNR = f"SELECT user_id, s, arg_max(k, (p, -k)) * {_FS}e0 / {_NFFT} * 60 AS peak
 def snr_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _window_powers(spark, sf_dir).withColumn("session", F.col("user_id") % 10)
     return _rounded(spectral.snr_weighted_rate(rows, ["session"], "p", _FS, _NFFT, _BINS[0], len(_BINS)), "bpm", 5)
+
+
+@query(f"SELECT user_id, i - a AS i, round(value, 6) AS value FROM (SELECT *, round_even(least(n_all, user_id % 7) * 2.5e0, 0)::BIGINT AS a, round_even((n_all - user_id % 5) * 1.25e0, 0)::BIGINT AS z FROM ({_ORDERED})) WHERE i >= a AND i < z")
+def time_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.size("x")
+    part = references.clip_by_time(F.col("x"), 2.5, F.least(n, F.col("user_id") % 7).cast("double"), (n - F.col("user_id") % 5) / 2.0)
+    return _series(spark, sf_dir).select("user_id", F.posexplode(part).alias("i", "value")).select("user_id", F.col("i").cast("long").alias("i"), F.round("value", 6).alias("value"))

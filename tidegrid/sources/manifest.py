@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.signal import fir_decimate
-from ..operators.catalog import with_reasons
+from ..operators.catalog import drop_private, with_reasons
 from ..operators.spectral import per_array
 from ..operators.timeseries import half_precision
 
@@ -27,8 +27,8 @@ def _fields(record: str) -> str:
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:
-    """Lines of JSON, one record each; the folder is made."""
-    rows.write.mode("overwrite").json(path)
+    """Lines of JSON, one record each, without private columns; the folder is made."""
+    drop_private(rows).write.mode("overwrite").json(path)
 
 
 def write_maps(maps: DataFrame, path: str, spark: SparkSession, force: bool = False, half: bool = False) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -17,9 +18,20 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 @contextmanager
-def opened(path: str) -> Iterator[pa.NativeFile]:
+def opened(path: str, retries: int = 1, wait_s: float = 1.0) -> Iterator[pa.NativeFile]:
+    """An open file; a store that fails to open it, as busy ones do, is asked again after a while."""
     store, inner = _opened(path)
-    with store.open_input_file(inner) as file:
+    for left in range(retries, -1, -1):
+        try:
+            file = store.open_input_file(inner)
+            break
+        except FileNotFoundError:
+            raise
+        except OSError:
+            if not left:
+                raise
+            time.sleep(wait_s)
+    with file:
         yield file
 
 
