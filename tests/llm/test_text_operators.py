@@ -565,3 +565,54 @@ def test_packing_knows_added_tokens(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for packed in (packing.op9_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, str(tmp_path))):
         assert {r.doc_id: r.ids_crc32 for r in packed.collect()} == want
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All stages by plain loops: documents with letters, one of each component, windows that occur once, whole pieces."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rnd = random.Random(17)
+    words = ["".join(rnd.choice("abcdefghé") for _ in range(rnd.randint(3, 8))) for _ in range(600)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    passages = [text(70) for _ in range(3)]
+    texts = [text(rnd.randint(1, 120)) for _ in range(40)]
+    texts += [t + rnd.choice(["", " x", " one more"]) for t in rnd.choices(texts, k=15)]
+    texts += [f"{text(rnd.randint(0, 60))}\n{rnd.choice(passages)}\n{text(rnd.randint(0, 60))}" for _ in range(12)]
+    texts += [*passages[:1], "1 2 3", "", None, text(1500), "<|endoftext|> " + text(30)]
+    rows = [(i, t, rnd.choice(["en", None]), "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+
+    kept = {i: t for i, t in enumerate(texts) if any(c.isalpha() for c in t or "")}
+    component = {i: c for i, (_, c) in _components(list(kept.items()), 5, 80).items()}
+    kept = {i: t for i, t in kept.items() if component[i] == i}
+    raw = {i: t.encode() for i, t in kept.items()}
+    count = Counter(b[k : k + 200] for b in raw.values() for k in range(len(b) - 199))
+    for i, b in raw.items():
+        gone = {j for k in range(len(b) - 199) if count[b[k : k + 200]] > 1 for j in range(k, k + 200)}
+        runs = itertools.groupby(range(len(b)), lambda j: j in gone)
+        kept[i] = "".join(b[own[0] : own[-1] + 1].decode(errors="ignore") for cut, js in runs if not cut for own in [list(js)])
+    kept = {i: t for i, t in kept.items() if t}
+    assert len(kept) < len(raw) < len(texts) and any(kept[i].encode() != raw[i] for i in kept)
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: np.array([*model.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in kept.items()}
+    want = {}
+    for i, x in ids.items():
+        cuts = [len(x) % 2048] * bool(len(x) % 2048) + [2048] * (len(x) // 2048)
+        for k, (a, n) in enumerate(zip(np.cumsum([0, *cuts]), cuts)):
+            want[i, k] = (a, n, zlib.crc32(x[a : a + n].tobytes()))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in out} == want and len(out) == len(want)
+    used = Counter()
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == used[r.sequence_id]
+        used[r.sequence_id] += r.length
+    rooms = []
+    for n in sorted((x[1] for x in want.values()), reverse=True):
+        fits = [r for r in rooms if r >= n]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else 2048) - n)
+    assert max(used.values()) <= 2048 and len(used) == len(rooms)
