@@ -166,3 +166,22 @@ def test_maps_of_sessions(spark):
     assert {r.sid for r in found} == {"a"} and sorted(r.roi for r in found) == list(range(16)) and all(len(r.x) == 21 for r in found)
     middle = np.mean([r.x[::2] for r in found if r.roi in (5, 6, 9, 10)], axis=0)
     assert np.corrcoef(middle, np.diff(move))[0, 1] > 0.95
+
+
+def test_command_line(spark, tmp_path):
+    from tidegrid.__main__ import main
+
+    path = lambda name: str(tmp_path / name)
+    rows = [(f"D_{p}_{k}", d, f"s{p}", "ok", "S", 10.0 + p) for d in ("d", "u") for p in range(10) for k in range(2)]
+    spark.createDataFrame(rows, "sid string, dataset string, subject string, status string, trial string, gt_rr double").write.parquet(path("manifest"))
+    main(["splits", "--manifest", path("manifest"), "--seed", "7", "--train-only", "u", "--out", path("split")])
+    split = spark.read.parquet(path("split"))
+    assert {(r.dataset, r.part) for r in split.select("dataset", "part").distinct().collect()} == {("d", "all"), ("d", "train"), ("d", "val"), ("d", "test"), ("u", "all")}
+    spark.createDataFrame([("r", f"D_{p}_0", n, 11.0 + p + (n == "mean")) for p in range(10) for n in ("mean", "median")], "run string, sid string, readout string, bpm double").write.parquet(path("preds"))
+    spark.createDataFrame([("r", "d", "all", f"D_{p}_0") for p in range(9)], "run string, dataset string, subset string, sid string").write.parquet(path("sets"))
+    spark.read.parquet(path("manifest")).where("dataset = 'd'").write.parquet(path("known"))
+    main(["evaluate", "--predictions", path("preds"), "--sets", path("sets"), "--manifest", path("known"), "--readout", "mean", "--out", path("metrics")])
+    row = spark.read.parquet(path("metrics")).first()
+    assert (row.n, row.mae, row.subjects) == (9, 2.0, 9) and abs(row.mae_debiased) < 1e-9
+    with pytest.raises(SystemExit):
+        main(["query", "none", "--data", "x", "--out", "y"])
