@@ -108,6 +108,16 @@ def test_voronoi_regions_keep_every_link(spark, monkeypatch, percent, leaf):
         assert {k: got.get(k, k) for k in want} == {k: c for k, (_, c) in want.items()}
 
 
+def test_shared_members_of_all_sets():
+    rng = np.random.default_rng(8)
+    universe = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(rng.choice(universe[: rng.integers(5, 300)], rng.integers(0, 60))) for _ in range(90)] + [universe[:0]]
+    sets += [np.sort(universe[100:200])] * 2 + [np.sort(universe[100:199])]
+    want = [[len(np.intersect1d(x, y)) for y in sets[20:]] for x in sets[:60]]
+    assert (jaccard_join._shared(sets[:60], sets[20:]) == want).all()
+    assert jaccard_join._shared([], sets).shape == (0, 94) and jaccard_join._shared(sets[:1], sets[1:2]).shape == (1, 1)
+
+
 def test_windows_of_the_triangle_inequality():
     """A linked pair is always in a region where one of the two is at home."""
     rng, r = np.random.default_rng(3), 0.2
