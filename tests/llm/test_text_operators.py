@@ -218,7 +218,7 @@ def test_cross_parsing_against_a_plain_parser():
     parser = language_id.CrossParser(samples)
 
     def spelled(text):
-        sym, first, of, _ = language_id.symbols([text], parser.table)
+        sym, first, _, _ = language_id.symbols([text], parser.table)
         return [bytes(sym[a:z]) for a, z in zip(first[:-1], first[1:])]
 
     known = {k: bytes(language_id.symbols([v], parser.table)[0]) for k, v in samples.items()}

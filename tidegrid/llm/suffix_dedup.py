@@ -25,7 +25,6 @@ empty result; further columns stay, but for n_bytes, spans, kept and kept_text,
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
