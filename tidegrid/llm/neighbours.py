@@ -35,7 +35,7 @@ DEGREE = 24
 OFFERS = 8
 GAIN = 0.001
 CELL, TURNS, RANDOM = 512, 16, 32
-BEAM, WIDE, ENTRIES = 40, 128, 8
+BEAM, WIDE, ENTRIES = 144, 176, 8
 _MEMBER = "struct<id:long,half:binary,least:float>"
 
 
