@@ -18,7 +18,7 @@ def parameter_counts(weights: DataFrame, model: str, values: str) -> DataFrame:
 
 
 def score_maps(maps: DataFrame, sid: str, x: str, channels: int, weights: Mapping[str, np.ndarray], fs: float, clip: int, low: float, high: float) -> DataFrame:
-    """Long form (sid, readout, bpm) of maps stored row after row in one array; too small maps get NaN."""
+    """Long form (sid, readout, bpm) of maps stored row after row in one array, by running statistics; too small maps get NaN."""
     shared = maps.sparkSession.sparkContext.broadcast(dict(weights))
     names = ("psd_sum", "mean", "median", "snr_mean")
 
