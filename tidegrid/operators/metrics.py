@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAN = float("nan")
-#: Groups whose means are broadcast; more of them are joined without a hint.
-MOST_GROUPS = 100_000
 #: What a test set of each corpus is broken down by.
 SUBGROUP = {"mahnob": "trial", "pure": "head_motion", "cohface": "illumination"}
 
@@ -51,29 +49,73 @@ def icc11(rows: DataFrame, by: Sequence[str], person: str, value: str) -> DataFr
     return full.select(*by, F.when(k >= 2, value_).otherwise(F.lit(NAN)).alias("icc"))
 
 
-def summary(pairs: DataFrame, by: Sequence[str], person: str, pred: str = "pred", ref: str = "ref") -> DataFrame:
-    """All scalar metrics of each group.  Debiased errors need the group's mean error first: it comes from an aggregation and
-    is joined back, so that few large groups do not become few large tasks."""
-    rows = eligible(pairs, pred, ref).withColumn("e", F.col(pred) - F.col(ref))
-    means = rows.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(F.avg("e").alias("_mean"))
-    means = F.broadcast(means) if means.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS else means
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
-    rows = rows.join(means, same).select(*rows.columns, (F.col("e") - F.col("_mean")).alias("d"))
-    e = F.col("e")
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.count_distinct(person).alias("subjects"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-        pearson(pred, ref).alias("pearson"), F.avg(F.abs("d")).alias("mae_debiased"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse_debiased"),
-        F.avg(pred).alias("pred_mean"), F.stddev_pop(pred).alias("pred_std"), F.avg(ref).alias("ref_mean"), F.stddev_pop(ref).alias("ref_std"), F.avg(e).alias("bias"),
+def _persons(rows: DataFrame, by: Sequence[str], person: str, pred: str, ref: str) -> DataFrame:
+    """Count, means and moments of each person of a group: the one shuffle of the rows, of which all but debiased errors follow."""
+    p, g = F.col(pred), F.col(ref)
+    e = p - g
+    return rows.groupBy(*by, F.col(person).alias("_person")).agg(
+        F.count("*").cast("double").alias("n"), F.avg(p).alias("p"), F.avg(g).alias("g"), F.var_pop(p).alias("vp"), F.var_pop(g).alias("vg"), F.covar_pop(p, g).alias("vpg"),
+        F.avg(e).alias("e"), F.avg(F.abs(e)).alias("abs_e"), F.avg(e * e).alias("ee"), F.min(p).alias("p0"), F.max(p).alias("p1"), F.min(g).alias("g0"), F.max(g).alias("g1"),
     )
 
 
+def _icc_parts(mean: str, within: str) -> list[Column]:
+    """Sums over the persons with two rows or more."""
+    some = lambda x: F.sum(F.when(F.col("n") >= 2, x))
+    n, m = F.col("n"), F.col(mean)
+    return [some(n * m).alias(f"sum_{mean}"), some(n * m * m).alias(f"square_{mean}"), some(n * F.col(within)).alias(f"within_{mean}")]
+
+
+def _icc_of(mean: str) -> Column:
+    k, total = F.col("k"), F.col("total")
+    msb = F.try_divide(F.col(f"square_{mean}") - F.try_divide(F.col(f"sum_{mean}") * F.col(f"sum_{mean}"), total), k - 1)
+    msw = F.try_divide(F.col(f"within_{mean}"), total - k)
+    k0 = F.try_divide(total - F.try_divide(F.col("squares"), total), k - 1)
+    return F.when(k >= 2, (msb - msw) / (msb + (k0 - 1) * msw + 1e-12)).otherwise(F.lit(NAN))
+
+
 def evaluate(pairs: DataFrame, by: Sequence[str], person: str = "person", pred: str = "pred", ref: str = "ref") -> DataFrame:
-    """Scalar metrics with the ICC of predictions and, as its ceiling, that of references."""
-    rows = eligible(pairs, pred, ref)
-    out = summary(pairs, by, person, pred, ref)
-    for name, column in (("icc", pred), ("icc_ref", ref)):
-        out = out.join(icc11(rows, by, person, column).withColumnRenamed("icc", name), list(by), "left")
-    return out.withColumns({k: F.coalesce(k, F.lit(NAN)) for k in ("icc", "icc_ref")})
+    """Scalar metrics with the ICC of predictions and, as its ceiling, that of references.
+
+    Rows are aggregated by person once; a second pass takes the debiased absolute error, which needs the mean error of its
+    group first.
+    """
+    keys = [f"_by_{c}" for c in by]  # columns of any name
+    rows = eligible(pairs, pred, ref).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(person).alias("_of"), F.col(pred).alias("_p"), F.col(ref).alias("_g"))
+    n = F.col("n")
+    sums = _persons(rows, keys, "_of", "_p", "_g").groupBy(*keys).agg(
+        F.sum("n").alias("rows"), F.count("_person").alias("subjects"), *[F.sum(n * F.col(c)).alias(f"s_{c}") for c in ("p", "g", "e", "abs_e", "ee")],
+        F.sum(n * (F.col("vp") + F.col("p") * F.col("p"))).alias("pp"), F.sum(n * (F.col("vg") + F.col("g") * F.col("g"))).alias("gg"), F.sum(n * (F.col("vpg") + F.col("p") * F.col("g"))).alias("pg"),
+        ((F.min("p0") < F.max("p1")) & (F.min("g0") < F.max("g1"))).alias("varied"), (F.min("p0") < F.max("p1")).alias("varied_p"), (F.min("g0") < F.max("g1")).alias("varied_g"),
+        F.count(F.when(n >= 2, 1)).alias("k"), F.sum(F.when(n >= 2, n)).alias("total"), F.sum(F.when(n >= 2, n * n)).alias("squares"), *_icc_parts("p", "vp"), *_icc_parts("g", "vg"),
+    )
+    mean = {c: F.col(f"s_{c}") / F.col("rows") for c in ("p", "g", "e", "abs_e", "ee")}
+    var = {"p": F.col("pp") / F.col("rows") - mean["p"] * mean["p"], "g": F.col("gg") / F.col("rows") - mean["g"] * mean["g"]}
+    std = {c: F.sqrt(F.when(F.col(f"varied_{c}"), F.greatest(v, F.lit(0.0))).otherwise(0.0)) for c, v in var.items()}
+    covariance = F.col("pg") / F.col("rows") - mean["p"] * mean["g"]
+    cells = sums.select(
+        *keys, F.col("rows").cast("long").alias("n"), "subjects", mean["abs_e"].alias("mae"), F.sqrt(mean["ee"]).alias("rmse"),
+        F.when(F.col("varied"), F.coalesce(F.try_divide(covariance, std["p"] * std["g"]), F.lit(NAN))).otherwise(F.lit(NAN)).alias("pearson"),
+        F.sqrt(F.greatest(mean["ee"] - mean["e"] * mean["e"], F.lit(0.0))).alias("rmse_debiased"), mean["p"].alias("pred_mean"), std["p"].alias("pred_std"), mean["g"].alias("ref_mean"), std["g"].alias("ref_std"),
+        mean["e"].alias("bias"), _icc_of("p").alias("icc"), _icc_of("g").alias("icc_ref"),
+    )
+    named = cells.select(*[F.col(k).alias(f"_in{k}") for k in keys], F.col("bias").alias("_bias"))
+    same = [F.col(k).eqNullSafe(F.col(f"_in{k}")) for k in keys]
+    debiased = rows.join(named, same).groupBy(*named.columns[:-1]).agg(F.avg(F.abs(F.col("_p") - F.col("_g") - F.col("_bias"))).alias("mae_debiased"))
+    out = cells.join(debiased, same)
+    columns = ["n", "subjects", "mae", "rmse", "pearson", "mae_debiased", "rmse_debiased", "pred_mean", "pred_std", "ref_mean", "ref_std", "bias", "icc", "icc_ref"]
+    return out.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *columns)
+
+
+def summary(pairs: DataFrame, by: Sequence[str], person: str, pred: str = "pred", ref: str = "ref") -> DataFrame:
+    """All scalar metrics of each group but the two ICCs."""
+    return evaluate(pairs, by, person, pred, ref).drop("icc", "icc_ref")
+
+
+def evaluated(pairs: DataFrame, by: Sequence[str], order: str, person: str = "person", pred: str = "pred", ref: str = "ref") -> DataFrame:
+    """The rows behind the metrics of each group: (by, order, person, pred, ref), one row each and in no array, so that a group
+    of any size stays distributed; ``order`` gives their sequence."""
+    return eligible(pairs, pred, ref).select(*by, order, F.col(person).alias("person"), F.col(pred).alias("pred"), F.col(ref).alias("ref"))
 
 
 def complete(metrics: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFrame:

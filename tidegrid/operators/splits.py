@@ -91,22 +91,33 @@ def report(split: DataFrame) -> DataFrame:
     return split.groupBy("dataset", "part").agg(F.count("*").alias("sessions"), F.count_distinct("subject").alias("subjects"))
 
 
-def aux_val(sessions: DataFrame, fraction: float = DEFAULT.val_fraction, seed: int = DEFAULT.val_seed) -> DataFrame:
-    """Validation slice of unlabelled datasets: a share of subjects (second token of sid), one at least."""
+def _auxiliary(sessions: DataFrame, fraction: float, seed: int) -> DataFrame:
+    """Sessions (dataset, sid, is_val) of unlabelled datasets: a share of subjects (second token of sid), one at least, validate."""
     rows = sessions.select("dataset", "sid", F.split("sid", "_")[1].alias("subject"))
-    picked = _ranked(rows.select("dataset", "subject").distinct(), seed).where(F.col("place") < F.greatest(F.lit(1), F.bround(F.col("n") * fraction)))
-    return rows.join(picked.select("dataset", "subject"), ["dataset", "subject"], "left_semi").select("dataset", "sid")
+    ranked = _ranked(rows.select("dataset", "subject").distinct(), seed)
+    picked = ranked.where(F.col("place") < F.greatest(F.lit(1), F.bround(F.col("n") * fraction))).select("dataset", "subject", F.lit(True).alias("picked"))
+    return rows.join(picked, ["dataset", "subject"], "left").select("dataset", "sid", F.col("picked").isNotNull().alias("is_val"))
+
+
+def aux_val(sessions: DataFrame, fraction: float = DEFAULT.val_fraction, seed: int = DEFAULT.val_seed) -> DataFrame:
+    """Validation slice of unlabelled datasets."""
+    return _auxiliary(sessions, fraction, seed).where("is_val").select("dataset", "sid")
 
 
 def pool(split: DataFrame, sessions: DataFrame, datasets: list[str]) -> DataFrame:
-    """(sid, part) for training on several datasets: own train and val where there is a test part, else all but a slice."""
-    known = {r["dataset"] for r in sessions.select("dataset").distinct().collect()}
-    if missing := set(datasets) - known:
-        raise KeyError(f"unknown datasets {sorted(missing)}; known: {sorted(known)}")
-    labelled = split.where(F.col("dataset").isin(datasets))
-    tested = labelled.where("part = 'test'").select("dataset").distinct()
-    own = labelled.where(F.col("part").isin("train", "val")).join(tested, "dataset", "left_semi").select("sid", "part")
-    rest = sessions.where(F.col("dataset").isin(datasets)).join(tested, "dataset", "left_anti")
-    val = aux_val(rest)
-    train = rest.join(val.select("sid"), "sid", "left_anti")
-    return own.unionByName(val.select("sid", F.lit("val").alias("part"))).unionByName(train.select("sid", F.lit("train").alias("part"))).distinct()
+    """(sid, part) for training on several datasets: own train and val where there is a test part, else all but a slice.
+
+    Which of the named datasets exist and have a test part is asked first, in one job; then each dataset is read from its
+    one source.
+    """
+    named = F.col("dataset").isin(datasets)
+    flags = sessions.where(named).select("dataset", F.lit(False).alias("tested")).unionByName(split.where(named & (F.col("part") == "test")).select("dataset", F.lit(True).alias("tested")))
+    tested = {r["dataset"]: r["tested"] for r in flags.groupBy("dataset").agg(F.max("tested").alias("tested")).collect()}  # the named datasets at most
+    if missing := set(datasets) - set(tested):
+        raise KeyError(f"unknown datasets {sorted(missing)}")
+    own = split.where(F.col("dataset").isin([d for d, t in tested.items() if t]) & F.col("part").isin("train", "val")).select("sid", "part")
+    if all(tested.values()):
+        return own.distinct()
+    rest = _auxiliary(sessions.where(F.col("dataset").isin([d for d, t in tested.items() if not t])), DEFAULT.val_fraction, DEFAULT.val_seed)
+    rest = rest.select("sid", F.when(F.col("is_val"), "val").otherwise("train").alias("part"))
+    return (own.unionByName(rest) if any(tested.values()) else rest).distinct()
