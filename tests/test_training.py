@@ -147,3 +147,42 @@ def test_scoring_with_trained_weights(spark, trained):
     m = sessions()["s4"]
     wave = physnet.forward((m - m.mean()) / (m.std() + 1e-6), found)
     assert wave.shape == (90,) and got["s4", "psd_sum"] > 0
+
+
+def test_command_line_trains_and_scores(spark, tmp_path):
+    """Two corpora at 30 samples a second, one with a test part: trained, scored and evaluated from tables to tables."""
+    from pyspark.sql import functions as F
+
+    from tidegrid import __main__ as command
+
+    rng = np.random.default_rng(1)
+    t = np.arange(860) / 30
+    rows, manifest = [], []
+    for c, corpus in enumerate(("cohface", "pure")):
+        for k in range(6):
+            sid, rate = f"{corpus.upper()}_{k}_0", 0.15 + 0.04 * k
+            rows += [(sid, roi, (np.sin(2 * np.pi * rate * t + c) + 0.3 * rng.standard_normal(860)).tolist()) for roi in range(32)]
+            manifest.append((sid, corpus, str(k), "ok", 60 * rate if corpus == "cohface" else None, None))
+    spark.createDataFrame(rows, "sid string, roi int, x array<double>").write.parquet(f"{tmp_path}/maps")
+    spark.createDataFrame(manifest, "sid string, dataset string, subject string, status string, gt_rr double, trial string").write.parquet(f"{tmp_path}/manifest")
+    command.main(["splits", "--manifest", f"{tmp_path}/manifest", "--out", f"{tmp_path}/split", "--train-only", "pure"])
+    args = ["train", "--maps", f"{tmp_path}/maps", "--split", f"{tmp_path}/split", "--manifest", f"{tmp_path}/manifest", "--train", "cohface,pure", "--eval", "cohface", "--seed", "1", "2", "--epochs", "1", "--steps", "1", "--bs", "2", "--out", f"{tmp_path}/out"]
+    command.main(args)
+    cells = spark.read.parquet(f"{tmp_path}/out/metrics").collect()
+    assert sorted((r.run, r.dataset, r.subset, r.n) for r in cells) == [(f"run_cohface+pure_s{s}", "cohface", "test", 1) for s in (1, 2)]
+    preds = spark.read.parquet(f"{tmp_path}/out/predictions")
+    assert preds.count() == 2 * 1 * 4 and preds.where(F.isnan("bpm")).count() == 0
+    assert spark.read.parquet(f"{tmp_path}/out/best").count() == 2
+    command.main([*args, "--force"])  # trains nothing again
+    assert spark.read.parquet(f"{tmp_path}/out/losses").count() == 2
+
+
+def test_predictions_of_a_grid(spark, trained):
+    store, _ = trained[0]
+    maps, _ = frames(spark, 3)
+    found = training.stored_weights(spark, store)
+    assert sorted(found) == ["alone_s1", "alone_s2", "both_s1", "both_s2"]
+    got = {(r.run, r.sid, r.readout): r.bpm for r in scoring.predict_runs(maps, found, 3.0, 60, 0.1, 0.5, 60).collect()}
+    assert len(got) == 4 * 10 * 4 and np.isnan(got["both_s1", "thin", "mean"]) and not any(s == "short" for _, s, _ in got)
+    one = {(r.sid, r.readout): r.bpm for r in scoring.score_maps(maps.where("channels = 32"), "sid", "x", 32, found["both_s2"], 3.0, 60, 0.1, 0.5).collect()}
+    assert all(got["both_s2", s, r] == v for (s, r), v in one.items() if s != "short")

@@ -1,4 +1,4 @@
-"""python -m tidegrid: splits of a manifest, metrics of runs, and registered queries, from tables to tables."""
+"""python -m tidegrid: splits of a manifest, training and scoring, metrics of runs, and registered queries, from tables to tables."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import DEFAULT
-from .operators import metrics, splits
+from .operators import experiment, metrics, splits, training
 from .plans import registry
 
 READOUTS = ("psd_sum", "mean", "median", "snr_mean")
@@ -32,12 +32,34 @@ def parser() -> argparse.ArgumentParser:
     three = commands.add_parser("query", help="a registered query on a folder of tables")
     three.add_argument("name", choices=sorted(registry.queries()), metavar="name")
     three.add_argument("--data", required=True)
-    for each in (one, two, three):
+    four = commands.add_parser("train", help="train a pool of corpora for some seeds, score test sessions, and their metrics")
+    four.add_argument("--maps", required=True, help="rows (sid, roi, x)")
+    four.add_argument("--split", required=True, help="rows (dataset, subject, sid, part)")
+    four.add_argument("--manifest", required=True)
+    four.add_argument("--train", required=True, type=lambda s: s.split(","), help="corpora of the pool, parted by commas")
+    four.add_argument("--eval", default=["cohface", "mahnob"], type=lambda s: s.split(","), help="corpora whose test sessions are scored")
+    four.add_argument("--seed", type=int, nargs="+", default=[DEFAULT.seed])
+    four.add_argument("--epochs", type=int, default=training.TrainConfig.epochs)
+    four.add_argument("--steps", type=int, default=training.TrainConfig.steps)
+    four.add_argument("--bs", type=int, default=training.TrainConfig.batch)
+    four.add_argument("--replicas", type=int, default=1, help="batches whose gradients make one step")
+    four.add_argument("--tag", default="run")
+    four.add_argument("--readout", choices=READOUTS, default=READOUTS[0])
+    for each in (one, two, three, four):
         each.add_argument("--out", required=True)
         each.add_argument("--force", action="store_true", help="replace what is there")
     return top
 
 
+def train(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Folders losses, checkpoints (both resumable), best, predictions and metrics below --out."""
+    config = training.TrainConfig(epochs=args.epochs, steps=args.steps, batch=args.bs, replicas=args.replicas)
+    tables = (spark.read.parquet(p) for p in (args.maps, args.split, args.manifest))
+    found = experiment.train_and_score(*tables, args.train, args.eval, args.seed, args.out, args.tag, args.readout, config=config)
+    for name, rows in (("best", found.best), ("predictions", found.predictions), ("metrics", found.cells)):
+        rows.write.mode("overwrite" if args.force else "error").parquet(f"{args.out}/{name}")
+
+
 def result(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.command == "query":
         return registry.queries()[args.name](spark, args.data)
@@ -52,6 +74,9 @@ def result(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 def main(argv: Sequence[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("tidegrid").getOrCreate()
+    if args.command == "train":
+        train(spark, args)
+        return
     result(spark, args).write.mode("overwrite" if args.force else "error").parquet(args.out)
 
 

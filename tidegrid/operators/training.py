@@ -282,6 +282,14 @@ def load_weights(spark: SparkSession, store: str, run: str, seed: int) -> physne
     return {r["name"]: np.array(r["values"], np.float32).reshape(r["shape"]) for r in rows}
 
 
+def stored_weights(spark: SparkSession, store: str) -> dict[str, physnet.Weights]:
+    """The kept weights of every finished training, by name (run and seed); a network is about a megabyte."""
+    found: dict[str, physnet.Weights] = {}
+    for r in checkpoints(spark, store).collect():
+        found.setdefault(f"{r['run']}_s{r['seed']}", {})[r["name"]] = np.array(r["values"], np.float32).reshape(r["shape"])
+    return found
+
+
 def best_epochs(spark: SparkSession, store: str) -> DataFrame:
     """(run, seed, best_epoch, best_loss) by validation loss, or by training loss without one."""
     told = losses(spark, store).withColumn("loss", F.when(F.max(F.col("val_loss").isNotNull()).over(Window.partitionBy(*_KEY)), F.col("val_loss")).otherwise(F.col("train_loss")))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue_queries, embedding_queries, events_queries
+from . import catalogue_queries, embedding_queries, events_queries, training_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (events_queries, embedding_queries, catalogue_queries)
+MODULES = (events_queries, embedding_queries, catalogue_queries, training_queries)
 
 
 def queries() -> dict[str, Query]:

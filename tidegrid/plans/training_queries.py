@@ -73,9 +73,7 @@ def trained_readouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT run || '_s' || seed AS model, 5 * 2 + 5 * 3 * 8 + 2 * 8 + 7 * 3 * 8 + 10 * 2 + 2 AS tensors FROM (SELECT 'x' AS run, 1 AS seed) WHERE false"""
-    if False
-    else f"""SELECT run || '_s' || seed AS model, 42::BIGINT AS tensors, (4 * 5 + 3 * 4 + (4 * 9 * 8 + 3 * 8) + 7 * (8 * 9 * 8 + 3 * 8) + (8 * 3 * 8 + 3 * 8) + 9)::BIGINT AS n_parameters
+    f"""SELECT run || '_s' || seed AS model, 42::BIGINT AS tensors, (4 * 5 + 3 * 4 + (4 * 9 * 8 + 3 * 8) + 7 * (8 * 9 * 8 + 3 * 8) + (8 * 3 * 8 + 3 * 8) + 9)::BIGINT AS n_parameters
     FROM (SELECT DISTINCT run FROM (SELECT 'all' AS run FROM ({_WHOLE}) UNION ALL SELECT 'odd' FROM ({_WHOLE}) WHERE k % 2 = 1)), (SELECT unnest([1, 2]) AS seed)"""
 )
 def trained_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
