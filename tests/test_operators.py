@@ -151,6 +151,47 @@ def test_crops_and_motion():
     assert frames.block_means(np.arange(81.0).reshape(9, 9), 4).tolist() == [5 + 18 * r + 2 * c for r in range(4) for c in range(4)]
 
 
+@pytest.mark.parametrize("shift", [0.1, 0.3, 0.5, 0.7, 0.9, 2.6])
+def test_motion_finds_fractions_of_a_pixel(shift):
+    rng = np.random.default_rng(3)
+    waves = [(*rng.uniform(-0.35, 0.35, 2), rng.uniform(0, 6), rng.uniform(0.5, 1)) for _ in range(40)]
+    y, x = np.indices((128, 128))
+    image = lambda d: np.clip(np.rint(127 + 18 * sum(a * np.cos(p * x + q * (y - d) + r) for p, q, r, a in waves)), 0, 255).astype(np.uint8)
+    flow = frames.motion(image(0), image(shift))[16:-16, 16:-16]
+    assert abs(flow[..., 1].mean() - shift) < 0.01 and np.abs(frames.block_means(flow[..., 1], 8) - shift).max() < 0.05 and np.abs(flow[..., 0]).mean() < 0.05
+
+
+def test_ranges_of_frames_give_the_pairs_of_the_whole(spark):
+    """Whatever frames are missing, pairs over ranges are those of neighbouring readable frames, and each crop is in two ranges at most."""
+    rng = np.random.default_rng(6)
+    rows = [(s, k, None if rng.random() < 0.4 else bytes([k])) for s in "ab" for k in range(60)] + [("c", 7, b"x"), ("d", 3, None)]
+    crops_ = spark.createDataFrame(rows, "sid string, frame int, grey binary")
+    readable = {s: [k for t, k, g in rows if t == s and g] for s in "abcd"}
+    for span in (1, 4, 13, 100):
+        held = {}
+        halo = maps.with_halo(crops_, span).collect()
+        for r in halo:
+            held.setdefault((r.sid, r.range), []).append((r.frame, r.halo))
+        pairs = {(s, a, b) for (s, _), own in held.items() for (a, _), (b, late) in zip(sorted(own), sorted(own)[1:]) if not late}
+        assert pairs == {(s, a, b) for s, own in readable.items() for a, b in zip(own, own[1:])}
+        assert max(len(own) for own in held.values()) <= span + 1
+
+
+def test_one_broken_session_of_ten_leaves_nine(spark):
+    image = lambda k: np.repeat(_shifted(math.sin(k / 2))[..., None], 3, axis=2).tobytes()
+    rows = [(f"s{n}", k, 64, 64, b"torn" if n == 4 and k == 5 else image(k)) for n in range(10) for k in range(8)]
+    frames_ = spark.createDataFrame(rows, "sid string, frame int, width int, height int, bgr binary")
+    sessions = spark.createDataFrame([(f"s{n}", 64, 64, 0.0 if n == 7 else 15.0) for n in range(10)], "sid string, width int, height int, fps double")
+    seen = spark.createDataFrame([], "sid string, frame int, x double, y double, w double, h double, score double")
+    records, found = maps.session_maps(sessions, frames_, seen, side=32, grid=2, target=15.0, least_s=0.4, whole=True, span=3)
+    got = {r.sid: (r.status, r.reason and r.reason.split(":")[0]) for r in records.collect()}
+    assert {s: g for s, g in got.items() if s not in ("s4", "s7")} == {f"s{n}": ("ok", None) for n in range(10) if n not in (4, 7)}
+    assert got["s4"] == ("error", "ValueError") and got["s7"][0] == "error"
+    one = [r.x for r in found.where("sid = 's0' and roi = 0").collect()]
+    whole_, _ = maps.session_maps(sessions.where("sid = 's0'"), frames_, seen, side=32, grid=2, target=15.0, least_s=0.4, whole=True, span=100)[::-1]
+    assert one == [r.x for r in whole_.where("roi = 0").collect()] and len(one[0]) == 7
+
+
 def test_maps_of_sessions(spark):
     """A face that moves up and down gives its motion; what fails is told and fails nothing else."""
     move = [2 * math.sin(k / 3) for k in range(12)]

@@ -60,24 +60,52 @@ def _resize(x: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     return top * (1 - fy[:, None]) + end * fy[:, None]
 
 
+def _smooth(x: np.ndarray, sigma: float) -> np.ndarray:
+    i = np.arange(-max(1, round(2.5 * sigma)), max(1, round(2.5 * sigma)) + 1)
+    g = np.exp(-(i**2) / (2 * sigma**2))
+    g /= g.sum()
+    return _along(_along(x, g, 0), g, 1)
+
+
+def _at(x: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Values of an image (row, column, ...) at fractional places inside it, bilinear."""
+    y, z = np.floor(rows).astype(int), np.floor(columns).astype(int)
+    y1, z1 = np.minimum(y + 1, x.shape[0] - 1), np.minimum(z + 1, x.shape[1] - 1)
+    fy, fx = (rows - y)[..., None], (columns - z)[..., None]
+    return (x[y, z] * (1 - fx) + x[y, z1] * fx) * (1 - fy) + (x[y1, z] * (1 - fx) + x[y1, z1] * fx) * fy
+
+
+def pyramid(x: np.ndarray) -> list[np.ndarray]:
+    """From the coarsest level to the image itself; each is smoothed for its scale before it is shrunk."""
+    out, x = [], x.astype(float)
+    for level in range(LEVELS - 1, 0, -1):
+        shape = tuple(max(1, round(n * SHRINK**level)) for n in x.shape)
+        if min(shape) >= 16:
+            out.append(_resize(_smooth(x, (SHRINK**-level - 1) / 2), shape))
+    return [*out, x]
+
+
 def motion(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """[row, column, (x, y)]: where each pixel of one frame went in the next, by polynomial expansion (G. Farneback, Two-frame
-    motion estimation based on polynomial expansion, 2003), from coarse to fine."""
+    """[row, column, (x, y)]: where each pixel of one frame went in the next, to fractions of a pixel, by polynomial expansion
+    (G. Farneback, Two-frame motion estimation based on polynomial expansion, 2003), from coarse to fine.
+
+    The expansion of the next frame is taken at the places that the motion so far points to, by bilinear interpolation.
+    """
     flow = None
     window = np.ones(WINDOW) / WINDOW
-    for level in range(LEVELS - 1, -1, -1):
-        shape = tuple(max(1, round(n * SHRINK**level)) for n in one.shape)
-        if level and min(shape) < 16:
-            continue
-        (a1, b1), (a2, b2) = (expansion(_resize(x.astype(float), shape)) for x in (one, two))
+    for level_one, level_two in zip(pyramid(one), pyramid(two)):
+        shape = level_one.shape
+        (a1, b1), (a2, b2) = expansion(level_one), expansion(level_two)
+        later = np.concatenate([a2, b2], axis=-1)
         flow = np.zeros((*shape, 2)) if flow is None else np.stack([_resize(flow[..., k], shape) / SHRINK for k in (0, 1)], axis=-1)
         row, col = np.indices(shape)
         for _ in range(ITERATIONS):
-            y, x = np.clip(np.rint(row + flow[..., 1]), 0, shape[0] - 1).astype(int), np.clip(np.rint(col + flow[..., 0]), 0, shape[1] - 1).astype(int)
-            a = (a1 + a2[y, x]) / 2
+            y, x = np.clip(row + flow[..., 1], 0, shape[0] - 1), np.clip(col + flow[..., 0], 0, shape[1] - 1)
+            there = _at(later, y, x)
+            a = (a1 + there[..., :3]) / 2
             moved = np.stack([x - col, y - row], axis=-1)
             xx, yy, xy = a[..., 0], a[..., 1], a[..., 2]
-            d = (b1 - b2[y, x]) / 2 + np.stack([xx * moved[..., 0] + xy * moved[..., 1], xy * moved[..., 0] + yy * moved[..., 1]], axis=-1)
+            d = (b1 - there[..., 3:]) / 2 + np.stack([xx * moved[..., 0] + xy * moved[..., 1], xy * moved[..., 0] + yy * moved[..., 1]], axis=-1)
             normal = np.stack([xx * xx + xy * xy, xy * (xx + yy), yy * yy + xy * xy, xx * d[..., 0] + xy * d[..., 1], xy * d[..., 0] + yy * d[..., 1]], axis=-1)
             g11, g12, g22, h1, h2 = np.moveaxis(_along(_along(normal, window, 0), window, 1), -1, 0)
             det = g11 * g22 - g12 * g12 + 1e-9

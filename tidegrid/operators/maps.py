@@ -1,7 +1,12 @@
 """From frames to spatio-temporal maps: box, grey crop, motion between neighbours, block means, target rate.
 
-Every step is a plan over rows of frames; a task holds single frames and pairs, never a video.  What goes wrong with a
-frame or a session becomes its status and reason and fails nothing else.
+Raw frames are read once and never shuffled: boxes, one a session, are broadcast behind a check of their number, and what
+is left of a frame is its crop of a few kilobytes.  Motion is taken over ranges of SPAN frames, each with the last frame
+of the one before, so a long video spreads over many tasks and a task holds one range.  Crops and block means are written
+to the shared folder between the steps, so no step is done twice.
+
+What goes wrong with a frame, a pair of frames or a series becomes an error row, which reaches the status and reason of
+its session and fails nothing else.
 """
 
 from __future__ import annotations
@@ -16,8 +21,23 @@ from ..functions import frames as pixels
 from ..functions import signal
 from .catalog import with_status
 from .geometry import expand_box, median_box
+from .scratch import shared_folder
 from .timeseries import to_series
 
+#: Frames of a range, and sessions whose boxes are broadcast; with more, crops are joined by session.
+SPAN = 256
+MOST_SESSIONS = 500_000
+
+
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _told(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"
+
 
 def boxes(sessions: DataFrame, detections: DataFrame, whole: bool = False, scale: float = DEFAULT.box_scale) -> DataFrame:
     """Adds box (x0, y0, x1, y1) to sessions (sid, width, height): around the median of the best detections, or the whole frame
@@ -30,54 +50,83 @@ def boxes(sessions: DataFrame, detections: DataFrame, whole: bool = False, scale
 
 
 def crops(frames: DataFrame, boxed: DataFrame, side: int = DEFAULT.crop) -> DataFrame:
-    """Rows (sid, frame, grey, error) from frames (sid, frame, width, height, bgr): side x side bytes, null for an empty box; an
-    exception becomes its class and message."""
+    """Rows (sid, frame, grey, error), one for each frame (sid, frame, width, height, bgr): side x side bytes, null without a box
+    or for an empty one; an exception becomes its class and message."""
 
     @F.pandas_udf("grey binary, error string")
     def crop(width: pd.Series, height: pd.Series, bgr: pd.Series, box: pd.Series) -> pd.DataFrame:
         out = []
         for w, h, data, corners in zip(width, height, bgr, box):
             try:
-                grey = pixels.grey_crop(np.frombuffer(data, np.uint8).reshape(h, w, 3), tuple(corners), side)
+                grey = None if corners is None else pixels.grey_crop(np.frombuffer(data, np.uint8).reshape(h, w, 3), tuple(corners), side)
                 out.append((None if grey is None else grey.tobytes(), None))
             except Exception as error:  # noqa: BLE001  told in the row
-                out.append((None, f"{type(error).__name__}: {error}"))
+                out.append((None, _told(error)))
         return pd.DataFrame(out, columns=["grey", "error"])
 
-    rows = frames.join(boxed.where("box is not null").select("sid", "box"), "sid")
-    return rows.select("sid", "frame", crop("width", "height", "bgr", "box").alias("c")).select("sid", "frame", "c.grey", "c.error")
+    known = boxed.where("box is not null").select("sid", "box")
+    known = F.broadcast(known) if known.limit(MOST_SESSIONS + 1).count() <= MOST_SESSIONS else known
+    return frames.join(known, "sid", "left").select("sid", "frame", crop("width", "height", "bgr", "box").alias("c")).select("sid", "frame", "c.grey", "c.error")
+
 
+def with_halo(crops_: DataFrame, span: int = SPAN) -> DataFrame:
+    """Rows (sid, range, frame, grey, halo): every readable crop in its range, and in each range but a session's first one also
+    the last readable crop before it, however many frames are missing between."""
+    rows = crops_.where("grey is not null").withColumn("range", F.floor(F.col("frame") / span))
+    before = Window.partitionBy("sid").orderBy("range")
+    edges = rows.groupBy("sid", "range").agg(F.max("frame").alias("last")).withColumn("frame", F.lag("last").over(before))  # a row a range
+    halo = rows.drop("range").join(edges.where("frame is not null").select("sid", "range", "frame"), ["sid", "frame"])
+    columns = ["sid", "range", "frame", "grey"]
+    return rows.select(*columns, F.lit(False).alias("halo")).unionByName(halo.select(*columns, F.lit(True).alias("halo")))
 
-def motion_columns(crops_: DataFrame, side: int = DEFAULT.crop, grid: int = DEFAULT.grid) -> DataFrame:
-    """Rows (sid, frame, means): block means of the vertical motion from each crop to the next one of its session."""
 
-    @F.pandas_udf("array<double>")
-    def between(one: pd.Series, two: pd.Series) -> pd.Series:
-        image = lambda x: np.frombuffer(x, np.uint8).reshape(side, side)
-        return pd.Series([pixels.block_means(pixels.motion(image(a), image(b))[..., 1], grid) for a, b in zip(one, two)])
+def motion_columns(crops_: DataFrame, side: int = DEFAULT.crop, grid: int = DEFAULT.grid, span: int = SPAN) -> DataFrame:
+    """Rows (sid, frame, means, error): block means of the vertical motion from each crop to the next one of its session."""
 
-    order = Window.partitionBy("sid").orderBy("frame")
-    pairs = crops_.where("grey is not null").withColumn("before", F.lag("grey").over(order)).where("before is not null")
-    return pairs.select("sid", "frame", between("before", "grey").alias("means"))
+    @F.pandas_udf("means array<double>, error string")
+    def between(one: pd.Series, two: pd.Series) -> pd.DataFrame:
+        out, image = [], lambda x: np.frombuffer(x, np.uint8).reshape(side, side)
+        for a, b in zip(one, two):
+            try:
+                out.append((pixels.block_means(pixels.motion(image(a), image(b))[..., 1], grid), None))
+            except Exception as error:  # noqa: BLE001  told in the row
+                out.append((None, _told(error)))
+        return pd.DataFrame(out, columns=["means", "error"])
 
+    order = Window.partitionBy("sid", "range").orderBy("frame")
+    pairs = with_halo(crops_, span).withColumn("before", F.lag("grey").over(order)).where(~F.col("halo") & F.col("before").isNotNull())
+    return pairs.select("sid", "frame", between("before", "grey").alias("m")).select("sid", "frame", "m.means", "m.error")
 
-def session_maps(sessions: DataFrame, frames: DataFrame, detections: DataFrame, side: int = DEFAULT.crop, grid: int = DEFAULT.grid, target: float = DEFAULT.fs, least_s: float = 5.0, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+
+def session_maps(
+    sessions: DataFrame, frames: DataFrame, detections: DataFrame, side: int = DEFAULT.crop, grid: int = DEFAULT.grid, target: float = DEFAULT.fs, least_s: float = 5.0,
+    whole: bool = False, span: int = SPAN,
+) -> tuple[DataFrame, DataFrame]:
     """(records, maps): a record (sid, status, reason, T, ...) of each session (sid, width, height, fps), and maps (sid, roi, x) of
     those that are ok, at the target rate."""
     boxed = boxes(sessions, detections, whole)
-    cropped = crops(frames, boxed, side)
-    long = motion_columns(cropped, side, grid).select("sid", "frame", F.posexplode("means").alias("roi", "v"))
+    cropped = _written(crops(frames, boxed, side), "crops")
+    means = _written(motion_columns(cropped, side, grid, span), "means")
+    long = means.where("means is not null").select("sid", "frame", F.posexplode("means").alias("roi", "v"))
     series = to_series(long, ["sid", "roi"], ["frame"], "v").join(sessions.select("sid", "fps"), "sid")
 
-    @F.pandas_udf("array<double>")
-    def resampled(x: pd.Series, fps: pd.Series) -> pd.Series:
-        return pd.Series([signal.resample_linear(np.asarray(v, float), f, target) for v, f in zip(x, fps)])
-
-    rows = series.select("sid", "roi", resampled("x", "fps").alias("x"))
-    found = frames.groupBy("sid").agg(F.count("*").alias("n_frames"))
-    errors = cropped.groupBy("sid").agg(F.max("error").alias("error"))
-    lengths = rows.groupBy("sid").agg(F.max(F.size("x")).alias("T"))
-    work = boxed.join(found, "sid", "left").join(errors, "sid", "left").join(lengths, "sid", "left")
+    @F.pandas_udf("x array<double>, error string")
+    def resampled(x: pd.Series, fps: pd.Series) -> pd.DataFrame:
+        out = []
+        for v, f in zip(x, fps):
+            try:
+                out.append((signal.resample_linear(np.asarray(v, float), f, target), None))
+            except Exception as error:  # noqa: BLE001  told in the row
+                out.append((None, _told(error)))
+        return pd.DataFrame(out, columns=["x", "error"])
+
+    rows = series.select("sid", "roi", resampled("x", "fps").alias("r")).select("sid", "roi", "r.x", "r.error")
+    found = cropped.groupBy("sid").agg(F.count("*").alias("n_frames"), F.max("error").alias("crop_error"))
+    moved = means.groupBy("sid").agg(F.max("error").alias("motion_error"))
+    lengths = rows.groupBy("sid").agg(F.max(F.size("x")).alias("T"), F.max("error").alias("rate_error"))
+    work = boxed.join(found, "sid", "left").join(moved, "sid", "left").join(lengths, "sid", "left")
+    error = F.coalesce("crop_error", "motion_error", "rate_error")
     short = F.least(F.col("box")[2] - F.col("box")[0], F.col("box")[3] - F.col("box")[1])
-    records = with_status(work.withColumns({"stored": F.lit(False), "side": short}), 1 if whole else 32, int(least_s * target)).drop("stored", "side", "error")
-    return records, rows.join(records.where("status = 'ok'").select("sid"), "sid", "left_semi")
+    told = work.withColumns({"stored": F.lit(False), "side": short, "error": error, "T": F.when(F.col("T") > 0, F.col("T"))})
+    records = with_status(told, 1 if whole else 32, int(least_s * target)).drop("stored", "side", "error", "crop_error", "motion_error", "rate_error")
+    return records, rows.join(records.where("status = 'ok'").select("sid"), "sid", "left_semi").select("sid", "roi", "x")
