@@ -481,9 +481,11 @@ def test_licences(spark):
     twice = licences.known_digests(spark, [("one", mit), ("two", mit.upper()), ("nothing", "...")])
     assert [r.license for r in licences.scan_licenses(docs.where("doc_id = 6"), twice).collect()] == ["one|two"]
     assert licences.scan_licenses(docs.limit(0), twice).count() == 0
-    rows = spark.createDataFrame([(None, mit), (None, mit), (1, None), (1, "Released under the MIT License.")], "doc_id long, text string")
+    plain = "nothing of the kind"
+    rows = spark.createDataFrame([(None, mit), (None, mit), (None, plain), (1, None), (1, "Released under the MIT License."), (1, plain)], "doc_id long, text string")
     got = sorted(((str(r.doc_id), r.license, r.line_licenses) for r in licences.scan_licenses(rows, licences.known_digests(spark)).collect()), key=str)
-    assert sorted([x[:2] for x in got], key=str) == [("1", "MIT-notice"), ("1", None), ("None", "MIT"), ("None", "MIT")] and all(x[2] == ["MIT-notice"] for x in got if x[0] == "1")
+    assert [x[:2] for x in got] == [("1", "MIT-notice"), ("1", None), ("1", None), ("None", "MIT"), ("None", "MIT"), ("None", None)]
+    assert [x[2] for x in got if x[1] is None] == [[], [], []] and all(x[2] == ["MIT-notice"] for x in got if x[1] == "MIT-notice")  # licences stay with their row
 
 
 def test_chats(spark):

@@ -5,11 +5,12 @@ white space as single spaces.  The SHA-256 of that form is looked up among the d
 through the same form.  The table of known licences is a parameter; a small one is broadcast, a large one joined.
 
 Whole texts are looked up, and apart from them each of their lines, which finds notices and licences on one line inside
-other text.  The costly part of the canonical form is made once, with line breaks kept; both digests come from it.
+other text.  Every text is brought into its form once, with line breaks kept; the digests of the whole and of its lines go
+through one join, whose few rows are written, and hits of lines return by the digest of their own text.
 
 Defined results: null texts, and texts of which nothing is left in canonical form, have a null digest and no licence;
 texts and lines of any length are looked up whole; known texts with one digest count as one licence with all their names;
-rows of one doc_id (or none) share the licences of all their lines; an empty table gives an empty result; further columns
+a licence stays with its row, whatever ids are repeated or null, and repeated rows have the same ones; an empty table gives an empty result; further columns
 are ignored.
 """
 
@@ -22,6 +23,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Texts of licences and notices as published, without their copyright lines.
 _CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
@@ -129,13 +132,15 @@ def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, digest, license (of the whole text or null), line_licenses (sorted, of single lines)."""
     known = known.where("digest is not null").groupBy("digest").agg(F.array_join(F.sort_array(F.collect_set("license")), "|").alias("license"))
     known = F.broadcast(known) if known.count() <= MOST_BROADCAST else known
-    texts = docs.select("doc_id", words(F.col("text")).alias("words"))
+    texts = docs.select("doc_id", F.sha2("text", 256).alias("key"), words(F.col("text")).alias("words"))
     lines = F.array_distinct(F.transform(F.filter(F.split("words", "\n"), lambda x: F.length(x) > 1), lambda x: F.sha2(canonical(x), 256)))
-    found = texts.select("doc_id", F.explode(lines).alias("digest")).join(known, "digest")
-    found = found.groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_set("license")).alias("line_licenses"))
-    whole = texts.select("doc_id", digest(F.col("words")).alias("digest")).join(known, "digest", "left")
+    marked = lambda x, whole: F.struct(F.lit(whole).alias("whole"), x.alias("digest"))
+    every = F.concat(F.array(marked(digest(F.col("words")), True)), F.coalesce(F.transform(lines, lambda x: marked(x, False)), F.array().cast("array<struct<whole:boolean,digest:string>>")))
+    met = texts.select("doc_id", "key", F.explode(every).alias("x")).select("doc_id", "key", "x.whole", "x.digest").join(known, "digest", "left")
+    met = materialize(met.where(F.col("whole") | F.col("license").isNotNull()))
+    hits = met.where("not whole").groupBy("key").agg(F.sort_array(F.collect_set("license")).alias("line_licenses"))
     none = F.array().cast("array<string>")
-    return whole.join(found, whole["doc_id"].eqNullSafe(found["of"]), "left").select("doc_id", "digest", "license", F.coalesce("line_licenses", none).alias("line_licenses"))
+    return met.where("whole").join(hits, "key", "left").select("doc_id", "digest", "license", F.coalesce("line_licenses", none).alias("line_licenses"))
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
