@@ -5,7 +5,9 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
 
+from tidegrid.operators import maps
 from tidegrid.sources import avi, bdf, corpora, images, manifest, names, readers
 
 
@@ -48,28 +50,75 @@ def test_avi_frames(spark, tmp_path):
     frames = [bytes([k + 1] * 6 + [0, 0] + [k + 101] * 6 + [9, 9]) for k in range(5)]
     (tmp_path / "a.avi").write_bytes(_avi(frames))
     (tmp_path / "b.avi").write_bytes(_avi([*frames[:4], b"\5" * 8 + b"\0" * 8], segments=2, pad=64))
-    spark.dataSource.register(avi.AviSource)
+    avi.register(spark)
     rows = spark.read.format("raw_avi").option("path", f"{tmp_path}/*.avi").load().orderBy("path", "frame").collect()
-    assert [(r.path[-5], r.frame) for r in rows] == [("a", k) for k in range(5)] + [("b", k) for k in range(4)]
+    assert [(r.path[-5], r.frame) for r in rows] == [("a", k) for k in range(5)] + [("b", k) for k in range(5)]
     assert rows[0].bgr == bytes([101] * 6 + [1] * 6)  # stored bottom-up
     half = spark.read.format("raw_avi").option("path", f"{tmp_path}/a.avi").option("step", 2).option("frames", 4).load()
     assert sorted(r.frame for r in half.collect()) == [0, 2]
 
 
 def test_avi_frames_that_end_in_black(spark, tmp_path):
-    """A whole file keeps its black last frame; short chunks and padding end a file."""
+    """Whole segments keep their black last frame, whatever follows them; short chunks end a file, and a frame that runs into
+    dead space inside a segment goes."""
     frames = [bytes([k + 1] * 16) for k in range(2)] + [b"\0" * 16]
     (tmp_path / "black.avi").write_bytes(_avi(frames))
     (tmp_path / "short.avi").write_bytes(_avi([frames[0], b"\7" * 8, frames[1]]))
     (tmp_path / "padded.avi").write_bytes(_avi(frames, pad=64))
     (tmp_path / "noise.avi").write_bytes(b"RIFFxxxx")
+    cut = _avi([bytes([k + 1] * 16) for k in range(4)])
+    (tmp_path / "dead.avi").write_bytes(cut[: cut.index(bytes([3] * 16)) + 6].ljust(len(cut), b"\0"))
     index = avi.frame_index(spark, str(tmp_path))
     found = {r.path.rsplit("/", 1)[1]: (r.found, r.declared) for r in avi.headers(index).collect()}
-    assert found == {"black.avi": (3, 3), "short.avi": (1, 3), "padded.avi": (2, 3)}
+    assert found == {"black.avi": (3, 3), "short.avi": (1, 3), "padded.avi": (3, 3), "dead.avi": (2, 4)}
     rows = avi.read_frames(index, step=2, most=3, readers=2).where("path like '%black.avi'").orderBy("frame").collect()
     assert [(r.frame, r.bgr) for r in rows] == [(0, bytes([1] * 12)), (2, bytes(12))]
 
 
+def test_avi_filters_are_pushed_down(spark, tmp_path):
+    """Files and frames that a filter excludes are neither planned nor read; ranges of a file give each frame once."""
+    frames = [bytes([k + 1] * 16) for k in range(9)]
+    for name in "ab":
+        (tmp_path / f"{name}.avi").write_bytes(_avi(frames, segments=3))
+    avi.register(spark)
+    rows = spark.read.format("raw_avi").option("path", f"{tmp_path}/*.avi").option("split", 50).load()
+    assert sorted((r.path[-5], r.frame, r.bgr[0]) for r in rows.collect()) == [(n, k, k + 1) for n in "ab" for k in range(9)]
+    some = rows.where(f"path = '{tmp_path}/b.avi' AND frame >= 3 AND frame < 6 AND width = 2")
+    assert sorted((r.path[-5], r.frame) for r in some.collect()) == [("b", 3), ("b", 4), ("b", 5)]
+    reader = avi.AviReader({"path": f"{tmp_path}/*.avi"})
+    left = list(reader.pushFilters([EqualTo(("path",), f"{tmp_path}/a.avi"), GreaterThan(("frame",), 6), LessThanOrEqual(("frame",), 7), EqualTo(("width",), 2)]))
+    assert [f.attribute for f in left] == [("width",)] and [p.path for p in reader.partitions()] == [f"{tmp_path}/a.avi"]
+    assert [r[1] for p in reader.partitions() for r in reader.read(p)] == [7]
+
+
+def test_avi_index_walks_changed_files_only(spark, tmp_path, monkeypatch):
+    root, store = tmp_path / "videos", str(tmp_path / "index")
+    root.mkdir()
+    frames = [bytes([k + 1] * 16) for k in range(4)]
+    for name in ("a", "b", "gone"):
+        (root / f"{name}.avi").write_bytes(_avi(frames[: 2 + (name == "b")]))
+    (root / "none.avi").write_bytes(b"no video")
+    count = lambda: {r.path.rsplit("/", 1)[1]: r["count"] for r in avi.extended_index(spark, str(root), store).groupBy("path").count().collect()}
+    assert count() == {"a.avi": 2, "b.avi": 3, "gone.avi": 2}
+    before = spark.read.parquet(store).count()
+    assert count() == {"a.avi": 2, "b.avi": 3, "gone.avi": 2} and spark.read.parquet(store).count() == before
+    (root / "a.avi").write_bytes(_avi(frames))
+    (root / "gone.avi").unlink()
+    assert count() == {"a.avi": 4, "b.avi": 3} and spark.read.parquet(store).count() == before + 4
+
+
+def test_frames_that_cannot_be_read_are_told(spark, tmp_path):
+    (tmp_path / "a.avi").write_bytes(_avi([bytes([k + 1] * 16) for k in range(3)]))
+    index = avi.frame_index(spark, str(tmp_path)).persist()
+    assert index.count() == 3
+    (tmp_path / "a.avi").unlink()
+    rows = avi.read_frames(index)
+    assert [r.bgr for r in rows.collect()] == [None] * 3
+    boxed = rows.select("path").distinct().select(F.col("path").alias("sid"), F.array(F.lit(0), F.lit(0), F.lit(2), F.lit(2)).alias("box"))
+    assert {r.error for r in maps.crops(rows.withColumnRenamed("path", "sid"), boxed, 2).collect()} == {"OSError: the frame was not read"}
+    index.unpersist()
+
+
 def test_catalogues_of_files(spark, tmp_path):
     """Listings and headers as they come from a store."""
     for name in ("1/0", "1/2", "x/1"):

@@ -58,6 +58,8 @@ def crops(frames: DataFrame, boxed: DataFrame, side: int = DEFAULT.crop) -> Data
         out = []
         for w, h, data, corners in zip(width, height, bgr, box):
             try:
+                if data is None:
+                    raise OSError("the frame was not read")
                 grey = None if corners is None else pixels.grey_crop(np.frombuffer(data, np.uint8).reshape(h, w, 3), tuple(corners), side)
                 out.append((None if grey is None else grey.tobytes(), None))
             except Exception as error:  # noqa: BLE001  told in the row

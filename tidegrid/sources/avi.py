@@ -2,7 +2,8 @@
 
 Files can be far larger than one row may be, so frames are read by their places: ``frame_index`` walks the headers of the
 container's chunks, one file a task, and ``read_frames`` reads what a plan asks for.  The index is a table like any other
-and can be kept.  ``spark.dataSource.register(AviSource)`` makes the same known as "raw_avi".
+and can be kept: ``extended_index`` walks only files that are new or changed.  ``register(spark)`` makes the same known as
+"raw_avi", with files and ranges of frames pushed down to it.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from . import ranges
 
 FRAMES = "path string, frame int, width int, height int, bgr binary"
 INDEX = "path string, frame int, place long, width int, height int, fps double, declared long, bottom_up boolean"
 PER_PARTITION = 256
+#: Bytes of a file that one task of the data source reads.
+SPLIT = 256 << 20
 
 
 @dataclass
@@ -55,20 +58,21 @@ def layout(path: str) -> Layout | None:
     return Layout(width, abs(height), rate / scale, declared, height > 0)
 
 
-def offsets(path: str, found: Layout) -> list[int]:
+def offsets(path: str, found: Layout, upto: int | None = None) -> list[int]:
     """Where frames begin, over all RIFF segments, up to the first chunk that cannot be right: no name, or a frame that is too
     short or beyond the end.  Only then is the last frame checked, and left out if an eighth of it is trailing zeros: it
-    is where a file was cut off and padded.  A whole file that ends in black keeps its last frame."""
+    is where a file was cut off and padded.  What follows the last segment, such as padding, ends a file without doubt
+    about its frames.  ``upto`` ends the walk at that place of the file."""
     end_of_file, out = ranges.size(path), []
     with ranges.opened(path) as file:
 
         def walk(at: int, end: int) -> bool:
-            while at + 8 <= end:
+            while at + 8 <= end and (upto is None or at < upto):
                 file.seek(at)
                 name, length = struct.unpack("<4sI", file.read(8))
                 if not all(32 <= b < 127 for b in name):
                     return False
-                if name in (b"RIFF", b"LIST"):
+                if name == b"LIST":
                     if not walk(at + 12, min(end, at + 8 + length)):
                         return False
                 elif name[2:] in (b"db", b"dc") and name[:2].isdigit():
@@ -78,7 +82,15 @@ def offsets(path: str, found: Layout) -> list[int]:
                 at += 8 + length + length % 2
             return True
 
-        if not walk(0, end_of_file) and out:
+        at, whole = 0, True
+        while whole and at + 12 <= end_of_file and (upto is None or at < upto):
+            file.seek(at)
+            name, length = struct.unpack("<4sI", file.read(8))
+            if name != b"RIFF":
+                break
+            whole = walk(at + 12, min(end_of_file, at + 8 + length))
+            at += 8 + length + length % 2
+        if not whole and out:
             file.seek(out[-1])
             last = file.read(found.frame_size)
             if len(last) - len(last.rstrip(b"\0")) >= found.frame_size // 8:
@@ -110,8 +122,48 @@ def frame_index(spark: SparkSession, root: str, pattern: str = "*.avi") -> DataF
                     part = places[a : a + 100_000]
                     yield pd.DataFrame({"path": path, "frame": range(a, a + len(part)), "place": part, "width": found.width, "height": found.height, "fps": found.fps, "declared": found.declared, "bottom_up": found.bottom_up})
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path")
-    return files.repartition("path").mapInPandas(walk, INDEX)
+    return _files(spark, root, pattern).select("path").repartition("path").mapInPandas(walk, INDEX)
+
+
+def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """path, size and modified of the files, as Spark lists them; no file is read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def extended_index(spark: SparkSession, root: str, store: str, pattern: str = "*.avi") -> DataFrame:
+    """The frame index of all files of a folder, kept in ``store`` by path, size and time of modification: files that are new
+    or changed are walked and added, all others come from the store; files that are gone are left out."""
+    listed = _files(spark, root, pattern)
+    schema = f"{INDEX}, size long, modified timestamp"
+    try:
+        kept = spark.read.schema(schema).parquet(store)
+    except Exception as error:  # nothing is kept yet
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        kept = spark.createDataFrame([], schema)
+    key = ["path", "size", "modified"]
+    new = listed.join(kept.select(*key).distinct(), key, "left_anti")
+    walked = new.repartition("path").select(*key).mapInPandas(_walked, schema)
+    walked.write.mode("append").parquet(store)
+    return spark.read.schema(schema).parquet(store).join(listed, key, "left_semi").where("frame >= 0").dropDuplicates(["path", "frame"]).select(*[c.split()[0] for c in INDEX.split(", ")])
+
+
+def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Index rows of files with their size and time; a file without frames leaves one row of frame -1, so it is not walked again."""
+    for rows in batches:
+        for path, size, modified in zip(rows["path"], rows["size"], rows["modified"]):
+            try:
+                found = layout(path)
+                places = offsets(path, found) if found else []
+            except (OSError, struct.error):
+                continue  # is tried again next time
+            for part, first in [(places[a : a + 100_000], a) for a in range(0, len(places), 100_000)] or [([-1], -1)]:
+                known = found or Layout(0, 0, 0.0, 0, False)
+                yield pd.DataFrame({
+                    "path": path, "frame": range(first, first + len(part)), "place": part, "width": known.width, "height": known.height, "fps": known.fps, "declared": known.declared,
+                    "bottom_up": known.bottom_up, "size": size, "modified": modified,
+                })
 
 
 def headers(index: DataFrame) -> DataFrame:
@@ -120,17 +172,20 @@ def headers(index: DataFrame) -> DataFrame:
 
 
 def read_frames(index: DataFrame, step: int = 1, most: int | None = None, readers: int | None = None) -> DataFrame:
-    """The first ``most`` frames of each file, every step-th of them.  What is left out is not read.  ``readers`` bounds the
-    tasks that read at a time where the store does not bear more."""
+    """The first ``most`` frames of each file, every step-th of them.  What is left out is not read; frames of a file that can
+    no longer be read have null bytes.  ``readers`` bounds the tasks that read at a time where the store does not bear more."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for path, own in rows.groupby("path", sort=False):
-                with ranges.opened(path) as file:
-                    for a in range(0, len(own), 16):
-                        part = own.iloc[a : a + 16]
-                        pixels = [frame(file, r.place, Layout(r.width, r.height, r.fps, r.declared, r.bottom_up)) for r in part.itertuples()]
-                        yield pd.DataFrame({"path": path, "frame": part["frame"], "width": part["width"], "height": part["height"], "bgr": pixels})
+                for a in range(0, len(own), 16):
+                    part, pixels = own.iloc[a : a + 16], []
+                    try:
+                        with ranges.opened(path) as file:
+                            pixels = [frame(file, r.place, Layout(r.width, r.height, r.fps, r.declared, r.bottom_up)) for r in part.itertuples()]
+                    except OSError:  # frames without bytes, which become their session's error
+                        pixels = [None] * len(part)
+                    yield pd.DataFrame({"path": path, "frame": part["frame"], "width": part["width"], "height": part["height"], "bgr": pixels})
 
     chosen = index.where((F.col("frame") % step == 0) & (F.lit(True) if most is None else F.col("frame") < most))
     block = F.floor(F.col("frame") / (PER_PARTITION * step))
@@ -138,37 +193,60 @@ def read_frames(index: DataFrame, step: int = 1, most: int | None = None, reader
     return dealt.sortWithinPartitions("path", "frame").mapInPandas(read, FRAMES)
 
 
-class FrameRange(InputPartition):
-    def __init__(self, path: str, found: Layout, first: int, places: list[int]):
-        self.path, self.found, self.first, self.places = path, found, first, places
+class FileRange(InputPartition):
+    def __init__(self, path: str, first: int, end: int):
+        self.path, self.first, self.end = path, first, end
 
 
 class AviReader(DataSourceReader):
+    """Files are listed when a query is planned, and walked where they are read: a task takes the frames that begin in its
+    range of bytes, and walks the chunk headers before them."""
+
     def __init__(self, options: dict):
         self.pattern, self.step, self.most = options["path"], int(options.get("step", 1)), int(options.get("frames", 1 << 40))
-
-    def partitions(self) -> list[FrameRange]:
-        parts = []
+        self.split = int(options.get("split", SPLIT))
+        self.low, self.paths = 0, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes bounds of frame and equality of path; Spark applies the others."""
+        for f in filters:
+            name, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            if name == ("frame",) and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.low = max(self.low, value + isinstance(f, GreaterThan))
+            elif name == ("frame",) and isinstance(f, (LessThan, LessThanOrEqual)):
+                self.most = min(self.most, value + isinstance(f, LessThanOrEqual))
+            elif name == ("frame",) and isinstance(f, EqualTo):
+                self.low, self.most = max(self.low, value), min(self.most, value + 1)
+            elif name == ("path",) and isinstance(f, (EqualTo, In)):
+                wanted = {value} if isinstance(f, EqualTo) else set(value)
+                self.paths = wanted if self.paths is None else self.paths & wanted
+            else:
+                yield f
+
+    def partitions(self) -> list[FileRange]:
         folder, name = os.path.split(self.pattern)
         store, inner = ranges._opened(folder)
+        parts = []
         for info in sorted(store.get_file_info(fs.FileSelector(inner)), key=lambda x: x.path):
             path = f"{folder}/{info.base_name}"
-            if fnmatch.fnmatch(info.base_name, name) and (found := layout(path)):
-                places = offsets(path, found)[: self.most]
-                parts += [FrameRange(path, found, a, places[a : a + PER_PARTITION]) for a in range(0, len(places), PER_PARTITION)]
-        return parts or [FrameRange("", Layout(0, 0, 0, 0, False), 0, [])]
+            if info.is_file and fnmatch.fnmatch(info.base_name, name) and (self.paths is None or path in self.paths):
+                parts += [FileRange(path, a, a + self.split) for a in range(0, info.size, self.split)]
+        return parts or [FileRange("", 0, 0)]
 
-    def read(self, part: FrameRange) -> Iterator[tuple]:
-        if not part.places:
+    def read(self, part: FileRange) -> Iterator[tuple]:
+        found = layout(part.path) if part.path and self.low < self.most else None
+        if found is None:
             return
+        # the next frame's place tells whether the last one is whole
+        places = offsets(part.path, found, part.end + 2 * found.frame_size + 64)
         with ranges.opened(part.path) as file:
-            for k, at in enumerate(part.places):
-                if (part.first + k) % self.step == 0:
-                    yield part.path, part.first + k, part.found.width, part.found.height, frame(file, at, part.found)
+            for k, at in enumerate(places[: self.most]):
+                if part.first <= at < part.end and k >= self.low and k % self.step == 0:
+                    yield part.path, k, found.width, found.height, frame(file, at, found)
 
 
 class AviSource(DataSource):
-    """Options: path (a pattern), step (every so many frames), frames (the first so many)."""
+    """Options: path (a pattern), step (every so many frames), frames (the first so many), split (bytes a task)."""
 
     @classmethod
     def name(cls) -> str:
@@ -179,3 +257,9 @@ class AviSource(DataSource):
 
     def reader(self, schema) -> AviReader:
         return AviReader(dict(self.options))
+
+
+def register(spark: SparkSession) -> None:
+    """Makes "raw_avi" known to a session, and lets it push filters down to Python sources."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(AviSource)
