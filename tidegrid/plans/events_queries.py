@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import catalog, metrics, references, spectral, splits, timeseries
+from ..operators import catalog, maps, metrics, references, spectral, splits, timeseries
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -465,3 +465,15 @@ def time_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.size("x")
     part = references.clip_by_time(F.col("x"), 2.5, F.least(n, F.col("user_id") % 7).cast("double"), (n - F.col("user_id") % 5) / 2.0)
     return _series(spark, sf_dir).select("user_id", F.posexplode(part).alias("i", "value")).select("user_id", F.col("i").cast("long").alias("i"), F.round("value", 6).alias("value"))
+
+
+# ---- frames: events stand for frames of their user's video, errors for frames that could not be read
+
+
+@query("""SELECT sid, frame, before FROM (SELECT user_id AS sid, event_id AS frame, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events WHERE event_type <> 'error')
+    WHERE before IS NOT NULL""")
+def frame_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crops = table(spark, sf_dir, "events").select(F.col("user_id").alias("sid"), F.col("event_id").alias("frame"), F.when(F.col("event_type") != "error", F.col("value").cast("string").cast("binary")).alias("grey"))
+    order = Window.partitionBy("sid", "range").orderBy("frame")
+    pairs = maps.with_halo(crops, 1000).withColumn("before", F.lag("frame").over(order)).where(~F.col("halo") & F.col("before").isNotNull())
+    return pairs.select("sid", "frame", "before")
