@@ -36,6 +36,8 @@ OFFERS = 8
 GAIN = 0.001
 CELL, TURNS, RANDOM = 512, 16, 32
 BEAM, WIDE, ENTRIES = 144, 176, 8
+#: Expanded nodes whose members are measured at once: a few MB, however large a batch is.
+EXPANDED = 512
 _MEMBER = "struct<id:long,half:binary,least:float>"
 
 
@@ -201,17 +203,17 @@ def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Likeness of a query to the members of a node that it expands; those below its BEAM best so far are left out."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        members, sizes = _flat(batch.column("members"))
-        row = np.repeat(np.arange(batch.num_rows), sizes)
-        x, q = _floats(members.field("half").to_pylist()), _floats(batch.column("query_half").to_pylist())
-        likes = np.einsum("ij,ij->i", x, q[row])
-        keep = likes >= batch.column("least").to_numpy()[row] - 1e-3
-        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=batch.num_rows))]), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (members.field("id").to_numpy()[keep], likes[keep])]
-        yield pa.RecordBatch.from_arrays([batch.column("query_id"), *lists], names=["query_id", "ids", "likes"])
+    for whole in batches:
+        for a in range(0, whole.num_rows, EXPANDED):
+            batch = whole.slice(a, EXPANDED)
+            members, sizes = _flat(batch.column("members"))
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            x, q = _floats(members.field("half").to_pylist()), _floats(batch.column("query_half").to_pylist())
+            likes = np.einsum("ij,ij->i", x, q[row])
+            keep = likes >= batch.column("least").to_numpy()[row] - 1e-3
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=batch.num_rows))]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (members.field("id").to_numpy()[keep], likes[keep])]
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), *lists], names=["query_id", "ids", "likes"])
 
 
 def _advance(beam: int, wide: int) -> Callable:
