@@ -342,23 +342,19 @@ def test_sampled_segmentations_of_odd_rows(spark):
     assert sentencepiece_sampling.decode(sentencepiece_sampling.encode(docs_of(spark, ["x"]).limit(0))).count() == 0
 
 
-def _naive_scores(texts, frequent, rare, bins, network):
+def _naive_scores(texts, frequent, rare, share, network):
     """Every token by the definition: class by the network, word by its count elsewhere."""
     split = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) for t in texts]
-    words = sorted({w for t in split for w in t})
-    hash_of = {w: int(masked_lm.word_hashes([w])[0][0]) for w in words}
-    bin_of = {w: (hash_of[w] >> 48) % bins for w in words}
     count = Counter(w for t in split for w in t)
-    by_bin = Counter(bin_of[w] for t in split for w in t)
-    top = sorted(range(bins), key=lambda b: (-by_bin[b], b))[:frequent]
-    mixed = masked_lm.mix64(np.arange(bins)) % np.uint64(rare)
-    class_of = {b: top.index(b) if b in top else frequent + int(mixed[b]) for b in range(bins)}
-    hot = {b for b in range(bins) if by_bin[b] >= max(2.0, masked_lm.HOT * len([w for t in split for w in t]) / bins)}
-    total = Counter(class_of[bin_of[w]] for t in split for w in t)
-    distinct = Counter(class_of[b] for b in hot | set(top)) + Counter(class_of[bin_of[w]] for w in words if bin_of[w] not in hot | set(top))
+    key = {w: int(masked_lm.word_hashes([w])[0][0]) >> 16 for w in count}
+    enough = [w for w in count if count[w] >= 2 * max(2.0, share * sum(count.values()))]
+    top = sorted(enough, key=lambda w: (-count[w], key[w]))[:frequent]
+    mixed = {w: int(masked_lm.mix64(np.array([key[w]], np.uint64))[0]) for w in count}
+    class_of = {w: top.index(w) if w in top else frequent + mixed[w] % rare for w in count}
+    total, distinct = Counter(class_of[w] for t in split for w in t), Counter(class_of.values())
     out = []
     for t in split:
-        ids = [class_of[bin_of[w]] for w in t]
+        ids = [class_of[w] for w in t]
         padded = [network.classes] * 2 + ids + [network.classes] * 2
         score = 0.0
         for k, w in enumerate(t):
@@ -366,8 +362,7 @@ def _naive_scores(texts, frequent, rare, bins, network):
             z = (h @ network.w + network.b).astype(float)
             score += z[ids[k]] - z.max() - np.log(np.exp(z - z.max()).sum())
             if ids[k] >= frequent:
-                n = by_bin[bin_of[w]] if bin_of[w] in hot else count[w]
-                score += math.log(n - 1 + masked_lm.ALPHA) - math.log(total[ids[k]] - 1 + masked_lm.ALPHA * distinct[ids[k]])
+                score += math.log(count[w] - 1 + masked_lm.ALPHA) - math.log(total[ids[k]] - 1 + masked_lm.ALPHA * distinct[ids[k]])
         out.append((len(t), score))
     return out
 
@@ -380,15 +375,43 @@ def test_masked_lm_against_the_definition(spark, monkeypatch):
     docs = docs_of(spark, texts, "log_prob row_key classes own")
     networks, train = [], masked_lm.train
     monkeypatch.setattr(masked_lm, "train", lambda *a, **k: networks.append(train(*a, **k)) or networks[-1])
-    rows = masked_lm.masked_scores(docs, frequent=4, rare=3, bins=512, shard=700).collect()
+    rows = masked_lm.masked_scores(docs, frequent=4, rare=3, share=1 / 128, shard=700).collect()
     got = {r.doc_id: r for r in rows}
     assert len(got) == len(texts) == len(rows) and rows[0].row_key == rows[0].classes == "x"
-    for i, (n, score) in enumerate(_naive_scores(texts, 4, 3, 512, networks[0])):
+    for i, (n, score) in enumerate(_naive_scores(texts, 4, 3, 1 / 128, networks[0])):
         assert got[i].n_tokens == n and got[i].log_prob == pytest.approx(score, rel=1e-4, abs=1e-4)
         assert got[i].mean_log_prob == (pytest.approx(got[i].log_prob / n) if n else None)
     assert masked_lm.masked_scores(docs.limit(0)).count() == 0
 
 
+def test_hot_words_are_counted_apart_from_words_with_like_hashes(spark):
+    words = [f"w{k}" for k in range(3000)]
+    of = {}
+    for w in words:
+        of.setdefault(int(masked_lm.word_hashes([w])[0][0]) >> 48, []).append(w)
+    often, once = next(v for v in of.values() if len(v) > 1)[:2]  # the upper 16 bits are alike
+    texts = [f"{often} {w}" for w in words if w not in (often, once)] + [once]
+    docs = docs_of(spark, texts)
+    known = masked_lm.hot_words(docs, 1, 2, 1 / 64)
+    assert len(known.hot) == 1 and known.tokens == 2 * 2998 + 1
+    got = {r.doc_id: r.log_prob for r in masked_lm.masked_scores(docs, frequent=0, rare=2, share=1 / 64, epochs=0).collect()}
+    network = masked_lm.Network(2)
+    want = _naive_scores(texts, 0, 2, 1 / 64, network)
+    assert all(got[i] == pytest.approx(score, rel=1e-4) for i, (_, score) in enumerate(want))
+
+
+def test_hot_words_reach_their_bound_in_any_chunks(spark, monkeypatch):
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice(["a", "b" * rnd.randint(1, 9), f"c{rnd.randrange(4000)}"]) for _ in range(200)) for _ in range(60)]
+    count, share = Counter(w for t in texts for w in t.split()), 1 / 50
+    for chunk in (50, 1 << 21):
+        monkeypatch.setattr(masked_lm, "CHUNK_TOKENS", chunk)
+        known = masked_lm.hot_words(docs_of(spark, texts), share=share)
+        hot = {w for w in count if known.place(masked_lm.word_hashes([w])[0] >> np.uint64(16))[0] >= 0}
+        assert {w for w in count if count[w] >= 2 * share * known.tokens} <= hot and len(hot) == len(known.hot) <= 50
+        assert known.tokens == sum(count.values()) and min(count[w] for w in hot) >= share * known.tokens
+
+
 def test_masked_lm_does_not_depend_on_partitions(spark):
     rnd = random.Random(14)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(3)) for _ in range(300)]
