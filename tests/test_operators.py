@@ -192,6 +192,33 @@ def test_one_broken_session_of_ten_leaves_nine(spark):
     assert one == [r.x for r in whole_.where("roi = 0").collect()] and len(one[0]) == 7
 
 
+def test_sessions_that_failed_are_tried_again(spark):
+    image = lambda k: np.repeat(_shifted(math.sin(k / 2))[..., None], 3, axis=2).tobytes()
+    rows = [(s, k, 64, 64, image(k)) for s in "abcd" for k in range(8)]
+    whole = spark.createDataFrame(rows, "sid string, frame int, width int, height int, bgr binary")
+    sessions = spark.createDataFrame([(s, 64, 64, 15.0) for s in "abcde"], "sid string, width int, height int, fps double")
+    seen = spark.createDataFrame([], "sid string, frame int, x double, y double, w double, h double, score double")
+    asked = []
+
+    def frames_of(wanted):
+        asked.append(sorted(r.sid for r in wanted.collect()))
+        if len(asked) > 1:  # the store answers for all but e by now
+            return whole.join(wanted.select("sid"), "sid", "left_semi")
+        return whole.where("sid != 'b'").withColumn("bgr", F.when(F.col("sid") != "c", F.col("bgr")))
+
+    settings = dict(side=32, grid=2, target=15.0, least_s=0.4, whole=True)
+    records, found = maps.session_maps_in_waves(sessions, frames_of, seen, wait_s=0, **settings)
+    assert asked == [list("abcde"), list("bce")]
+    got = {r.sid: (r.status, r.reason, r.wave) for r in records.collect()}
+    assert got == {"a": ("ok", None, 1), "b": ("ok", None, 2), "c": ("ok", None, 2), "d": ("ok", None, 1), "e": ("skip", "no_frames", 2)}
+    _, once = maps.session_maps(sessions, whole, seen, **settings)
+    rows_of = lambda m: sorted((r.sid, r.roi, r.x) for r in m.collect())
+    assert rows_of(found) == rows_of(once) and len(rows_of(found)) == 16
+    asked.clear()
+    records, _ = maps.session_maps_in_waves(sessions.where("sid = 'a'"), frames_of, seen, wait_s=0, **settings)
+    assert len(asked) == 1 and records.count() == 1
+
+
 def test_maps_of_sessions(spark):
     """A face that moves up and down gives its motion; what fails is told and fails nothing else."""
     move = [2 * math.sin(k / 3) for k in range(12)]

@@ -11,6 +11,9 @@ its session and fails nothing else.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -132,3 +135,29 @@ def session_maps(
     told = work.withColumns({"stored": F.lit(False), "side": short, "error": error, "T": F.when(F.col("T") > 0, F.col("T"))})
     records = with_status(told, 1 if whole else 32, int(least_s * target)).drop("stored", "side", "error", "crop_error", "motion_error", "rate_error")
     return records, rows.join(records.where("status = 'ok'").select("sid"), "sid", "left_semi").select("sid", "roi", "x")
+
+
+def session_maps_in_waves(
+    sessions: DataFrame, frames_of: Callable[[DataFrame], DataFrame], detections: DataFrame, waves: int = 2, wait_s: float = 1.0, **settings
+) -> tuple[DataFrame, DataFrame]:
+    """``session_maps`` of all sessions, then again of those that ended in an error or without frames, as busy stores leave them;
+    ``frames_of`` reads the frames of the sessions that it is given.  Records have also the wave they come from.
+
+    Each wave reads the frames of its own sessions only, and its records and maps are written before the next one.
+    """
+    todo = sessions
+    records: DataFrame | None = None
+    maps: DataFrame | None = None
+    for wave in range(1, waves + 1):
+        told, found = session_maps(todo, frames_of(todo), detections, **settings)
+        told, found = _written(told.withColumn("wave", F.lit(wave)), "records"), _written(found, "maps")
+        again = (F.col("status") == "error") | (F.col("reason") == "no_frames")
+        failed = told.where(again) if wave < waves else told.limit(0)
+        kept = told.join(failed.select("sid"), "sid", "left_anti")
+        records = kept if records is None else records.unionByName(kept)
+        maps = found if maps is None else maps.unionByName(found)
+        if failed.isEmpty():
+            break
+        todo = _written(todo.join(failed.select("sid"), "sid", "left_semi"), "sessions")
+        time.sleep(wait_s)
+    return records, maps
