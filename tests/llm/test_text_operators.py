@@ -268,6 +268,24 @@ def test_fingerprints(spark):
     assert fingerprints.with_next(docs_of(spark, ["x"]).limit(0), "text").count() == 0
 
 
+def test_pieces_follow_the_content(spark):
+    rnd = random.Random(22)
+    words = ["".join(rnd.choice("abdemorst") for _ in range(rnd.randint(1, 8))) for _ in range(400)]
+    line = " ".join(words)
+    edits = [line, "put " + line, " ".join([*words[:200], "between", *words[200:]]), " ".join(words[3:]), " ".join(w[::-1] + "q" for w in words)]
+    texts = [*ODD, "m" * 300_000, "ab " * 40, " lead\n\n trail \n", "Ωμν да нет\tжук", *edits]
+    cut = fingerprints.pieces(F.col("text"))
+    joined = F.regexp_extract_all("text", F.lit(fingerprints._PIECES % 15), F.lit(0)).alias("parts")
+    rows = {r.doc_id: r for r in docs_of(spark, texts).withColumn("base", F.lit(line)).select("doc_id", joined, fingerprints.likeness(fingerprints.pieces(F.col("base")), cut).alias("like")).collect()}
+    for i, t in enumerate(texts):
+        parts = rows[i].parts or []
+        assert "".join(parts) == (t or "") and all(len(x.split()) <= 16 for x in parts)
+        for x in parts:  # words within a piece do not end one
+            assert all(w[-1] not in ".!?mMμмմםمम" for w in re.findall(r"[^ \t\n\x0B\f\r]+", x)[:-1])
+    one, put, between, less, other = (rows[len(texts) - 5 + k].like for k in range(5))
+    assert one == 1 and put > 0.9 and between > 0.9 and less > 0.9 and other < 0.05
+
+
 def test_differing_branches_locate_edits(spark):
     rnd = random.Random(21)
     lines = ["".join(rnd.choice("abcdef ") for _ in range(30)) for _ in range(60)]

@@ -5,7 +5,9 @@ sections end depends on the text alone, and an inserted or deleted line changes
 one.  A paragraph's digest is the SHA-256 of its text, a section's that of its paragraphs' digests, the root's that of
 the sections' digests: equal roots mean equal texts.  Where roots differ, ``differing`` descends: sections of one tree
 that the other lacks, and within these the paragraphs that it lacks, with their places.  Below, a paragraph is cut into
-pieces of PIECE words with 64-bit digests, so that likeness sees a change within a long paragraph.
+pieces with 64-bit digests, so that likeness sees a change within a long paragraph.  A piece ends after a word whose last
+letter says so, after PIECE words at most, and at the paragraph's end: words put in or left out change the pieces around
+them, and the pieces after the next such word are the same again.
 
 Likeness of two trees is twice the number of pieces that both have (as often as both have them) over all pieces of
 both: 1 for equal texts, 0 for texts without a common piece; two empty texts have 1.
@@ -22,14 +24,16 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-PIECE = 8
+PIECE = 16
 SECTION = 8
-_PIECES = r"(?:[^ \t\n\x0B\f\r]++[ \t\x0B\f\r]*+){1,%d}\n*+|[ \t\n\x0B\f\r]++"
+#: Last letters of words that end a piece: ends of sentences, and the letter m of several alphabets.
+_ENDS = r".!?mM\x{3BC}\x{43C}\x{574}\x{5DD}\x{645}\x{92E}"
+_PIECES = rf"(?:[^ \t\n\x0B\f\r]++(?<![{_ENDS}])[ \t\x0B\f\r]++){{0,%d}}[^ \t\n\x0B\f\r]++[ \t\x0B\f\r]*+\n*+|[ \t\n\x0B\f\r]++"
 
 
 def pieces(text: Column, words: int = PIECE) -> Column:
     """64-bit digests of the pieces of a text; the pieces' texts joined are the text."""
-    return F.transform(F.regexp_extract_all(text, F.lit(_PIECES % words), F.lit(0)), lambda x: F.xxhash64(x))
+    return F.transform(F.regexp_extract_all(text, F.lit(_PIECES % (words - 1)), F.lit(0)), lambda x: F.xxhash64(x))
 
 
 def paragraphs(text: Column) -> Column:
@@ -133,7 +137,7 @@ def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_SQL_PIECES = r"(?:[^ \t\n\x0B\f\r]+[ \t\x0B\f\r]*){1,8}\n*|[ \t\n\x0B\f\r]+"
+_SQL_PIECES = rf"(?:(?:[{_ENDS}]*[^ \t\n\x0B\f\r{_ENDS}])+[ \t\x0B\f\r]+){{0,15}}[^ \t\n\x0B\f\r]+[ \t\x0B\f\r]*\n*|[ \t\n\x0B\f\r]+"
 _SQL_SECTIONS = "list_transform(list_zip(list_concat([0], {e}[:-2]), {e}), lambda x: {p}[x[1] + 1:x[2]])"
 _SQL_ENDS = "list_filter(range(1, len({p}) + 1), lambda i: i = len({p}) OR ('0x' || left({p}[i], 2))::INT % 8 = 0)"
 _SQL_DIGESTS = "list_transform({s}, lambda x: sha256(array_to_string(x, '')))"
