@@ -26,9 +26,9 @@ def drop_idle(x: Column, idle: float = IDLE) -> Column:
     return F.when(F.size(live) == 0, F.slice(x, 1, 0)).otherwise(F.slice(x, first + 1, last - first + 1))
 
 
-def held_belt(rows: DataFrame, x: str, fs: float = 32.0) -> DataFrame:
-    """gt_rr of recordings that repeat every sample HOLD times: 20 s at least, finite, not constant."""
-    own = rows.withColumn("_x", F.filter(x, lambda v, i: i % HOLD == 0))
+def held_belt(rows: DataFrame, x: str, fs: float = 32.0, hold: int = HOLD) -> DataFrame:
+    """gt_rr of recordings that repeat every sample ``hold`` times (1: read by strides): 20 s at least, finite, not constant."""
+    own = rows.withColumn("_x", F.filter(x, lambda v, i: i % hold == 0) if hold > 1 else F.col(x))
     return belt_rate(own, "_x", fs, LEAST_S).drop("_x")
 
 

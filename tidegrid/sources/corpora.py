@@ -65,6 +65,12 @@ def cohface(listing: DataFrame, probes: DataFrame, lights: DataFrame | None = No
     return rows.select(*_sid("cohface", F.col("subject"), F.col("session")), "fps", "n_frames", (F.col("n_frames") / F.col("fps")).alias("duration_s"), "video", "hdf5", mapped.alias("illumination"), F.lit(BELT_FS).alias("resp_fs"))
 
 
+def recorded_lights(attributes: DataFrame) -> DataFrame:
+    """Rows (folder, light) of the root attributes of data.hdf5 files that tell one."""
+    rows = attributes.where((_part("path", 1) == "data.hdf5") & (F.col("name") == "illumination") & F.col("value").isNotNull())
+    return rows.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), F.col("value").alias("light"))
+
+
 def session_xml(spark: SparkSession, root: str) -> DataFrame:
     """Rows (folder, subject, vid_rate) of all session.xml below a folder; subjects without an id are left out."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "session.xml").load(root)
