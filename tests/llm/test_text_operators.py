@@ -248,6 +248,43 @@ def test_languages_of_large_and_disjoint_alphabets(spark):
     assert all(got[i] == k for i, _, k in rows if zlib.crc32(str(i).encode()) % 4 == 2)
 
 
+def test_six_hundred_languages_in_groups(spark, monkeypatch):
+    """Each language has two syllables of its own; automata in one group, in three and plain ones say the same."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rnd = random.Random(3)
+    pairs = rnd.sample([x + y + z for x in letters for y in letters for z in letters], 1200)
+    rows = [(2 * k + j, " ".join(rnd.choice(pairs[2 * k : 2 * k + 2]) for _ in range(30)), f"l{k:03}") for k in range(600) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = language_id.sample(docs)
+    assert len(samples) > 500
+    whole = list(language_id.parsers(samples))
+    some = list(language_id.parsers(samples, most=128 << 20))
+    assert len(some) == 3 < len(whole) and sum(len(p.languages) for p in some) == len(samples) and all(p.size < 64 << 20 for p in whole)
+    one = language_id.CrossParser(samples)
+    got = [sorted((r.doc_id, r.lang_pred, r.score) for r in language_id.identify(docs, p).collect()) for p in (one, some)]
+    assert got[0] == got[1]
+    lang = {i: k for i, _, k in rows}
+    assert all(p == lang[i] for i, p, _ in got[0] if lang[i] in samples)
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 100)
+    with pytest.raises(ValueError, match="more than 100"):
+        language_id.sample(docs)
+
+
+def test_double_array_of_an_automaton():
+    rnd = random.Random(4)
+    for _ in range(20):
+        follow = language_id.suffix_automaton([rnd.randrange(1, 106) if rnd.random() < 0.1 else rnd.randrange(1, 9) for _ in range(rnd.randrange(400))])
+        owner, target, root = language_id.double_array(follow, 106)
+        todo, place = [(0, root)], {}
+        while todo:
+            s, b = todo.pop()
+            if place.setdefault(s, b) == b and len(place) <= len(follow):
+                edges = {c: int(target[b + c]) for c in range(106) if owner[b + c] == b}
+                assert edges.keys() == follow[s].keys()
+                todo += [(follow[s][c], z) for c, z in edges.items() if follow[s][c] not in place]
+        assert len(set(place.values())) == len(follow)
+
+
 def test_language_id_of_long_texts_and_nothing(spark):
     long = ("kato mika tomi " * 2000, "schung ürsch ungür " * 2000)
     docs = spark.createDataFrame([(1, long[0], "aa"), (4, long[1], "bb"), (5, long[0] + "x" * 5000, None), (5, long[1], None), (5, long[1], None)], "doc_id long, text string, lang string")

@@ -11,8 +11,13 @@ continues.
 
 Only ``text`` and non-null ``lang`` of rows outside the held-out quarter are learned from.  The sample of a language is
 bounded by SAMPLE_DOCS documents and SAMPLE_LETTERS characters: whole texts in the order of a hash of doc_id, those of up
-to SAMPLE_TEXT characters first; where a language has longer ones only, WINDOWS windows spread over each of them.
-Every text is then scored whole.
+to SAMPLE_TEXT characters first; where a language has longer ones only, WINDOWS windows spread over each of them.  The
+rows of a language come to the driver until they hold that many characters.  Every text is then scored whole.
+
+An automaton is a double array of its transitions, some 0.6 MB for a full sample.  Automata are sent to the workers in
+groups of GROUP_BYTES; where languages need more than one group, texts pass the groups one after the other, with the
+least counts so far written in between, so neither a worker's memory nor a broadcast grows with the languages.
+More than MOST_LANGUAGES labels are refused: then ``lang`` is no language.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any labelled row every text
 is ``und``; equal counts go to the language first in order; repeated rows are scored as often as they come; texts of any
@@ -23,14 +28,14 @@ are replaced.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import materialize, slices
 
 SAMPLE_DOCS, SAMPLE_LETTERS, SAMPLE_TEXT, WINDOWS = 64, 20_000, 2_500, 16
 #: Letters with a symbol of their own, and the digits of base 2 ** BITS that spell others.
@@ -39,7 +44,10 @@ ESCAPE = FREQUENT + 1
 #: Bytes of text that step through the automata side by side; bounds a task's memory only.
 SLICE = 2 << 20
 UNDETERMINED = "und"
-MISS = np.int32(-(2**31))
+#: A count that no text has.
+NEVER = 2**62
+#: Bytes of automata in a worker at once, and labels that a sample may have.
+GROUP_BYTES, MOST_LANGUAGES = 64 << 20, 8192
 
 
 def held_out() -> F.Column:
@@ -118,30 +126,67 @@ def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return sym.astype(np.uint8), first, text, letters
 
 
+def double_array(follow: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(owner, target, root): a state is a place of its own, b; its transition by c is at b + c, where the owner is b.
+
+    States with many transitions are placed first, each where its own places are free; those with one fill the gaps.
+    """
+    taken, used = bytearray(4 * len(follow) + 2 * width), bytearray(4 * len(follow) + 2 * width)
+    place, start, several = [0] * len(follow), 0, True
+    for s in sorted(range(len(follow)), key=lambda s: -len(follow[s])):
+        marks = sorted(follow[s]) or [0]
+        if several and len(marks) == 1:
+            start, several = 0, False
+        at, tries = taken.find(0, max(start, marks[0])), 0
+        while True:
+            if at < 0 or at + width >= len(taken):
+                at = len(taken) if at < 0 else at
+                taken.extend(bytes(len(taken)))
+                used.extend(bytes(len(used)))
+            b = at - marks[0]
+            if not used[b] and not any(taken[b + c] for c in marks):
+                break
+            at, tries = taken.find(0, at + 1), tries + 1
+        if tries > 32:
+            start = at
+        used[b] = 1
+        place[s] = b
+        for c in follow[s]:
+            taken[b + c] = 1
+    owner = np.full(max(place) + width, -1, np.int32)
+    target = np.zeros(len(owner), np.int32)
+    for s, edges in enumerate(follow):
+        for c, z in edges.items():
+            owner[place[s] + c], target[place[s] + c] = place[s], place[z]
+    return owner, target, place[0]
+
+
 class CrossParser:
-    """The automata of all languages as one table: entry [state, symbol] is the next state, with MISS added where a
-    phrase ends before the symbol and the next one begins with it."""
+    """The automata of some languages as one double array; ``restart`` has the state of each language after a phrase that
+    begins with a symbol.  ``table`` has the symbols of all languages that are compared."""
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, str], table: np.ndarray | None = None):
         self.languages = sorted(samples)
-        self.table = symbol_table(samples)
-        self.width = int(self.table.max()) + 1
-        self.width = ESCAPE + 1 + (1 << BITS)
-        tables, self.roots, base = [], [], 0
+        self.table = symbol_table(samples) if table is None else table
+        width, base = ESCAPE + 1 + (1 << BITS), 0
+        owners, targets, self.roots, restarts = [], [], [], []
         for name in self.languages:
             own, _, _, _ = symbols([samples[name]], self.table)
-            follow = suffix_automaton(own.tolist())
-            restart = np.full(self.width, base, np.int64)
-            for c, s in follow[0].items():
-                restart[c] = base + s * self.width
-            dense = np.tile((restart + int(MISS)).astype(np.int32), (len(follow), 1))
-            for s, edges in enumerate(follow):
-                for c, z in edges.items():
-                    dense[s, c] = base + z * self.width
-            tables.append(dense.ravel())
-            self.roots.append(base)
-            base += dense.size
-        self.next = np.concatenate(tables) if tables else np.empty(0, np.int32)
+            owner, target, root = double_array(suffix_automaton(own.tolist()), width)
+            here = slice(root, root + width)
+            restarts.append(base + np.where(owner[here] == root, target[here], root))
+            self.roots.append(base + root)
+            owners.append(np.where(owner < 0, owner, owner + base))
+            targets.append(target + base)
+            base += len(owner)
+        none = np.empty(0, np.int32)
+        self.owner = np.concatenate(owners or [none]).astype(np.int32)
+        self.target = np.concatenate(targets or [none]).astype(np.int32)
+        self.restart = np.array(restarts, np.int32).reshape(len(self.languages), width)
+
+    @property
+    def size(self) -> int:
+        return self.owner.nbytes + self.target.nbytes + self.restart.nbytes
 
     def phrases(self, sym: np.ndarray, first: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
         """Phrases of each text (column) by each language (row)."""
@@ -154,10 +199,12 @@ class CrossParser:
         count = np.ones(state.shape, np.int32)
         for t, m in enumerate(active.tolist()):
             c = sym[start[:m] + t].astype(np.int32)
-            went = self.next[state[:, :m] + c]
+            now = state[:, :m]
+            at = now + c
+            hit = self.owner[at] == now
             if t:
-                count[:, :m] -= went >> 31
-            state[:, :m] = went & 0x7FFFFFFF
+                count[:, :m] += ~hit
+            state[:, :m] = np.where(hit, self.target[at], self.restart[:, c])
         return np.stack([np.bincount(text, row, texts) for row in count]) if len(count) else np.empty((0, texts))
 
 
@@ -169,7 +216,13 @@ def sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, letters: int = SAMPLE_
     place = F.row_number().over(Window.partitionBy("lang").orderBy(n > SAMPLE_TEXT, F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
     spread = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.substring("text", (1 + F.floor((n - letters // WINDOWS) * k / (WINDOWS - 1))).cast("int"), F.lit(letters // WINDOWS)))
     body = F.when(n > letters, F.array_join(spread, "\n")).otherwise(F.col("text")).alias("body")
-    rows = labelled.select("lang", "doc_id", body, place.alias("place")).where(F.col("place") <= docs_each).collect()
+    drawn = labelled.select("lang", "doc_id", body, place.alias("place")).where(F.col("place") <= docs_each)
+    ahead = F.coalesce(F.sum(F.char_length("body")).over(Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    drawn = drawn.withColumn("ahead", ahead).where(F.col("ahead") < letters)
+    labels = labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if labels > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
+    rows = drawn.collect()
     texts: dict[str, list[str]] = {}
     held: Counter[str] = Counter()
     for r in sorted(rows, key=lambda r: (r["lang"], r["place"])):
@@ -179,33 +232,60 @@ def sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, letters: int = SAMPLE_
     return {k: "\n".join(v) for k, v in texts.items() if any(c.isalpha() for t in v for c in t)}
 
 
-def identify(docs: DataFrame, parser: CrossParser | None = None) -> DataFrame:
-    """All columns of docs with lang_pred and score, 1 - (phrases of the winner / phrases of the runner-up)."""
-    docs = docs.drop("lang_pred", "score")
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(parser or CrossParser(sample(docs)))
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    names = [f.name for f in schema.fields]
+def parsers(samples: dict[str, str], most: int = GROUP_BYTES) -> Iterator[CrossParser]:
+    """Parsers of groups of languages, in order, each of about ``most`` bytes (of one language at least)."""
+    table = symbol_table(samples)
+    whole = 32 * SAMPLE_LETTERS  # bytes of a full sample's automaton
+    group: dict[str, str] = {}
+    for name in sorted(samples):
+        if group and (len(group) + 1) * whole > most:
+            yield CrossParser(group, table)
+            group = {}
+        group[name] = samples[name]
+    yield CrossParser(group, table)
+
+
+def _scored(docs: DataFrame, parser: CrossParser) -> DataFrame:
+    """docs whose last three columns are the language with the least phrases so far and the two least counts; null at first."""
+    shared = docs.sparkSession.sparkContext.broadcast(parser)
+    names = docs.columns
+    at = range(len(names) - 3, len(names))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        names_of = np.array([*model.languages, UNDETERMINED], object)
+        languages = np.array(model.languages, object)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 sym, first, line_of, letters = symbols(texts, model.table)
-                best, sure = np.full(len(texts), len(model.languages)), np.zeros(len(texts))
-                if model.languages:
-                    need = model.phrases(sym, first, line_of, len(texts))
-                    two = np.sort(need, axis=0)[:2]
-                    best = np.where(letters > 0, need.argmin(axis=0), best)
-                    sure = np.where(letters > 0, 1 - two[0] / two[-1] if len(two) > 1 else 1.0, 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names_of[best], pa.string()), pa.array(sure, pa.float64())], names=names)
+                before = [np.array([NEVER if v is None else v for v in part.column(c).to_pylist()], np.int64) for c in at[1:]]
+                best = np.array(part.column(at[0]).to_pylist(), object)
+                need = model.phrases(sym, first, line_of, len(texts)).astype(np.int64)
+                if len(need):
+                    better = need.min(axis=0) < before[0]  # equal counts go to the earlier language
+                    best = np.where(letters > 0, np.where(better, languages[need.argmin(axis=0)], best), None)
+                two = np.sort(np.concatenate([need, before]), axis=0)[:2]
+                new = {at[0]: pa.array(best, pa.string()), at[1]: pa.array(two[0], pa.int64()), at[2]: pa.array(two[1], pa.int64())}
+                yield pa.RecordBatch.from_arrays([new.get(k, c) for k, c in enumerate(part.columns)], names=names)
+
+    return docs.mapInArrow(score, docs.schema)
 
-    return docs.mapInArrow(score, schema)
+
+def identify(docs: DataFrame, groups: CrossParser | Iterable[CrossParser] | None = None) -> DataFrame:
+    """All columns of docs with lang_pred and score, 1 - (phrases of the winner / phrases of the runner-up); by one parser, or
+    by those of several groups of languages."""
+    docs = docs.drop("lang_pred", "score")
+    kept = docs.columns
+    best, least, then = (f"{max(kept, key=len)}_{k}" for k in ("best", "least", "next"))  # longer than any name there is
+    groups = parsers(sample(docs)) if groups is None else [groups] if isinstance(groups, CrossParser) else groups
+    docs = docs.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in ((best, "string"), (least, "long"), (then, "long"))])
+    for k, parser in enumerate(groups):
+        docs = _scored(materialize(docs) if k else docs, parser)
+    sure = F.when(F.col(then) == NEVER, 1.0).otherwise(1 - F.col(least) / F.col(then))
+    return docs.select(*kept, F.coalesce(best, F.lit(UNDETERMINED)).alias("lang_pred"), F.when(F.col(best).isNull(), 0.0).otherwise(sure).alias("score"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = identify(docs.select("doc_id", "text"), CrossParser(sample(docs)))
+    found = identify(docs.select("doc_id", "text"), parsers(sample(docs)))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
