@@ -32,8 +32,8 @@ def test_bdf_channels(spark, tmp_path):
     assert bdf.read_channel(spark, str(tmp_path), "EEG").count() == 0
 
 
-def _avi(frames, segments=1, pad=0):
-    w, h = 2, 2
+def _avi(frames, segments=1, pad=0, side=2):
+    w = h = side
     strh = b"vids" + b"DIB " + b"\0" * 12 + struct.pack("<4I", 1, 25, 0, len(frames)) + b"\0" * 16
     strf = struct.pack("<IiiHHI", 40, w, h, 1, 24, 0) + b"\0" * 20
     chunk = lambda name, body: name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)

@@ -1,4 +1,4 @@
-"""python -m tidegrid: splits of a manifest, training and scoring, metrics of runs, and registered queries, from tables to tables."""
+"""python -m tidegrid: maps of videos, splits of a manifest, training and scoring, metrics of runs, and registered queries, from tables to tables."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import build
 from .config import DEFAULT
-from .operators import experiment, metrics, splits, training
+from .operators import catalog, experiment, metrics, splits, training
 from .plans import registry
 
 READOUTS = ("psd_sum", "mean", "median", "snr_mean")
@@ -45,7 +46,14 @@ def parser() -> argparse.ArgumentParser:
     four.add_argument("--replicas", type=int, default=1, help="batches whose gradients make one step")
     four.add_argument("--tag", default="run")
     four.add_argument("--readout", choices=READOUTS, default=READOUTS[0])
-    for each in (one, two, three, four):
+    five = commands.add_parser("maps", help="maps of sessions with raw AVI videos; what is stored already is not done again")
+    five.add_argument("--sessions", required=True, help="rows (sid, dataset, fps, video, and descriptors)")
+    five.add_argument("--videos", required=True, help="folder of the videos")
+    five.add_argument("--detections", help="rows (sid, frame, x, y, w, h, score); none: frames are cropped already")
+    five.add_argument("--limit", type=int, help="sessions of each dataset")
+    five.add_argument("--retry-skipped", action="store_true", help="only sessions that are not finished")
+    five.add_argument("--jobs", type=int, help="tasks that read videos at a time")
+    for each in (one, two, three, four, five):
         each.add_argument("--out", required=True)
         each.add_argument("--force", action="store_true", help="replace what is there")
     return top
@@ -60,6 +68,16 @@ def train(spark: SparkSession, args: argparse.Namespace) -> None:
         rows.write.mode("overwrite" if args.force else "error").parquet(f"{args.out}/{name}")
 
 
+def build_maps(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Stores maps and records below --out, and prints the number of sessions by status."""
+    none = spark.createDataFrame([], "sid string, frame int, x double, y double, w double, h double, score double")
+    seen = spark.read.parquet(args.detections) if args.detections else none
+    rows = build.video_maps(
+        spark.read.parquet(args.sessions), args.videos, seen, args.out, args.jobs, limit=args.limit, retry_skipped=args.retry_skipped, force=args.force, whole=not args.detections
+    )
+    catalog.status_histogram(rows).show(truncate=False)
+
+
 def result(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.command == "query":
         return registry.queries()[args.name](spark, args.data)
@@ -77,6 +95,9 @@ def main(argv: Sequence[str] | None = None) -> None:
     if args.command == "train":
         train(spark, args)
         return
+    if args.command == "maps":
+        build_maps(spark, args)
+        return
     result(spark, args).write.mode("overwrite" if args.force else "error").parquet(args.out)
 
 

@@ -32,7 +32,8 @@ SPAN = 256
 MOST_SESSIONS = 500_000
 
 
-def _written(rows: DataFrame, name: str) -> DataFrame:
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table of the shared folder."""
     path = shared_folder(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
@@ -110,8 +111,8 @@ def session_maps(
     """(records, maps): a record (sid, status, reason, T, ...) of each session (sid, width, height, fps), and maps (sid, roi, x) of
     those that are ok, at the target rate."""
     boxed = boxes(sessions, detections, whole)
-    cropped = _written(crops(frames, boxed, side), "crops")
-    means = _written(motion_columns(cropped, side, grid, span), "means")
+    cropped = written(crops(frames, boxed, side), "crops")
+    means = written(motion_columns(cropped, side, grid, span), "means")
     long = means.where("means is not null").select("sid", "frame", F.posexplode("means").alias("roi", "v"))
     series = to_series(long, ["sid", "roi"], ["frame"], "v").join(sessions.select("sid", "fps"), "sid")
 
@@ -150,7 +151,7 @@ def session_maps_in_waves(
     maps: DataFrame | None = None
     for wave in range(1, waves + 1):
         told, found = session_maps(todo, frames_of(todo), detections, **settings)
-        told, found = _written(told.withColumn("wave", F.lit(wave)), "records"), _written(found, "maps")
+        told, found = written(told.withColumn("wave", F.lit(wave)), "records"), written(found, "maps")
         again = (F.col("status") == "error") | (F.col("reason") == "no_frames")
         failed = told.where(again) if wave < waves else told.limit(0)
         kept = told.join(failed.select("sid"), "sid", "left_anti")
@@ -158,6 +159,6 @@ def session_maps_in_waves(
         maps = found if maps is None else maps.unionByName(found)
         if failed.isEmpty():
             break
-        todo = _written(todo.join(failed.select("sid"), "sid", "left_semi"), "sessions")
+        todo = written(todo.join(failed.select("sid"), "sid", "left_semi"), "sessions")
         time.sleep(wait_s)
     return records, maps
