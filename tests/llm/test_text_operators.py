@@ -1,5 +1,6 @@
 """The text operators on small fixtures: brute force, exact round trips, held-out accuracy, and the odd cases."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -323,6 +324,24 @@ def test_pieces_follow_the_content(spark):
     assert one == 1 and put > 0.9 and between > 0.9 and less > 0.9 and other < 0.05
 
 
+def test_trees_compute_each_operand_once(spark):
+    """An operand named within a lambda would be computed again for each paragraph, so a text of n lines n * n digests."""
+    assert str(fingerprints.sections(F.col("operand"))).count("operand") == 1
+    columns = ("mine", "my_digests", "others", "their_digests")
+    found = str(fingerprints.differing(*map(F.col, columns)))
+    assert found.count("others") == 1 and found.count("mine") == 1
+    lines = [f"line {i} of a long text" for i in range(3000)]
+    row = fingerprints.with_tree(docs_of(spark, ["\n".join(lines)]), "text").first()
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    own, sections = [digest(x) for x in lines], [[]]
+    for i, d in enumerate(own):
+        sections[-1].append(d)
+        if int(d[:2], 16) % fingerprints.SECTION == 0 and i + 1 < len(own):
+            sections.append([])
+    assert row.sections == sections and row.section_digests == [digest("".join(x)) for x in sections]
+    assert row.fingerprint == digest("".join(row.section_digests))
+
+
 def test_differing_branches_locate_edits(spark):
     rnd = random.Random(21)
     lines = ["".join(rnd.choice("abcdef ") for _ in range(30)) for _ in range(60)]

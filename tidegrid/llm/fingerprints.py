@@ -19,6 +19,8 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ _ENDS = r".!?mM\x{3BC}\x{43C}\x{574}\x{5DD}\x{645}\x{92E}"
 _PIECES = rf"(?:[^ \t\n\x0B\f\r]++(?<![{_ENDS}])[ \t\x0B\f\r]++){{0,%d}}[^ \t\n\x0B\f\r]++[ \t\x0B\f\r]*+\n*+|[ \t\n\x0B\f\r]++"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for a row: named within another lambda, it would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def pieces(text: Column, words: int = PIECE) -> Column:
     """64-bit digests of the pieces of a text; the pieces' texts joined are the text."""
     return F.transform(F.regexp_extract_all(text, F.lit(_PIECES % (words - 1)), F.lit(0)), lambda x: F.xxhash64(x))
@@ -42,11 +49,13 @@ def paragraphs(text: Column) -> Column:
 
 def sections(paragraph_digests: Column) -> Column:
     """The sections of a text as arrays of its paragraphs' digests."""
-    n = F.size(paragraph_digests)
-    last = lambda i: (i == n) | (F.conv(F.substring(F.element_at(paragraph_digests, i), 1, 2), 16, 10).cast("int") % SECTION == 0)
-    ends = F.filter(F.sequence(F.lit(1), n), last)
-    before = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
-    return F.zip_with(before, ends, lambda a, z: F.slice(paragraph_digests, a + 1, z - a))
+
+    def cut(p: Column) -> Column:
+        last = lambda i: (i == F.size(p)) | (F.conv(F.substring(F.element_at(p, i), 1, 2), 16, 10).cast("int") % SECTION == 0)
+        before = lambda ends: F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
+        return _once(F.filter(F.sequence(F.lit(1), F.size(p)), last), lambda ends: F.zip_with(before(ends), ends, lambda a, z: F.slice(p, a + 1, z - a)))
+
+    return _once(paragraph_digests, cut)
 
 
 def section_digests(sections_: Column) -> Column:
@@ -69,8 +78,8 @@ def differing(sections_: Column, digests: Column, other_sections: Column, other_
     paragraphs that no differing section of the other has.  Equal sections are not looked into."""
     changed = F.filter(F.zip_with(F.sequence(F.lit(0), F.size(digests) - 1), F.arrays_zip(sections_.alias("s"), digests.alias("d")), lambda i, x: F.struct(i.alias("i"), x["s"].alias("s"), x["d"].alias("d"))), lambda x: ~F.array_contains(other_digests, x["d"]))
     theirs = F.flatten(F.transform(F.filter(F.arrays_zip(other_sections.alias("s"), other_digests.alias("d")), lambda x: ~F.array_contains(digests, x["d"])), lambda x: x["s"]))
-    branch = lambda x: F.filter(F.transform(x["s"], lambda p, k: F.when(~F.array_contains(theirs, p), F.struct(x["i"].alias("section"), k.cast("int").alias("paragraph")))), lambda y: y.isNotNull())
-    return F.flatten(F.transform(changed, branch))
+    branch = lambda x, known: F.filter(F.transform(x["s"], lambda p, k: F.when(~F.array_contains(known, p), F.struct(x["i"].alias("section"), k.cast("int").alias("paragraph")))), lambda y: y.isNotNull())
+    return _once(theirs, lambda known: F.flatten(F.transform(changed, lambda x: branch(x, known))))
 
 
 def likeness(one: Column, two: Column) -> Column:
