@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -649,6 +650,24 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(kept)
 
 
+def test_blocks_are_compared_in_bounded_memory(monkeypatch):
+    rnd = np.random.default_rng(9)
+    pool = rnd.integers(0, 2**64, 200_000, dtype=np.uint64)
+    one, two = ([np.unique(rnd.choice(pool, 600)) for _ in range(1000)] for _ in range(2))
+    tracemalloc.start()
+    both = jaccard_join._shared(one, two)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20  # 74 MB with all 1.2 million members in order at once
+    assert all(both[a, b] == len(np.intersect1d(one[a], two[b])) for a, b in zip(range(0, 1000, 7), range(999, 0, -7)))
+    for held in (7, 50, 5000):  # few members at a time, and members of many sets
+        monkeypatch.setattr(jaccard_join, "HELD_MEMBERS", held)
+        monkeypatch.setattr(jaccard_join, "STRIP", 5)
+        one, two = ([np.unique(rnd.choice(pool[:60], rnd.integers(0, 40))) for _ in range(n)] for n in (33, 29))
+        assert jaccard_join._shared(one, two).tolist() == [[len(np.intersect1d(x, y)) for y in two] for x in one]
+    assert jaccard_join._shared([], two).shape == (0, 29) and not jaccard_join._shared([np.empty(0, np.uint64)], [np.empty(0, np.uint64)]).any()
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark):
     import corpus_pipeline
 

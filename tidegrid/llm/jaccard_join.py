@@ -59,6 +59,9 @@ MOST_BROADCAST = 1_000_000
 FEW = 16
 #: Keys and pairs that a task holds before it hands them on; they bound its memory only.
 HELD_KEYS, HELD_PAIRS = 800_000, 400_000
+#: Members of two blocks that are put in order at a time, columns of an incidence matrix, and rows of a block that are
+#: compared with another block at a time; they bound memory only.
+HELD_MEMBERS, COLUMNS, STRIP = 400_000, 512, 256
 #: Classes beyond what the differences and the slack need, as a share of tau: pairs must share so many regions more.
 EXTRA = 0.15
 #: Shingles of one document in SHARE are counted to find common ones, of more where there are fewer than SAMPLE; how many of
@@ -309,42 +312,58 @@ def _shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all sets of one list with all of the other.
 
     Members that the same sets have count together.  What up to FEW sets have goes pair by pair, the rest by products of
-    incidence matrices.
+    incidence matrices.  Sets are sorted, so members are taken range by range, about HELD_MEMBERS at a time.
     """
-    n_one, n_two = len(one), len(two)
-    both = np.zeros(n_one * n_two)
-    if not n_one or not n_two:
-        return both.reshape(n_one, n_two)
-    sizes = np.array([len(x) for x in one + two])
-    _, element, times = np.unique(np.concatenate(one + two), return_inverse=True, return_counts=True)
-    row, shared = np.repeat(np.arange(len(sizes)), sizes), times[element] > 1
-    row, element = row[shared], element[shared]
-    order = np.argsort(element, kind="stable")
-    row, element = row[order], element[order]
-    first = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]])) if len(row) else np.zeros(0, np.int64)
-    if not len(first):
-        return both.reshape(n_one, n_two)
-    size = np.diff([*first, len(row)])
+    both = np.zeros((len(one), len(two)), np.int32)
+    if not len(one) or not len(two):
+        return both
+    sets = one + two
+    parts = 1 + sum(map(len, sets)) // HELD_MEMBERS
+    cuts = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    places = [[0, *np.searchsorted(x, cuts).tolist(), len(x)] for x in sets]
+    for k in range(parts):
+        _add_shared(both, [x[at[k] : at[k + 1]] for x, at in zip(sets, places)])
+    return both
+
+
+def _add_shared(both: np.ndarray, sets: list[np.ndarray]) -> None:
+    """Adds the sizes of the intersections of the first sets, one for each row of ``both``, with the others."""
+    n_one, n_two = both.shape
+    sizes = np.array([len(x) for x in sets])
+    every = np.concatenate(sets)
+    if not len(every):
+        return
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    size = np.diff(np.append(first, len(row)))
+    row, size = row[np.repeat(size > 1, size)], size[size > 1]
+    if not len(size):
+        return
+    first = np.cumsum(size) - size
     _, kind, weight = np.unique(np.add.reduceat(mix64(row + 1), first), return_index=True, return_counts=True)
-    first, size = first[kind], size[kind]
+    first, size, weight = first[kind], size[kind], weight.astype(np.int32)
+    flat = both.reshape(-1)
     for s in range(2, FEW + 1):
         own, times = first[size == s], weight[size == s]
         i, j = np.triu_indices(s, 1)
-        step = max(1, 2_000_000 // len(i))
+        step = max(1, HELD_PAIRS // len(i))
         for at in range(0, len(own), step):
             rows = row[own[at : at + step, None] + np.arange(s)]
             x, y, w = rows[:, i].ravel(), rows[:, j].ravel(), np.repeat(times[at : at + step], len(i))
             cross = (x < n_one) & (y >= n_one)
-            both += np.bincount(x[cross] * n_two + y[cross] - n_one, w[cross], len(both))
-    both = both.reshape(n_one, n_two)
+            np.add.at(flat, x[cross].astype(np.int64) * n_two + (y[cross] - n_one), w[cross])
     many = np.flatnonzero(size > FEW)
-    for at in range(0, len(many), 1024):
-        own = many[at : at + 1024]
+    for at in range(0, len(many), COLUMNS):
+        own = many[at : at + COLUMNS]
         dense = np.zeros((len(sizes), len(own)), np.float32)
         for k, m in enumerate(own.tolist()):
             dense[row[first[m] : first[m] + size[m]], k] = 1
-        both += (dense[:n_one] * weight[own].astype(np.float32)) @ dense[n_one:].T
-    return both
+        other = (dense[n_one:] * weight[own].astype(np.float32)).T
+        for a in range(0, n_one, STRIP):
+            z = min(a + STRIP, n_one)
+            both[a:z] += (dense[a:z] @ other).astype(np.int32)
 
 
 def assign(members: np.ndarray, elements: np.ndarray, incidence: np.ndarray, sizes: np.ndarray, r: float) -> tuple[int, np.ndarray, np.ndarray]:
@@ -436,10 +455,15 @@ def _join_blocks(words: int, percent: int) -> Callable:
                 return
             (_, _, node_l, home_l, label_l, sets_l), (_, _, node_r, home_r, label_r, sets_r) = zip(*left), zip(*right)
             both = _shared(list(sets_l), list(sets_r))
-            either = np.array([len(x) for x in sets_l])[:, None] + np.array([len(x) for x in sets_r]) - both
-            node_l, node_r = np.array(node_l), np.array(node_r)
-            linked = (100 * both >= percent * either) & (both > 0) & (node_l[:, None] != node_r) & (np.array(label_l)[:, None] != np.array(label_r))
-            linked &= np.array(home_l)[:, None] | np.array(home_r)
+            size_l, size_r = (np.array([len(x) for x in own]) for own in (sets_l, sets_r))
+            node_l, node_r, home_l, home_r, label_l, label_r = map(np.array, (node_l, node_r, home_l, home_r, label_l, label_r))
+            linked = np.zeros(both.shape, bool)
+            for at in range(0, len(left), STRIP):
+                z = slice(at, at + STRIP)
+                same = both[z].astype(np.int64)
+                found = (100 * same >= percent * (size_l[z, None] + size_r - same)) & (same > 0) & (node_l[z, None] != node_r)
+                linked[z] = found & (label_l[z, None] != label_r) & (home_l[z, None] | home_r)
+            del both
             a, b = [], []
             new_l, new_r = linked.any(axis=1), linked.any(axis=0)
             for seed in np.flatnonzero(new_l).tolist():
