@@ -1,5 +1,6 @@
 """The text operators on small fixtures: brute force, exact round trips, held-out accuracy, and the odd cases."""
 
+import copy
 import hashlib
 import itertools
 import math
@@ -668,6 +669,23 @@ def test_blocks_are_compared_in_bounded_memory(monkeypatch):
     assert jaccard_join._shared([], two).shape == (0, 29) and not jaccard_join._shared([np.empty(0, np.uint64)], [np.empty(0, np.uint64)]).any()
 
 
+def test_search_for_a_piece_ends_at_an_empty_slot():
+    class Counted:
+        def __init__(self, values):
+            self.values, self.read = values, 0
+
+        def __getitem__(self, at):
+            self.read += len(at)
+            return self.values[at]
+
+    words = copy.copy(sentencepiece_sampling._vocabulary(sentencepiece_sampling.VOCABULARY, 0.5))
+    used = np.flatnonzero(words.ids >= 0)
+    assert (words.find(words.keys[used]) == words.ids[used]).all()
+    words.keys = Counted(words.keys)
+    assert (words.find(np.random.default_rng(5).integers(0, 2**64, 10_000, dtype=np.uint64)) < 0).all()
+    assert words.keys.read < 20_000 and len(words.find(np.empty(0, np.uint64))) == 0
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark):
     import corpus_pipeline
 

@@ -17,7 +17,9 @@ segmentation; an empty table gives an empty result; further columns stay, but fo
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -80,21 +82,23 @@ class Vocabulary:
         sums, down = _prefix_sums(_points("".join(names)))
         first = np.cumsum(sizes) - sizes
         keys = mix64((sums[first + sizes] - sums[first]) * down[first] + sizes.astype(np.uint64))
-        self.keys, self.ids, self.probes = np.zeros((1 << _SLOTS) + 64, np.uint64), np.full((1 << _SLOTS) + 64, -1, np.int32), 1
+        self.keys, self.ids = np.zeros((1 << _SLOTS) + 64, np.uint64), np.full((1 << _SLOTS) + 64, -1, np.int32)
         for key, name in zip(keys.tolist(), names):
-            slot = at = key >> (64 - _SLOTS)
+            at = key >> (64 - _SLOTS)
             while self.ids[at] >= 0:
                 at += 1
             self.keys[at], self.ids[at] = key, number[name]
-            self.probes = max(self.probes, at - slot + 1)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Piece of each key, -1 where there is none."""
         slot = (keys >> _U(64 - _SLOTS)).astype(np.int64)
-        found = np.full(len(keys), -1, np.int32)
-        for probe in range(self.probes):
-            hit = self.keys[slot + probe] == keys
-            found[hit] = self.ids[slot[hit] + probe]
+        found = self.ids[slot]
+        other = np.flatnonzero((self.keys[slot] != keys) & (found >= 0))  # an empty slot ends a search
+        while len(other):
+            slot[other] += 1
+            at = slot[other]
+            found[other] = self.ids[at]
+            other = other[(self.keys[at] != keys[other]) & (found[other] >= 0)]
         return found
 
     def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -118,9 +122,9 @@ class Lattices:
         offset = np.arange(len(points)) - np.repeat(first, self.size)
         room = np.repeat(self.size, self.size) - offset
         sums, down = _prefix_sums(points)
-        starts, lengths, ids = [], [], []
+        starts, lengths, ids, at = [], [], [], np.arange(len(points))
         for n in range(1, words.longest + 1):
-            at = np.flatnonzero(room >= n)
+            at = at[room[at] >= n]
             if not len(at):
                 break
             found = words.find(mix64((sums[at + n] - sums[at]) * down[at] + _U(n)))
@@ -131,9 +135,12 @@ class Lattices:
             lengths.append(np.full(hit.sum(), n))
             ids.append(found[hit].astype(np.int64))
         start, length, ids = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (starts, lengths, ids))
-        weight = np.where(ids >= 0, words.weight[np.maximum(ids, 0)], words.weight[-1]) * _PER_CHARACTER**length
+        weight = np.where(ids >= 0, words.weight[np.maximum(ids, 0)], words.weight[-1]) * (_PER_CHARACTER ** np.arange(words.longest + 1))[length]
         end = start + length - 1  # the character that an edge ends with stands for the node after it
-        order = np.lexsort((length, end, offset[end]))
+        if len(points) * int(self.size.max(initial=0)) < 2**62 // (words.longest + 1):
+            order = np.argsort((offset[end] * len(points) + end) * (words.longest + 1) + length)
+        else:
+            order = np.lexsort((length, end, offset[end]))
         start, length, end, self.ids, weight = start[order], length[order], end[order], ids[order], weight[order]
         self.length = length
         forward = np.zeros(len(points))
@@ -146,7 +153,7 @@ class Lattices:
             own = groups[np.searchsorted(groups, a) : np.searchsorted(groups, z)] - a
             total = np.add.reduceat(way, own)
             forward[end[a:z][own]] = total
-            share[a:z] = way / np.repeat(total, np.diff([*own, z - a]))
+            share[a:z] = way / np.repeat(total, np.diff(np.append(own, z - a)))
             here = offset[end[a]] if z > a else 0
             if here and here % max(RESCALE, words.longest + 1) == 0:
                 last = end[a:z][own]
@@ -187,12 +194,12 @@ _UNIT = re.compile(" *[^ ]+| +")
 
 def segment(texts: list[str], keys: np.ndarray, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Sampled piece ids of all texts in one array, and the pieces of each text."""
-    index: dict[str, int] = {}
+    index: dict[str, int] = defaultdict(itertools.count().__next__)
     of, number = [], []
     for text in texts:
-        own = [index.setdefault(u, len(index)) for u in _UNIT.findall(text)]
-        of += own
-        number.append(len(own))
+        before = len(of)
+        of.extend(map(index.__getitem__, _UNIT.findall(text)))
+        number.append(len(of) - before)
     number = np.array(number, np.int64)
     unit = np.array(of, np.int64)
     place = np.arange(len(unit)) - np.repeat(np.cumsum(number) - number, number)
