@@ -33,6 +33,8 @@ from .common import mix64, slices
 MARK = "▁"
 SHARPNESS = 0.5
 VOCABULARY = "piece_bpe_32k.model"
+#: Stands in the table of pieces for what is no piece, but the beginning of one.
+BEGINS = -2
 _U = np.uint64
 _BASE, _SLOTS = 0xC2B2AE3D27D4EB4F, 18
 #: Weights are taken times this for each character, alike for all ways; every RESCALE characters the sums of a unit are
@@ -77,6 +79,7 @@ class Vocabulary:
         self.letters = np.frombuffer(b"".join(self.spelled), np.uint8)
         self.weight = (2.0 + np.arange(model.vocab_size())) ** -sharpness
         self.longest = max(map(len, number))
+        number = {name[:k]: BEGINS for name in number for k in range(1, len(name))} | number
         names = list(number)
         sizes = np.array([len(x) for x in names])
         sums, down = _prefix_sums(_points("".join(names)))
@@ -85,20 +88,20 @@ class Vocabulary:
         self.keys, self.ids = np.zeros((1 << _SLOTS) + 64, np.uint64), np.full((1 << _SLOTS) + 64, -1, np.int32)
         for key, name in zip(keys.tolist(), names):
             at = key >> (64 - _SLOTS)
-            while self.ids[at] >= 0:
+            while self.ids[at] != -1:
                 at += 1
             self.keys[at], self.ids[at] = key, number[name]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Piece of each key, -1 where there is none."""
+        """Piece of each key, BEGINS where pieces only begin so, -1 where none does."""
         slot = (keys >> _U(64 - _SLOTS)).astype(np.int64)
         found = self.ids[slot]
-        other = np.flatnonzero((self.keys[slot] != keys) & (found >= 0))  # an empty slot ends a search
+        other = np.flatnonzero((self.keys[slot] != keys) & (found != -1))  # an empty slot ends a search
         while len(other):
             slot[other] += 1
             at = slot[other]
             found[other] = self.ids[at]
-            other = other[(self.keys[at] != keys[other]) & (found[other] >= 0)]
+            other = other[(self.keys[at] != keys[other]) & (found[other] != -1)]
         return found
 
     def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -128,10 +131,11 @@ class Lattices:
             if not len(at):
                 break
             found = words.find(mix64((sums[at + n] - sums[at]) * down[at] + _U(n)))
+            here, at = at, at[found != -1]
             if n == 1:
-                found = np.where(found < 0, -1 - points[at].astype(np.int64), found)
-            hit = np.ones(len(at), bool) if n == 1 else found >= 0
-            starts.append(at[hit])
+                found = np.where(found < 0, -1 - points[here].astype(np.int64), found)
+            hit = np.ones(len(here), bool) if n == 1 else found >= 0
+            starts.append(here[hit])
             lengths.append(np.full(hit.sum(), n))
             ids.append(found[hit].astype(np.int64))
         start, length, ids = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (starts, lengths, ids))
