@@ -4,13 +4,17 @@ import copy
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +58,46 @@ def test_suffix_dedup_of_repeated_rows_and_long_texts(spark):
     assert got[4, "unlike " + long[::-1][:300]].decode() == "unlike " + long[::-1][:300] and got[5, "both " * 3] == b""
 
 
+def test_suffix_dedup_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HELD", 64)
+    test_suffix_dedup_against_brute_force(spark)
+
+
+def test_suffix_dedup_sends_hot_windows_in_blocks():
+    size, n = 30_000, 40
+    marks = [[{"first": 0, "n": size - 199, "left": 0, "trigger": 1, "kind": 2}]] * n
+    texts = ["".join(random.Random(i).choices("abcdefgh ", k=size)) for i in range(n)]
+    batch = pa.RecordBatch.from_pydict({"row_key": list(range(n)), "text": texts, "marks": marks})
+    sent = list(suffix_dedup._emit_bytes(200, 4)(iter([batch])))
+    assert sum(len(x) for b in sent for x in b.column("head").to_pylist()) == n * (size - 199) * suffix_dedup._WINDOW.itemsize
+    assert all(b.nbytes < 10 << 20 for b in sent)
+
+
+KEPT = """
+import random, re
+import pyarrow as pa
+from tidegrid.llm import suffix_dedup
+
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read()).group(1)) / 1024
+
+def batch(seed):
+    texts = ["".join(random.Random(seed * 5000 + i).choices("abcdefgh ", k=3000)) for i in range(4000)]
+    return pa.RecordBatch.from_pydict({"row_key": list(range(4000)), "text": texts})
+
+emit, start = suffix_dedup._emit_phrases(200, 64, 100), held()
+for seed in range(2):
+    assert sum(b.num_rows for b in emit(batch(seed) for _ in range(1))) >= 100
+print(held() - start)
+"""
+
+
+def test_a_worker_gives_back_what_a_task_took():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    ran = subprocess.run([sys.executable, "-c", KEPT], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": root})
+    assert float(ran.stdout) < 50, ran.stderr
+
+
 def _components(rows, words, percent):
     sets = {}
     for i, t in rows:

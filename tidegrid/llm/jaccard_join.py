@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_bucket, materialize, mix64, partitions, slices
+from .common import HASH_SLICE, by_bucket, materialize, mix64, partitions, released, slices
 from .components import components
 from .shingles import set_digest, shingle_sets
 
@@ -124,9 +124,10 @@ def class_keys(members: np.ndarray, levels: Levels, common: np.ndarray) -> np.nd
 
 
 def _measure(words: int) -> Callable:
+    @released
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", HASH_SLICE):
                 sets = shingle_sets(part.column("text").to_pylist(), words)
                 n, node = [len(x) for x in sets], [set_digest(x) for x in sets]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "row_key", "n_shingles", "node"])
@@ -153,9 +154,10 @@ _BLOCK = ("bucket", "kind", "nodes", "times", "high", "low")
 
 
 def _count_shingles(words: int) -> Callable:
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [x for part in slices(batch, "text", 1 << 20) for x in shingle_sets(part.column("text").to_pylist(), words)]
+            sets = [x for part in slices(batch, "text", HASH_SLICE) for x in shingle_sets(part.column("text").to_pylist(), words)]
             if sets:
                 found, times = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], names=["shingle", "times"])
@@ -193,11 +195,12 @@ def _emit_keys(words: int, percent: int, buckets: int, shared) -> Callable:
         kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=_BLOCK)
 
+    @released
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
         for batch in batches:
             blocks, seen, held = [], set(), 0
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", HASH_SLICE):
                 for members in shingle_sets(part.column("text").to_pylist(), words):
                     node = set_digest(members)
                     if len(members) and node not in seen:
@@ -228,6 +231,7 @@ def _rows(a: np.ndarray, b: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64, copy=False)) for x in (a, b, times)], names=["a", "b", "times"])
 
 
+@released
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, times): pairs of small groups with how many they share here, or key, node and 0 of large groups.
 
@@ -276,6 +280,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _possible(percent: int) -> Callable:
     levels = Levels(percent)
 
+    @released
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = levels.possible(*(batch.column(k).to_numpy() for k in ("n_a", "n_b", "times")))
@@ -287,9 +292,10 @@ def _possible(percent: int) -> Callable:
 def _decide(words: int) -> Callable:
     """Sizes of intersection and union of two texts' sets."""
 
+    @released
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text_a", 1 << 20):
+            for part in slices(batch, "text_a", HASH_SLICE):
                 one, two = (shingle_sets(part.column(k).to_pylist(), words) for k in ("text_a", "text_b"))
                 both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(one, two)]
                 union = [len(x) + len(y) - n for x, y, n in zip(one, two, both)]
@@ -388,10 +394,11 @@ def _assign(words: int, percent: int) -> Callable:
     """
     r = (100 - percent) / 100
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, labels, sets, ready = None, [], [], [], None
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", HASH_SLICE):
                 out = []
                 rows = zip(*(part.column(k).to_pylist() for k in ("region", "salt", "pivot", "node", "n_shingles", "home", "label")), shingle_sets(part.column("text").to_pylist(), words))
                 for region, salt, pivot, node, n, home, label, members in rows:
@@ -446,6 +453,7 @@ def _sized(members: DataFrame, *by: str) -> DataFrame:
 def _join_blocks(words: int, percent: int) -> Callable:
     """Links between components: the open members of a block with all members of a chunk; rows come sorted by them."""
 
+    @released
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
@@ -481,7 +489,7 @@ def _join_blocks(words: int, percent: int) -> Callable:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", HASH_SLICE):
                 own = shingle_sets(part.column("text").to_pylist(), words)
                 for *now, left, right, node, home, label, members in zip(*(part.column(k).to_pylist() for k in ("region", "block", "chunk", "left", "right", "node", "home", "label")), own):
                     if now != key:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, released, slices
 
 SAMPLE_DOCS, SAMPLE_LETTERS, SAMPLE_TEXT, WINDOWS = 64, 20_000, 2_500, 16
 #: Letters with a symbol of their own, and the digits of base 2 ** BITS that spell others.
@@ -251,6 +251,7 @@ def _scored(docs: DataFrame, parser: CrossParser) -> DataFrame:
     names = docs.columns
     at = range(len(names) - 3, len(names))
 
+    @released
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         languages = np.array(model.languages, object)

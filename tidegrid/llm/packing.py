@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, slices
+from .common import materialize, partitions, released, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -90,10 +90,11 @@ def _tokenizer(name: str, added: str | None) -> CachedTokenizer:
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.tiktoken", keep_ids: bool = False, added: str | None = None) -> DataFrame:
     """One row per piece of a document (doc_id, text): piece, start, length, CRC-32 of the ids, and the ids if asked."""
 
+    @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = _tokenizer(vocabulary, added).encode, np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 rows: list[tuple] = []
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     ids = encode(text or "") + end
