@@ -9,16 +9,18 @@ import random
 import re
 import subprocess
 import sys
+import time
 import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.llm import chats, components, fingerprints, jaccard_join, language_id, licences, masked_lm, neighbours, packing, sentencepiece_sampling, suffix_dedup
+from tidegrid.llm import chats, common, components, fingerprints, jaccard_join, language_id, licences, masked_lm, neighbours, packing, sentencepiece_sampling, suffix_dedup
 
 ODD = [None, "", " \n\t", "a", "A", "▁ bé \U0001f600", "word " * 3000]
 
@@ -806,3 +808,74 @@ def test_pipeline_against_brute_force(spark, tmp_path):
             rooms.remove(min(fits))
         rooms.append((min(fits) if fits else 2048) - n)
     assert max(used.values()) <= 2048 and len(used) == len(rooms)
+
+
+def _grouped(parts, common=None):
+    """Pairs and large groups of batches of texts, as candidates for 5 words and 80 percent."""
+    shared = SimpleNamespace(value=np.empty(0, jaccard_join._COMMON) if common is None else common)
+    emit = jaccard_join._emit_keys(5, 80, 4, shared)
+    blocks = [x for part in parts for x in emit(iter([pa.RecordBatch.from_arrays([pa.array(part)], names=["text"])]))]
+    pairs, large = set(), {}
+    for a, b, times in (row for x in jaccard_join._groups(iter(blocks)) for row in zip(*(c.to_pylist() for c in x.columns))):
+        if times:
+            pairs.add((a, b))
+        else:
+            large.setdefault(a, set()).add(b)
+    return pairs, large
+
+
+def test_groups_of_shared_passages_hold_no_unrelated_documents(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghijkl") for _ in range(6))
+    passages = [[word() for _ in range(150)] for _ in range(2)]
+    texts = [" ".join([*passages[k % 2], *(word() for _ in range(150))]) for k in range(80)]
+    node = [jaccard_join.set_digest(x) for x in jaccard_join.shingle_sets(texts, 5)]
+    keyed = spark.createDataFrame([(k, t, n) for k, (t, n) in enumerate(zip(texts, node))], "row_key long, text string, node long")
+    common = jaccard_join.common_shingles(keyed.select("row_key", "text"), keyed.select("row_key", "node"), 5)
+    pairs, large = _grouped([texts], common)
+    passage = {n: k % 2 for k, n in enumerate(node)}
+    assert all(len({passage[n] for n in group}) == 1 for group in [*pairs, *large.values()])
+
+
+def test_linked_sets_share_enough_classes():
+    """Whatever part of the shingles is common, and whatever the counts."""
+    rng = np.random.default_rng(5)
+    levels, shingles = jaccard_join.Levels(80), lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    for _ in range(300):
+        n = int(rng.integers(1, 700))
+        both = shingles(n)
+        few = both[: int(rng.integers(0, n + 1))]
+        common = np.empty(len(few), jaccard_join._COMMON)
+        common["shingle"], common["times"] = few, rng.integers(3, 9, len(few))
+        common.sort(order="shingle")
+        x, y = both, np.concatenate([both[int(rng.integers(0, n // 10 + 1)) :], shingles(int(rng.integers(0, n // 10 + 1)))])
+        if 100 * len(np.intersect1d(x, y)) < 80 * len(np.union1d(x, y)):
+            continue
+        keys = [jaccard_join.class_keys(np.unique(s), levels, common) for s in (x, y)]
+        times = len(np.intersect1d(*keys))
+        assert times and levels.possible(np.array([len(x)]), np.array([len(y)]), np.array([times])).all()
+
+
+def test_copies_in_other_batches_make_no_large_group():
+    rnd = random.Random(2)
+    base = [rnd.choice("abcdefghijklmnop") * rnd.randint(1, 3) for _ in range(120)]
+    texts = [" ".join([*base[:k], "zz", *base[k + 1 :]]) for k in (10, 50, 90)]
+    pairs, large = _grouped([texts] * 30)
+    assert not large and len(pairs) == 3
+
+
+def test_a_large_group_of_one_batch_is_whole():
+    rnd = random.Random(3)
+    base = [rnd.choice("abcdefghijklmnop") * rnd.randint(1, 3) for _ in range(200)]
+    pairs, large = _grouped([[" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(40)]])
+    assert large and all(len(group) > jaccard_join.SMALL for group in large.values())
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: set(re.findall(r"shuffle_\w+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    before, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    table = common.materialize(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(10):  # not longer: the driver's garbage goes some time anyway
+        if left := files() - before:
+            time.sleep(0.02)
+    assert not left and spark.conf.get(key) == "false" and len(table.collect()) == 7

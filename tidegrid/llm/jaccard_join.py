@@ -22,8 +22,8 @@ Two documents link when their distance is at most ``r`` = 1 - threshold.
 
 Empty classes would be groups of unrelated documents, and classes of nothing but common shingles (found in a
 sample) groups of documents that share a passage.  The number of classes exceeds ``tau`` by a slack, and a document leaves
-such classes out if there are no more of them than the slack; then others in common remain.  So the sample, one document
-in SHARE, decides on the size of groups only, not on results.
+out as many such classes as the slack allows, empty ones first, then those whose rarest shingle is the most common; then
+others in common remain.  So the sample, one document in SHARE, decides on the size of groups only, not on results.
 Documents with equal sets are one node (a 64-bit digest) throughout.  Every link is decided on whole texts.
 
 Defined results: null texts and texts without words have no shingles and no link; repeated rows are copies; texts of any
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HASH_SLICE, by_bucket, materialize, mix64, partitions, released, slices
+from .common import HASH_SLICE, by_bucket, materialize, mix64, partitions, released, shuffles_removed, slices
 from .components import components
 from .shingles import set_digest, shingle_sets
 
@@ -69,6 +69,7 @@ EXTRA = 0.15
 SHARE, SAMPLE, COMMON, MOST_COMMON = 16, 8192, 3, 1 << 17
 _U = np.uint64
 _ENTRY = np.dtype([("key", "<u8"), ("node", "<i8")])
+_COMMON = np.dtype([("shingle", "<u8"), ("times", "<i8")])
 
 
 class Levels:
@@ -102,24 +103,30 @@ class Levels:
 
 
 def class_keys(members: np.ndarray, levels: Levels, common: np.ndarray) -> np.ndarray:
-    """Keys of a set's parts of all classes of its levels; ``common`` holds the sorted common shingles."""
-    rare = common[np.minimum(np.searchsorted(common, members), len(common) - 1)] != members if len(common) else np.ones(len(members), bool)
+    """Keys of a set's parts of all classes of its levels; ``common`` holds the sorted common shingles with their counts.
+
+    What is left out depends on the parts alone: of two sets that agree in a class, the one that leaves out more of the
+    classes they agree in leaves out all that the other does, so at most ``slack`` of these are missing.
+    """
+    times = np.zeros(len(members), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common["shingle"], members), len(common) - 1)
+        times = np.where(common["shingle"][at] == members, common["times"][at], 0)
     where, value = mix64(members ^ _U(0x2545F4914F6CDD1D)) >> _U(32), mix64(members + _U(0x5851F42D4C957F2D))
     out = []
     for level in levels.of(len(members)):
-        m = levels.classes[level]
+        m, slack = levels.classes[level], levels.slack[level]
         cls = (where * _U(m) >> _U(32)).astype(np.int64)
         order = np.argsort(cls, kind="stable")
         found, first = np.unique(cls[order], return_index=True)
-        sums = np.add.reduceat(value[order], first)
-        strong = np.logical_or.reduceat(rare[order], first)
-        if m - strong.sum() <= levels.slack[level]:
-            found, sums = found[strong], sums[strong]
-        else:
-            found, full = np.arange(m), found
-            sums, parts = np.zeros(m, np.uint64), sums
-            sums[full] = parts
-        out.append(mix64(sums + found.astype(np.uint64) * _U(0xD1342543DE82EF95) + _U(level << 48)))
+        sums, seldom = np.zeros(m, np.uint64), np.full(m, np.iinfo(np.int64).max)
+        sums[found] = np.add.reduceat(value[order], first)
+        seldom[found] = np.minimum.reduceat(times[order], first)
+        keys = mix64(sums + np.arange(m).astype(np.uint64) * _U(0xD1342543DE82EF95) + _U(level << 48))
+        weak = np.flatnonzero(seldom)
+        if len(weak) > slack:
+            weak = weak[np.lexsort((keys[weak], seldom[weak]))[len(weak) - slack :]]
+        out.append(np.delete(keys, weak))
     return np.concatenate(out)
 
 
@@ -165,14 +172,23 @@ def _count_shingles(words: int) -> Callable:
     return count
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """Broadcast in joins with texts if there are at most MOST_BROADCAST."""
+    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
+
+
 def common_shingles(keyed: DataFrame, nodes: DataFrame, words: int) -> np.ndarray:
-    """Sorted shingles of COMMON different sets at least in a sample; MOST_COMMON at most, 1 MB."""
+    """Sorted shingles of COMMON different sets at least in a sample, with their counts; MOST_COMMON at most, 2 MB."""
     share = min(SHARE, max(1, nodes.count() // SAMPLE))
     chosen = nodes.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select("row_key")
-    texts = keyed.select("row_key", "text").where(F.col("text").isNotNull()).join(chosen, "row_key").dropDuplicates(["row_key"])
+    texts = keyed.select("row_key", "text").where(F.col("text").isNotNull()).join(_few(chosen), "row_key").dropDuplicates(["row_key"])
     counted = texts.select("text").mapInArrow(_count_shingles(words), "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("n"))
-    top = counted.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).select("shingle")
-    return np.sort(np.array([r["shingle"] for r in top.collect()], np.int64).view(np.uint64))
+    top = counted.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON)
+    with shuffles_removed(keyed.sparkSession):
+        rows = top.collect()
+    common = np.empty(len(rows), _COMMON)
+    common["shingle"], common["times"] = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64), [r["n"] for r in rows]
+    return np.sort(common, order="shingle")
 
 
 def _emit_keys(words: int, percent: int, buckets: int, shared) -> Callable:
@@ -190,7 +206,7 @@ def _emit_keys(words: int, percent: int, buckets: int, shared) -> Callable:
         out = []
         for kind, chosen in ((0, every[~many]), (1, every[many & new])):
             out += [(b, kind, *_pack(chosen[x])) for b, x in by_bucket(chosen["key"], buckets)]
-        rest, own = every[many & ~new]["node"], every[many & ~new]["key"] & ~_U(0xFFFF)
+        rest, own = every[many & ~new]["node"], every[many & ~new]["key"] >> _U(16)
         out += [(b, 2, rest[x].tobytes(), b"", own[x].tobytes(), b"") for b, x in by_bucket(rest.view(np.uint64), buckets)]
         kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=_BLOCK)
@@ -254,12 +270,15 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((every["node"], every["key"]))
         key, node, frequent = every["key"][order], every["node"][order], frequent[order]
         del every, order
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        frequent = np.logical_or.reduceat(frequent, np.flatnonzero(new))
+        once = new | np.concatenate([[True], node[1:] != node[:-1]])  # copies of a text in other batches are one node
+        key, node, first = key[once], node[once], np.flatnonzero(new[once])
         size = np.diff([*first, len(key)])
-        large = (size > SMALL) | np.logical_or.reduceat(frequent, first)
+        large = (size > SMALL) | frequent
         of = np.repeat(np.arange(len(first)), size)
         yield _rows(key[large[of]].view(np.int64), node[large[of]], np.zeros(large[of].sum()))
-        del key, frequent, of
+        del key, frequent, new, once, of
         one, two, held = [], [], 0
         for s in range(2, SMALL + 1):
             own = first[(size == s) & ~large]
@@ -569,8 +588,7 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = TH
     pairs = materialize(shared.mapInArrow(_possible(percent), "a long, b long").unionByName(spokes))
 
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row_key"), "node"))
-    wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
-    texts = materialize(keyed.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["node"]).select("node", "text"))
+    texts = materialize(keyed.select("row_key", "text").join(_few(wanted), "row_key").dropDuplicates(["node"]).select("node", "text"))
     measured = _measured(pairs, texts, words)
     links = measured.where(F.expr(f"100 * both >= {percent} * either")).select("a", "b").distinct()
     if not stars.isEmpty():
